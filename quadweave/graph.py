@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quadweave.session import cut_lineage
+from quadweave.session import Table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -45,10 +45,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .select("a", "b")
         .distinct()
     )
-    pairs = cut_lineage(pairs)
+    table = Table(pairs)
+    pairs = table.df
     state = _state(pairs)
     for _ in range(max_rounds):
-        pairs = cut_lineage(_star(_star(pairs, True), False))
+        before, table = table, Table(_star(_star(pairs, True), False))
+        before.drop()
+        pairs = table.df
         now = _state(pairs)
         if now == state:
             break

@@ -1,8 +1,10 @@
-"""Session helpers: builder for tests and benches, and the shared checkpoint folder."""
+"""Session helpers: builder for tests and benches, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
@@ -35,18 +40,29 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="quadweave-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quadweave-")
+    return _local_dirs[app]
+
+
+class Table:
+    """A DataFrame written to the shared folder; drop() deletes its files."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        self._spark = spark
+        self.path = f"{shared_dir(spark)}/quadweave/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        with contextlib.suppress(Exception):
+            jvm = self._spark._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back: a lost executor costs no recomputation."""
+    return Table(df).df

@@ -18,6 +18,7 @@ rows are packed once each; an empty table gives no pieces; extra columns are not
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,10 @@ VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 1
 UNIT = 8
+#: The linear program stops within this share of a lower bound of its value.
+GAP = 0.001
 KEPT_CHUNKS = 800_000
+WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([.,!?;:|*#$%&]+)")
 
 # ---------------------------------------------------------------- tokens
 
@@ -49,6 +53,8 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -64,17 +70,44 @@ class ChunkTokenizer:
             new.update(chunks)
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {"": b""}
-        fresh = list(new.difference(self.kept))
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ends = (np.cumsum([len(x) for x in found]) * 4).tolist()
-            raw = np.fromiter((i for x in found for i in x), "<u4").tobytes()
-            self.kept.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+        self._learn(new.difference(self.kept))
         get = self.kept.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Words of letters alone are tokenised many at a time; each ends with the first token that ends a word.
+
+        A word with signs after it is the word and the signs, as the pre-tokenizer parts them.
+        """
+        letters, other, joined = set(), set(), []
+        for c in chunks:
+            if c.isalpha():
+                letters.add(c)
+            elif m := WORD_AND_SIGNS.fullmatch(c):
+                joined.append((c, m[1], m[2]))
+                letters.add(m[1])
+                other.add(m[2])
+            else:
+                other.add(c)
+        words = list(letters.difference(self.kept))
+        for lo in range(0, len(words), 5_000):
+            part = words[lo : lo + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.kept.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:  # a letter that the vocabulary's library doesn't take for one
+                other.update(part)
+        rest = list(other.difference(self.kept))
+        for lo in range(0, len(rest), 20_000):
+            for c, e in zip(rest[lo : lo + 20_000], self.tokenizer.encode_batch_fast(rest[lo : lo + 20_000], add_special_tokens=False), strict=True):
+                self.kept[c] = np.array(e.ids, "<u4").tobytes()
+        for c, word, signs in joined:
+            self.kept[c] = self.kept[word] + self.kept[signs]
+
+
 _loaded: dict[str, ChunkTokenizer] = {}
 
 
@@ -124,16 +157,15 @@ def _best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[f
     order = np.argsort(size, kind="stable")
     sizes, values = size[order], value[order]
     for c in range(1, capacity + 1):
+        best[c], took[c] = best[c - 1], -2  # a class of no worth is left out
         n = int(np.searchsorted(sizes, c, side="right"))
         if n:
             gain = best[c - sizes[:n]] + values[:n]
             k = int(gain.argmax())
-            if gain[k] > best[c]:
+            if gain[k] > best[c] + 1e-12:
                 best[c], took[c] = gain[k], order[k]
-        if best[c - 1] > best[c]:
-            best[c], took[c] = best[c - 1], -2
     pattern, c = np.zeros(len(size)), capacity
-    while c > 0 and took[c] != -1:
+    while c > 0:
         if took[c] == -2:
             c -= 1
         else:
@@ -148,10 +180,11 @@ def column_generation(size: np.ndarray, demand: np.ndarray, capacity: int, max_r
     fit = capacity // size
     basis = np.diag(fit.astype(float))
     times = demand / fit
+    least = float((size * demand).sum() / capacity)
     for _ in range(max_rounds):
         dual = np.linalg.solve(basis.T, np.ones(m))
         worth, pattern = _best_pattern(np.maximum(dual, 0), size, capacity)
-        if worth <= 1 + 1e-9:
+        if worth <= 1 + 1e-9 or times.sum() * (1 - GAP) <= max(times.sum() / worth, least):
             break
         direction = np.linalg.solve(basis, pattern)
         up = np.flatnonzero(direction > 1e-9)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quadweave.llm import byte_bpe, fingerprints, packing, quality_neighbours, secrets, toxicity
+from quadweave.llm import byte_bpe, fingerprints, near_dedup, packing, quality_neighbours, quality_rules, secrets, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
+    "op2_quality_rules": quality_rules.query,
     "op4_secret_scans": secrets.query,
     "op5_fingerprints": fingerprints.query,
     "op6_toxicity": toxicity.query,
@@ -12,4 +14,7 @@ QUERIES = {
     "op8_quality_neighbours": quality_neighbours.query,
     "op9_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.ORACLE,
+    "op2_quality_rules": quality_rules.ORACLE.replace("{documents}", "documents"),
+}

@@ -48,25 +48,28 @@ def n_repeat_words(words: Column) -> Column:
     """
     n = F.size(words)
     bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int") + 1)
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))
-
-    def of_sorted(s: Column) -> Column:
-        same = lambda x, y: F.coalesce(x.bitwiseAND(F.bitwise_not(low)) == y.bitwiseAND(F.bitwise_not(low)), F.lit(False))
-        return F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-
-    def covered(p: Column) -> Column:
-        return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, k + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
 
     def bound(value: Column, use) -> Column:
         """use(value), with value computed once."""
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    grams = F.transform(F.sequence(F.lit(0), n - 3), hashed)
-    found = bound(F.sort_array(grams), lambda s: bound(F.sort_array(F.transform(of_sorted(s), lambda x: x.bitwiseAND(low))), covered))
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(found)
+    def of_mask(high: Column) -> Column:
+        def hashed(i: Column) -> Column:
+            return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))
+
+        def repeated(s: Column) -> Column:
+            same = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(high) == 0, F.lit(False))
+            return F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+
+        places = lambda s: F.sort_array(F.transform(repeated(s), lambda x: x.bitwiseAND(F.bitwise_not(high))))
+        return bound(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), hashed)), lambda s: bound(places(s), covered))
+
+    def covered(p: Column) -> Column:
+        three = F.lit(3).cast("long")
+        return F.aggregate(F.transform(p, lambda x, k: F.least(three, F.coalesce(F.get(p, k + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    mask = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(bound(mask, of_mask))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +152,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that are not kept."""
-    kept = judge(docs, trusted, threshold).where("kept").select("__key").distinct()
+    verdicts = Table(judge(docs, trusted, threshold).select("__key", "kept")).df  # else the filter would be pushed into the features
+    kept = verdicts.where("kept").select("__key").distinct()
     key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 

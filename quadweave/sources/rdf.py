@@ -45,7 +45,7 @@ def _unescape(text: Column) -> Column:
         out = F.replace(out, F.lit(a), F.lit(b))
     # \\uXXXX: pieces after each mark begin with four hex digits; written as UTF-16 they join to characters
     pieces = F.split(out, r"\\u")
-    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.concat(F.decode(F.unhex(F.substring(x, 1, 4)), "UTF-16BE"), F.expr("substring(x, 5)") if False else F.substring(x, F.lit(5), F.length(x))))
+    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.concat(F.decode(F.unhex(F.substring(x, 1, 4)), "UTF-16BE"), F.substring(x, F.lit(5), F.length(x))))
     out = F.when(F.size(pieces) > 1, F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))).otherwise(out)
     return F.when(F.contains(text, F.lit("\\")), F.replace(out, mark, F.lit("\\"))).otherwise(text)
 

@@ -9,12 +9,16 @@
    classes of its region, which are those with the longest common prefix. A
    region of up to WINDOW + 1 classes is thus taken whole; in a larger one
    the sorted order goes as deep as the region needs, each region as deep as itself.
-3. Candidates that were met are confirmed on the full sets. First each
+3. A larger region is dense. The classes of dense regions count the shingles that no other of
+   them has: those can be in no intersection, so they bound it. Classes and pairs that
+   the bound rules out are left out, and the forest is sorted once more over
+   what is left, where regions are smaller and neighbours nearer.
+4. Candidates that were met are confirmed on the full sets. First each
    class is confirmed with its best partner; then, after components are
    formed, twice with one likely partner in another component; at last
    all candidates that still join two components are confirmed. What remains lies
    inside a component and cannot change the result.
-4. Confirming streams a hub's set against its partners', hubs with
+5. Confirming streams a hub's set against its partners', hubs with
    many partners being split; components are found by star rounds.
 
 Two classes of Jaccard J share a region in one order with probability J**ROOT;
@@ -131,7 +135,8 @@ def labels(classes: DataFrame) -> DataFrame:
 def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """(a, b, hits), a < b: classes that are near in some tree, by how many trees.
 
-    Pairs whose sizes rule the similarity out are left out.
+    Pairs whose sizes rule the similarity out are left out. Classes of a region of more
+    than WINDOW + 1 also have a row with a = b.
     """
     dealt = labelled.repartition("region").sortWithinPartitions("region", "deep", "rep")
 
@@ -147,6 +152,9 @@ def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
             for step in range(1, min(WINDOW, len(now) - 1) + 1):
                 i = np.flatnonzero(region[step:] == region[:-step])
                 i = i[i + step >= old]  # the later one is new
+                if step == WINDOW and len(i):
+                    dense = rep[np.unique(i[:, None] + np.arange(WINDOW + 1))]
+                    found.append(np.column_stack([dense, dense]))
                 small, large = np.minimum(n[i], n[i + step]), np.maximum(n[i], n[i + step])
                 i = i[(small >= jaccard * large - 1e-9) & (rep[i] != rep[i + step])]
                 if len(i):
@@ -159,6 +167,36 @@ def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
 
 
+# ---------------------------------------------------------------- dense regions
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of each text no other of these texts has, where there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffers(batch.column(1))
+            reps = np.asarray(batch.column(0))
+            for lo, hi in slices(offsets, 1_000_000):
+                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                owners = np.repeat(reps[lo:hi], [len(s) for s in sets])
+                hashes, at, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(owners[at]), pa.array(n.astype(np.int64))], ["gram", "rep", "n"])
+
+    grams = texts.select("rep", "text").mapInArrow(run, "gram long, rep long, n long")
+    return grams.groupBy("gram").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+
+
+def bounded(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """pairs without those whose intersection cannot be large enough.
+
+    shared: (rep, n, most): a dense class's size, and its shingles that another dense class has.
+    """
+    a, b = (shared.select(F.col("rep").alias(s), F.col("n").alias(f"__n{s}"), F.col("most").alias(f"__m{s}")) for s in "ab")
+    able = F.least("__ma", "__mb") * (100 + percent) >= (F.col("__na") + F.col("__nb")) * percent
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce(able, F.lit(True))).select("a", "b", "hits")
+
+
 # ---------------------------------------------------------------- confirming
 
 
@@ -217,12 +255,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = Table(sets_table(docs)).df
     classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("sig", "doc_id").alias("sig"))
-    pairs = Table(candidates(labels(classes), percent / 100)).df
+    classes = Table(classes).df
+    near = Table(candidates(labels(classes), percent / 100)).df
 
-    met = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    met = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
     # ids of two rows with different texts may be one; the smallest text stands for a class of that id
     texts = Table(docs.join(met, docs["doc_id"] == met["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()).df
 
+    dense = near.where("a = b").select(F.col("a").alias("rep"))
+    dense_texts = texts.join(dense, "rep", "left_semi")
+    single = dense_texts.groupBy("rep").agg(F.count("*").alias("texts")).where("texts = 1").select("rep")  # an id of two texts has no one size
+    shared = classes.select("rep", "n").join(single, "rep", "left_semi").join(own_shingles(dense_texts), "rep", "left")
+    shared = Table(shared.select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))).df
+    able = dense.join(shared.where(F.col("most") * 100 < F.col("n") * percent), "rep", "left_anti")
+    again = candidates(labels(classes.join(able, "rep", "left_semi")), percent / 100)
+    pairs = Table(bounded(near.unionByName(again).where("a < b").groupBy("a", "b").agg(F.max("hits").alias("hits")), shared, percent)).df
+
     best = (
         pairs.select(F.col("a").alias("leaf"), F.col("b").alias("hub"), "hits")
         .unionByName(pairs.select(F.col("b").alias("leaf"), F.col("a").alias("hub"), "hits"))

@@ -8,8 +8,11 @@ token). Two lines match if their token sets have a Jaccard similarity of
    token's number, so sorted numbers stand in order of rarity.
 2. Lines with equal token sets are one class, held by its first line, so copies of any
    number cost one row each.
-3. Classes are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1), with
-   length and positional filters in the join condition.
+3. Classes are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
+   shorter one n - ceil(8/9 n) + 1 suffice), with length and positional filters in the join
+   condition. Prefix tokens that one class alone has are left out before.
+   Classes with a prefix token that over DENSE classes have count the tokens that no other
+   of them has; such tokens lie in no intersection, which rules most pairs out.
 4. Candidate pairs are verified on the full token sets; of a pair the later class goes.
 
 Defined results: blank lines are no lines: they are never removed or matched; null texts have no
@@ -30,6 +33,7 @@ from quadweave.session import Table
 SHINGLE = 5
 BUCKET_BITS = 16
 PERCENT = 80
+DENSE = 32
 
 _LAST = 2**63 - 1
 
@@ -80,6 +84,14 @@ def _prefix(tokens: Column) -> Column:
     return F.slice(tokens, F.lit(1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1)
 
 
+def _own_tokens(all_lines: DataFrame, some: DataFrame, ranks: Column) -> DataFrame:
+    """(first, own) of some lines: how many of a line's tokens no other of them has."""
+    place = F.struct("doc", "th", "line_no").alias("first")
+    tokens = all_lines.join(some.select("first.*"), ["doc", "th", "line_no"], "left_semi").dropDuplicates(["doc", "th", "line_no"]).select(place, F.explode(ordered_tokens(F.col("line"), ranks)).alias("t"))
+    single = tokens.groupBy("t").agg(F.min("first").alias("first"), F.count("*").alias("c")).where("c = 1").groupBy("first").agg(F.count("*").alias("own"))
+    return some.join(single, "first", "left").select("first", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, th, line_no) of every line that goes, and the verified links between classes of lines."""
     all_lines = lines(docs, id_col, text_col)
@@ -92,13 +104,20 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = F.struct("doc", "th", "line_no")
     classes = keyed.groupBy(*key).agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"))
     spread = classes.where("n >= 4").select("first", "n", F.posexplode("prefix").alias("at", "token"))
-    a, b = (spread.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("first", "n", "at")]) for s in "ab")
+    common = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    spread = Table(spread.join(common, "token")).df
+    dense = spread.where(F.col("c") > DENSE).select("first").distinct()
+    spread = spread.join(_own_tokens(all_lines, dense, ranks), "first", "left").select("token", "first", "n", "at", (F.col("n") - F.col("own")).alias("most"))
+    a, b = (spread.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("first", "n", "at", "most")]) for s in "ab")
+    a = a.where(F.col("at_a") <= F.col("n_a") - F.ceil(F.col("n_a") * 2 * PERCENT / (100.0 + PERCENT) - 1e-9))
     need = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100.0 + PERCENT) - 1e-9)
     bound = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("first_a") < F.col("first_b")))
+    most = F.when(F.col("most_a").isNull() | F.col("most_b").isNull(), need).otherwise(F.least("most_a", "most_b"))
     pairs = Table(
         a.join(b, "token")
-        .where((F.col("first_a") < F.col("first_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (bound >= need))
-        .select("first_a", "first_b")
+        .where(shorter & (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (bound >= need) & (most >= need))
+        .select(F.least("first_a", "first_b").alias("first_a"), F.greatest("first_a", "first_b").alias("first_b"))
         .distinct()
     ).df
     met = pairs.select(F.col("first_a").alias("first")).unionByName(pairs.select("first_b").toDF("first")).distinct().select("first.doc", "first.th", "first.line_no")

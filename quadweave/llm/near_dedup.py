@@ -9,15 +9,15 @@
    classes of its region, which are those with the longest common prefix. A
    region of up to WINDOW + 1 classes is thus taken whole; in a larger one
    the sorted order goes as deep as the region needs, each region as deep as itself.
-3. A larger region is dense. The classes of dense regions count the shingles that no other of
-   them has: those can be in no intersection, so they bound it. Classes and pairs that
-   the bound rules out are left out, and the forest is sorted once more over
-   what is left, where regions are smaller and neighbours nearer.
-4. Candidates that were met are confirmed on the full sets. First each
-   class is confirmed with its best partner; then, after components are
-   formed, twice with one likely partner in another component; at last
-   all candidates that still join two components are confirmed. What remains lies
-   inside a component and cannot change the result.
+3. A larger region is dense: there the neighbours only bring likely links together. What
+   they may miss is found exactly: the dense classes' shingles are put in order of rarity, and
+   classes of different components are joined on the shingles of their prefixes, with
+   length, positional and parity filters. So no link between dense classes rests on the window.
+4. Candidates are confirmed on the full sets. First each class is confirmed with its best
+   partner; then, after components are formed, twice with one likely partner in
+   another component; at last all candidates that still join two components,
+   those of dense classes from step 3. What remains lies inside a
+   component and cannot change the result.
 5. Confirming streams a hub's set against its partners', hubs with
    many partners being split; components are found by star rounds.
 
@@ -36,7 +36,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quadweave.graph import connected_components
 from quadweave.llm.common import documents, mix, powers, slices, text_buffers, windows, word_hashes
@@ -47,6 +47,7 @@ TREES, ROOT, DEPTH = 24, 4, 8
 PLACES = TREES * ROOT
 WINDOW = 16
 HUB = 256
+PARITY_BITS = 512
 #: Orders that a pair was met in to be tried before others.
 LIKELY = 4
 JACCARD = 0.85
@@ -170,31 +171,72 @@ def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 # ---------------------------------------------------------------- dense regions
 
 
-def own_shingles(texts: DataFrame) -> DataFrame:
-    """(rep, own): how many shingles of each text no other of these texts has, where there are any."""
+def gram_rows(texts: DataFrame) -> DataFrame:
+    """(rep, component, n, gram): every shingle of texts (rep, component, text), and the size of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffers(batch.column(2))
+            reps, components = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for lo, hi in slices(offsets, 1_000_000):
+                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                sizes = np.array([len(s) for s in sets])
+                columns = [np.repeat(x, sizes) for x in (reps[lo:hi], components[lo:hi], sizes)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "component", "n", "gram"])
+
+    return texts.select("rep", "component", "text").mapInArrow(run, "rep long, component long, n long, gram long")
+
+
+def prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(rep, component, n, gram, at, most): the shared shingles in the prefix of each text's set.
+
+    Shingles stand in order of rarity among texts; those of one text alone come first, so at counts
+    them too. most: shingles of the set that another text has. Only shingles found in two
+    components are returned.
+    """
+    grams = gram_rows(texts)
+    shared = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
+    own = Window.partitionBy("rep")
+    ranked = (
+        grams.join(shared, "gram")
+        .withColumn("most", F.count("*").over(own))
+        .withColumn("at", F.col("n") - F.col("most") + F.row_number().over(own.orderBy("df", "gram")))
+    )
+    # integers all through: a link needs ceil(percent * n / 100) shingles of either set
+    return ranked.where(f"at <= n - ({percent} * n + 99) div 100 + 1 and lo <> hi").select("rep", "component", "n", "gram", "at", "most")
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """(rep, p0, p1, ...): of each text's set, the parity of the number of shingles in each of PARITY_BITS hash buckets."""
+    names = [f"p{k}" for k in range(PARITY_BITS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_buffers(batch.column(1))
-            reps = np.asarray(batch.column(0))
             for lo, hi in slices(offsets, 1_000_000):
                 sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                owners = np.repeat(reps[lo:hi], [len(s) for s in sets])
-                hashes, at, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(owners[at]), pa.array(n.astype(np.int64))], ["gram", "rep", "n"])
+                odd = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1 for s in sets]).astype(np.uint8)
+                words = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(words[:, k].copy()) for k in range(len(names))]], ["rep", *names])
 
-    grams = texts.select("rep", "text").mapInArrow(run, "gram long, rep long, n long")
-    return grams.groupBy("gram").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    return texts.select("rep", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["rep", *names]))
 
 
-def bounded(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """pairs without those whose intersection cannot be large enough.
+def dense_pairs(texts: DataFrame, percent: int) -> DataFrame:
+    """(hub, leaf): a superset of all links between texts (rep, component, text) of two components.
 
-    shared: (rep, n, most): a dense class's size, and its shingles that another dense class has.
+    Places where the parities of two sets differ are at most as many as shingles that one of them
+    has alone, so that too many of them rule a link out.
     """
-    a, b = (shared.select(F.col("rep").alias(s), F.col("n").alias(f"__n{s}"), F.col("most").alias(f"__m{s}")) for s in "ab")
-    able = F.least("__ma", "__mb") * (100 + percent) >= (F.col("__na") + F.col("__nb")) * percent
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce(able, F.lit(True))).select("a", "b", "hits")
+    spread = Table(prefixes(texts, percent).join(parities(texts), "rep")).df
+    bits = [c for c in spread.columns if c[0] == "p" and c[1:].isdigit()]
+    a, b = (spread.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "at", "most", *bits)]) for s in "ab")
+    differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
+    able = f"""rep_a < rep_b and component_a <> component_b
+        and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
+        and least(most_a, most_b, least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) * {100 + percent} >= {percent} * (n_a + n_b)
+        and ({differ}) * {100 + percent} <= {100 - percent} * (n_a + n_b)"""
+    return a.join(b, "gram").where(able).select(F.col("rep_a").alias("hub"), F.col("rep_b").alias("leaf")).distinct()
 
 
 # ---------------------------------------------------------------- confirming
@@ -262,15 +304,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     # ids of two rows with different texts may be one; the smallest text stands for a class of that id
     texts = Table(docs.join(met, docs["doc_id"] == met["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()).df
 
+    pairs = near.where("a < b")
     dense = near.where("a = b").select(F.col("a").alias("rep"))
-    dense_texts = texts.join(dense, "rep", "left_semi")
-    single = dense_texts.groupBy("rep").agg(F.count("*").alias("texts")).where("texts = 1").select("rep")  # an id of two texts has no one size
-    shared = classes.select("rep", "n").join(single, "rep", "left_semi").join(own_shingles(dense_texts), "rep", "left")
-    shared = Table(shared.select("rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))).df
-    able = dense.join(shared.where(F.col("most") * 100 < F.col("n") * percent), "rep", "left_anti")
-    again = candidates(labels(classes.join(able, "rep", "left_semi")), percent / 100)
-    pairs = Table(bounded(near.unionByName(again).where("a < b").groupBy("a", "b").agg(F.max("hits").alias("hits")), shared, percent)).df
-
+    # an id of two texts has no one set: its pairs stay with the forest
+    dense_texts = Table(texts.join(dense, "rep", "left_semi").groupBy("rep").agg(F.count("*").alias("n"), F.first("text").alias("text")).where("n = 1").select("rep", "text")).df
+    both = dense_texts.select("rep")
     best = (
         pairs.select(F.col("a").alias("leaf"), F.col("b").alias("hub"), "hits")
         .unionByName(pairs.select(F.col("b").alias("leaf"), F.col("a").alias("hub"), "hits"))
@@ -282,14 +320,16 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     same_id = sets.where("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     tested = Table(best).df
     links = Table(confirm(tested, texts, percent)).df
-    for last in (False, False, True):
-        found = connected_components(links, "a", "b")
-        open_ = _open(pairs, tested, found)
-        if not last:  # one likely link of each class; large groups of near copies come together here
-            open_ = open_.where(F.col("hits") >= LIKELY).groupBy("leaf").agg(F.min_by("hub", F.struct("other", "hub")).alias("hub"))
-        more = Table(open_.select("hub", "leaf")).df
+    for _ in range(2):  # one likely link of each class; large groups of near copies come together here
+        open_ = _open(pairs, tested, connected_components(links, "a", "b")).where(F.col("hits") >= LIKELY)
+        more = Table(open_.groupBy("leaf").agg(F.min_by("hub", F.struct("other", "hub")).alias("hub")).select("hub", "leaf")).df
         tested = tested.unionByName(more)
         links = Table(links.unionByName(confirm(more, texts, percent))).df
+    found = connected_components(links, "a", "b")
+    sparse = pairs.join(both.toDF("a"), "a", "left_anti").unionByName(pairs.join(both.toDF("a"), "a", "left_semi").join(both.toDF("b"), "b", "left_anti"))
+    exact = dense_pairs(dense_texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "text"), percent)
+    more = _open(sparse, tested, found).select("hub", "leaf").unionByName(exact.join(tested, ["hub", "leaf"], "left_anti"))
+    links = Table(links.unionByName(confirm(Table(more).df, texts, percent))).df
     links = links.unionByName(same_id)
     components = connected_components(links, "a", "b")
     out = sets.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")

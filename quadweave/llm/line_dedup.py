@@ -9,10 +9,13 @@ token). Two lines match if their token sets have a Jaccard similarity of
 2. Lines with equal token sets are one class, held by its first line, so copies of any
    number cost one row each.
 3. Classes are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
-   shorter one n - ceil(8/9 n) + 1 suffice), with length and positional filters in the join
-   condition. Prefix tokens that one class alone has are left out before.
-   Classes with a prefix token that over DENSE classes have count the tokens that no other
-   of them has; such tokens lie in no intersection, which rules most pairs out.
+   shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
+   join condition. Prefix tokens that one class alone has are left out before. The
+   parities of token counts in hash buckets differ in at most as many places as the two
+   sets have tokens that only one of them has: too many rule a pair out.
+   This is done twice: first each token's earliest class against the others, which settles
+   most of a group of near-copied lines; then every class against the later ones
+   that nothing has matched so far, as a line that goes needs no second reason.
 4. Candidate pairs are verified on the full token sets; of a pair the later class goes.
 
 Defined results: blank lines are no lines: they are never removed or matched; null texts have no
@@ -33,7 +36,7 @@ from quadweave.session import Table
 SHINGLE = 5
 BUCKET_BITS = 16
 PERCENT = 80
-DENSE = 32
+PARITY_WORDS = 4
 
 _LAST = 2**63 - 1
 
@@ -84,54 +87,65 @@ def _prefix(tokens: Column) -> Column:
     return F.slice(tokens, F.lit(1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1)
 
 
-def _own_tokens(all_lines: DataFrame, some: DataFrame, ranks: Column) -> DataFrame:
-    """(first, own) of some lines: how many of a line's tokens no other of them has."""
+def _parities(tokens: Column) -> list[Column]:
+    """Parity of the number of tokens in each of 64 * PARITY_WORDS hash buckets, 64 to a number."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda k: F.filter(tokens, lambda t: F.call_function("shiftright", t, F.lit(6)).bitwiseAND(F.lit(PARITY_WORDS - 1)) == k)
+    return [F.aggregate(own(k), F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t))).alias(f"p{k}") for k in range(PARITY_WORDS)]
+
+
+def _matches(earlier: DataFrame, later: DataFrame, bits: list[str]) -> DataFrame:
+    """(first_a, first_b), distinct: rows of one token that the filters let through, a before b."""
+    columns = ("first", "n", "at", *bits)
+    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for x, s in ((earlier, "a"), (later, "b")))
+    n, m = F.col("n_a"), F.col("n_b")
+    need = F.ceil((n + m) * PERCENT / (100.0 + PERCENT) - 1e-9)
+    bound = F.least("at_a", "at_b") + F.least(n - F.col("at_a"), m - F.col("at_b"))
+    own = lambda s: F.col(f"at_{s}") <= F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * 2 * PERCENT / (100.0 + PERCENT) - 1e-9)
+    differ = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits)
+    able = (
+        (F.col("first_a") < F.col("first_b"))
+        & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+        & F.when(n <= m, own("a")).otherwise(own("b"))
+        & (bound >= need)
+        & (differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+    )
+    return a.join(b, "token").where(able).select("first_a", "first_b").distinct()
+
+
+def _verified(pairs: DataFrame, all_lines: DataFrame, ranks: Column) -> DataFrame:
+    """The pairs whose full token sets are alike enough."""
+    met = pairs.select(F.col("first_a").alias("first")).unionByName(pairs.select("first_b").toDF("first")).distinct().select("first.*")
     place = F.struct("doc", "th", "line_no").alias("first")
-    tokens = all_lines.join(some.select("first.*"), ["doc", "th", "line_no"], "left_semi").dropDuplicates(["doc", "th", "line_no"]).select(place, F.explode(ordered_tokens(F.col("line"), ranks)).alias("t"))
-    single = tokens.groupBy("t").agg(F.min("first").alias("first"), F.count("*").alias("c")).where("c = 1").groupBy("first").agg(F.count("*").alias("own"))
-    return some.join(single, "first", "left").select("first", F.coalesce("own", F.lit(0)).alias("own"))
+    sets = Table(all_lines.join(met, ["doc", "th", "line_no"]).dropDuplicates(["doc", "th", "line_no"]).select(place, ordered_tokens(F.col("line"), ranks).alias("t"))).df
+    both = F.size(F.array_intersect("t_a", "t_b"))
+    links = (
+        pairs.join(sets.toDF("first_a", "t_a"), "first_a")
+        .join(sets.toDF("first_b", "t_b"), "first_b")
+        .where(both * 100 >= (F.size("t_a") + F.size("t_b") - both) * PERCENT)
+        .select("first_a", "first_b")
+    )
+    return Table(links).df
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, th, line_no) of every line that goes, and the verified links between classes of lines."""
+    """(doc, th, line_no) of every line that goes, and verified links between classes of lines, one or more for each later class that goes."""
     all_lines = lines(docs, id_col, text_col)
     ranks = rarity(all_lines)
     key = ("k1", "k2", "n")
     keyed = Table(
         all_lines.select("doc", "th", "line_no", ordered_tokens(F.col("line"), ranks).alias("t"))
-        .select("doc", "th", "line_no", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), F.size("t").alias("n"), _prefix(F.col("t")).alias("prefix"))
+        .select("doc", "th", "line_no", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), F.size("t").alias("n"), _prefix(F.col("t")).alias("prefix"), *_parities(F.col("t")))
     ).df
     place = F.struct("doc", "th", "line_no")
-    classes = keyed.groupBy(*key).agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"))
-    spread = classes.where("n >= 4").select("first", "n", F.posexplode("prefix").alias("at", "token"))
-    common = spread.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    spread = Table(spread.join(common, "token")).df
-    dense = spread.where(F.col("c") > DENSE).select("first").distinct()
-    spread = spread.join(_own_tokens(all_lines, dense, ranks), "first", "left").select("token", "first", "n", "at", (F.col("n") - F.col("own")).alias("most"))
-    a, b = (spread.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("first", "n", "at", "most")]) for s in "ab")
-    a = a.where(F.col("at_a") <= F.col("n_a") - F.ceil(F.col("n_a") * 2 * PERCENT / (100.0 + PERCENT) - 1e-9))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100.0 + PERCENT) - 1e-9)
-    bound = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("first_a") < F.col("first_b")))
-    most = F.when(F.col("most_a").isNull() | F.col("most_b").isNull(), need).otherwise(F.least("most_a", "most_b"))
-    pairs = Table(
-        a.join(b, "token")
-        .where(shorter & (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (bound >= need) & (most >= need))
-        .select(F.least("first_a", "first_b").alias("first_a"), F.greatest("first_a", "first_b").alias("first_b"))
-        .distinct()
-    ).df
-    met = pairs.select(F.col("first_a").alias("first")).unionByName(pairs.select("first_b").toDF("first")).distinct().select("first.doc", "first.th", "first.line_no")
-    sets = Table(
-        all_lines.join(met, ["doc", "th", "line_no"]).dropDuplicates(["doc", "th", "line_no"]).select(place.alias("first"), ordered_tokens(F.col("line"), ranks).alias("t"))
-    ).df
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    links = (
-        pairs.join(sets.toDF("first_a", "t_a"), "first_a")
-        .join(sets.toDF("first_b", "t_b"), "first_b")
-        .where(both * 100 >= (F.size("t_a") + F.size("t_b") - both) * PERCENT)
-        .select("first_a", "first_b")
-    )
-    links = Table(links).df
+    bits = [f"p{k}" for k in range(PARITY_WORDS)]
+    classes = keyed.groupBy(*key).agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in bits])
+    spread = classes.where("n >= 4").select("first", "n", *bits, F.posexplode("prefix").alias("at", "token"))
+    heads = spread.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "n", "at", *bits)).alias("head")).where("c > 1")
+    spread = Table(spread.join(heads.select("token"), "token")).df
+    links = _verified(Table(_matches(heads.select("token", "head.*"), spread, bits)).df, all_lines, ranks)
+    gone = links.select(F.col("first_b").alias("first")).distinct()
+    links = links.unionByName(_verified(Table(_matches(spread, spread.join(gone, "first", "left_anti"), bits)).df, all_lines, ranks))
     later = links.select(F.col("first_b").alias("first")).distinct().select("first.*")
     copies = keyed.join(classes.select(*key, "first"), list(key)).where(F.struct("doc", "th", "line_no") != F.col("first")).select("doc", "th", "line_no")
     return copies.unionByName(later), links

@@ -51,7 +51,20 @@ def shingles(text, n=5):
     return {tuple(w)} - {()} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def test_near_dedup(spark, rows):
+def chain(rng, n, size=150, every=3):
+    """Texts that each change a word of the one before, so that only near ones are alike; and some far from all."""
+    w = [f"c{rng.randrange(900)}" for _ in range(size)]
+    out = []
+    for i in range(n):
+        for _ in range(1 + 5 * (i % every == 0)):
+            w[rng.randrange(size)] = f"y{i}_{rng.randrange(99)}"
+        out.append(" ".join(w))
+    rng.shuffle(out)
+    return out
+
+
+def held_near_dedup(spark, rows):
+    """cluster() of the rows is as brute force has it."""
     got = near_dedup.cluster(spark.createDataFrame(rows, SCHEMA)).collect()
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
@@ -70,6 +83,15 @@ def test_near_dedup(spark, rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
 
 
+def test_near_dedup(spark, rows):
+    held_near_dedup(spark, rows)
+
+
+def test_near_dedup_dense(spark):
+    rng = random.Random(11)
+    held_near_dedup(spark, list(enumerate(chain(rng, 90) + chain(rng, 60, 120, 2))))
+
+
 def test_quality_features(spark, rows):
     got = quality_rules.features(spark.createDataFrame(rows, SCHEMA)).collect()
 
@@ -224,7 +246,8 @@ def test_patterns_hold_all_pieces():
     assert sum(n for *_, n in plan) <= 1.03 * sum(c * k for c, k in histogram.items()) / 64 + 2
 
 
-def test_line_dedup(spark, rows):
+def held_line_dedup(spark, rows):
+    """remove_lines() of the rows is as brute force has it."""
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows if i is not None], "doc_id long, text string, line_no int")
     got = {(r.doc_id, r.text) for r in line_dedup.remove_lines(docs).collect()}
     seen, want = [], set()
@@ -242,3 +265,13 @@ def test_line_dedup(spark, rows):
         # every line of the input counts as an earlier one, also those that went
         seen += [({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) for line in (t or "").split("\n") if (w := words(line))]
     assert got == want
+
+
+def test_line_dedup(spark, rows):
+    held_line_dedup(spark, rows)
+
+
+def test_line_dedup_dense(spark):
+    rng = random.Random(12)
+    made = chain(rng, 120, 40, 4)
+    held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(40)])

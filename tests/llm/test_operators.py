@@ -51,12 +51,12 @@ def shingles(text, n=5):
     return {tuple(w)} - {()} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def chain(rng, n, size=150, every=3):
+def chain(rng, n, size=150, every=3, jump=6):
     """Texts that each change a word of the one before, so that only near ones are alike; and some far from all."""
     w = [f"c{rng.randrange(900)}" for _ in range(size)]
     out = []
     for i in range(n):
-        for _ in range(1 + 5 * (i % every == 0)):
+        for _ in range(jump if i % every == 0 else 1):
             w[rng.randrange(size)] = f"y{i}_{rng.randrange(99)}"
         out.append(" ".join(w))
     rng.shuffle(out)
@@ -87,9 +87,18 @@ def test_near_dedup(spark, rows):
     held_near_dedup(spark, rows)
 
 
-def test_near_dedup_dense(spark):
+def test_near_dedup_dense(spark, monkeypatch):
+    met, plain = [], near_dedup.dense_pairs
+
+    def counted(texts, percent):
+        pairs = plain(texts, percent)
+        met.append((texts.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "dense_pairs", counted)
     rng = random.Random(11)
-    held_near_dedup(spark, list(enumerate(chain(rng, 90) + chain(rng, 60, 120, 2))))
+    held_near_dedup(spark, list(enumerate(chain(rng, 160, 600, 12, 16) + chain(rng, 40))))
+    assert met[0][0] > 17 and met[0][1] > 0  # large regions were met, and joined
 
 
 def test_quality_features(spark, rows):

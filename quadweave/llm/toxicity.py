@@ -39,16 +39,37 @@ HOMOGLYPHS = str.maketrans("авекмнорстухіјѕԁһԛԝαβεικνο
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SIGN = re.compile(r"(?<=[^\W\d_])[013457@$](?=[^\W\d_])")
 _GAP = re.compile(r"[\W_]+")
-_HAS_SIGN = re.compile(r"[a-z][013457@$][a-z]")
+_HAS_SIGN = re.compile(r"[^\W\d_][013457@$]|[013457@$][^\W\d_]")
+_RUN = re.compile(r"[\w@$]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = str.maketrans(SIGNS)
+#: @ and $ that may be marks between words as well as letters.
+_LOOSE = re.compile(r"^[@$]|[@$]$|[@$][\d@$]|\d[@$]")
 
 
 def fold(text: str) -> str:
-    """Folded text between two spaces."""
+    """Folded text between two spaces.
+
+    Signs stand for letters anywhere in a run that holds a letter. Where @ or $ may be a mark
+    instead, the run stays as the mark has it and its reading as letters follows at the end.
+    """
     text = text.lower()
     if not text.isascii():
         text = text.translate(HOMOGLYPHS)
     if _HAS_SIGN.search(text):
-        text = _SIGN.sub(lambda m: SIGNS[m.group()], text)
+        more: list[str] = []
+
+        def read(m: re.Match) -> str:
+            run = m.group()
+            full = run.translate(_LETTERS)
+            if full == run or not _LETTER.search(run):
+                return run
+            if not _LOOSE.search(run):
+                return full
+            more.append(full)
+            return _SIGN.sub(lambda m: SIGNS[m.group()], run)
+
+        text = " ".join([_RUN.sub(read, text.replace("_", " ")), *more])
     return f" {_GAP.sub(' ', text).strip(' ')} "
 
 

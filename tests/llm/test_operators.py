@@ -195,6 +195,17 @@ def test_toxicity():
     assert toxicity.learn([("a", 0)]).score(np.zeros((1, 2)))[0] < 1e-9
 
 
+def test_toxicity_signs():
+    for disguised, plain in {"5tupid": "stupid", "1diot": "idiot", "$cum": "scum", "tr@5h": "trash", "w0rthle55": "worthless", "5tup1d_4": "stupid", "cla$$": "class", "ѕtup1d": "stupid"}.items():
+        assert f" {plain} " in toxicity.fold(f"you {disguised}, 1 fine day"), disguised
+    assert toxicity.fold("in 1975 for $40 or 100 50") == " in 1975 for 40 or 100 50 "
+    assert " stupid " in toxicity.fold("@stupid") and " trash can " in toxicity.fold("the $trash can") and toxicity.fold("a" * 9 + " b") == " aaaaaaaaa b "
+    rng = random.Random(4)
+    lexicon = toxicity.learn([(prose(rng, 60), 0) for _ in range(200)] + [(prose(rng, 30) + " " + rng.choice(["trash", "stupid"]) + " " + prose(rng, 20), 1) for _ in range(60)])
+    scores = lexicon.score(np.array([lexicon.features(f"you are {w}") for w in ("5tupid", "$tupid", "tr@5h", "@stupid", "1970")]))
+    assert min(scores[:4]) > 0.5 > scores[4]
+
+
 def test_byte_bpe(spark, rows):
     import base64
 

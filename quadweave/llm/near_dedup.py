@@ -93,8 +93,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key binary, sig binary); key and sig are null for empty sets."""
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    """(doc_id, n_shingles, set_key binary, sig binary, th); key and sig are null for empty sets; th is the text's hash."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +109,9 @@ def sets_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     for k, row in zip(full, signatures([sets[k] for k in full]), strict=True):
                         keys[k], sigs[k] = blake2b(sets[k].tobytes(), digest_size=16).digest(), row.tobytes()
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sizes, pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sizes, pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), batch.column(2).slice(lo, hi - lo)], ["doc_id", "n_shingles", "set_key", "sig", "th"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return src.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, th long")
 
 
 # ---------------------------------------------------------------- forest
@@ -296,18 +297,18 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """(doc_id, n_shingles, component_id, kept) for every row of docs, linked at percent / 100."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = Table(sets_table(docs)).df
-    classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = Table(classes).df
+    classes = sets.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n_shingles").alias("n"), F.min_by("sig", "doc_id").alias("sig"))
+    # a class has a number of its own, as one id may hold texts of several classes
+    classes = Table(classes.select("set_key", F.xxhash64("set_key").alias("rep"), "first.*", "n", "sig")).df
     near = Table(candidates(labels(classes), percent / 100)).df
 
     met = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    # ids of two rows with different texts may be one; the smallest text stands for a class of that id
-    texts = Table(docs.join(met, docs["doc_id"] == met["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").distinct()).df
+    named = classes.join(met, "rep", "left_semi").select("doc_id", "th", "rep")
+    texts = Table(docs.withColumn("th", F.xxhash64("text")).join(named, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"])).df
 
     pairs = near.where("a < b")
     dense = near.where("a = b").select(F.col("a").alias("rep"))
-    # an id of two texts has no one set: its pairs stay with the forest
-    dense_texts = Table(texts.join(dense, "rep", "left_semi").groupBy("rep").agg(F.count("*").alias("n"), F.first("text").alias("text")).where("n = 1").select("rep", "text")).df
+    dense_texts = Table(texts.join(dense, "rep", "left_semi")).df
     both = dense_texts.select("rep")
     best = (
         pairs.select(F.col("a").alias("leaf"), F.col("b").alias("hub"), "hits")
@@ -317,7 +318,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         .select(F.least("hub", "leaf").alias("hub"), F.greatest("hub", "leaf").alias("leaf"))
         .distinct()
     )
-    same_id = sets.where("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same_id = sets.where("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     tested = Table(best).df
     links = Table(confirm(tested, texts, percent)).df
     for _ in range(2):  # one likely link of each class; large groups of near copies come together here
@@ -330,7 +331,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     exact = dense_pairs(dense_texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "text"), percent)
     more = _open(sparse, tested, found).select("hub", "leaf").unionByName(exact.join(tested, ["hub", "leaf"], "left_anti"))
     links = Table(links.unionByName(confirm(Table(more).df, texts, percent))).df
-    links = links.unionByName(same_id)
+    first = lambda c: classes.select(F.col("rep").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    links = links.join(first("a"), "a").join(first("b"), "b").where("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(same_id)
     components = connected_components(links, "a", "b")
     out = sets.select("doc_id", "n_shingles").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

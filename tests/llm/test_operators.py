@@ -87,6 +87,18 @@ def test_near_dedup(spark, rows):
     held_near_dedup(spark, rows)
 
 
+def test_near_dedup_ids_of_two_texts(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(12):
+        for k in range(2):
+            w = prose(rng, 120).split()
+            rows.append((i, " ".join(w)))
+            w[5] = "other"
+            rows.append((100 + 2 * i + k, " ".join(w)))
+    held_near_dedup(spark, rows)
+
+
 def test_near_dedup_dense(spark, monkeypatch):
     met, plain = [], near_dedup.dense_pairs
 

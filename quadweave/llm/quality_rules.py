@@ -2,11 +2,10 @@
 
 The n-grams are the last three characters of every word, hashed into BUCKETS.
 Two multinomials over the buckets are counted, of trusted documents (labelled
-good; at most MAX_TRUSTED of them, the same ones each time) and of all
-documents. A document's score is the mean over its words of log p - log q; it is kept if
+good, all of them) and of all documents. A document's score is the mean over its words of log p - log q; it is kept if
 the score reaches THRESHOLD. The rule is deterministic and judges every document.
 
-Text is never shuffled: features are array expressions inside a row, counts are
+Text is shuffled only if the trusted ids are too many to broadcast: features are array expressions inside a row, counts are
 aggregated before the shuffle into BUCKETS rows, and a document's words
 are summed on the map side, so what moves is one row per document.
 
@@ -23,7 +22,6 @@ from quadweave.llm.common import documents, labels
 from quadweave.session import Table
 
 BUCKETS = 16381
-MAX_TRUSTED = 8_000
 THRESHOLD = -0.5
 SMOOTH = 0.5
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
@@ -111,15 +109,15 @@ def _exploded(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*cols, F.explode(words_of(F.col("__text"))).alias("__word")).select(*cols, bucket(F.col("__word")).cast("int").alias("__bucket"))
 
 
-def trusted_ids(marks: DataFrame, id_col: str = "doc_id", label: str = "quality", limit: int = MAX_TRUSTED) -> DataFrame:
-    return marks.where(F.col(label) == 1).select(F.col(id_col).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)
+def trusted_ids(marks: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
+    return marks.where(F.col(label) == 1).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
 
 
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__bucket, __weight), at most BUCKETS rows: log p of the trusted documents less log q of all."""
     flagged = (
         docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-        .join(F.broadcast(trusted.withColumn("__trusted", F.lit(1))), "__id", "left")
+        .join(trusted.withColumn("__trusted", F.lit(1)), "__id", "left")
         .select(F.coalesce("__trusted", F.lit(0)).alias("__trusted"), "__text")
     )
     counts = Table(_exploded(flagged, "__trusted").groupBy("__bucket").agg(F.count("*").alias("q"), F.sum("__trusted").alias("p"))).df
@@ -164,7 +162,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: The same rows in DuckDB SQL, as long as there are no more than MAX_TRUSTED trusted documents.
+#: The same rows in DuckDB SQL.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {documents}),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),

@@ -138,6 +138,11 @@ def test_quality_verdict(spark):
     assert all(r.kept != r.base_failed for r in none)
 
 
+def test_all_trusted_documents_count(spark):
+    marks = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_rules.trusted_ids(marks).count() == 9000
+
+
 def brute_repeats(rows, span=50):
     low = {}
     for i, t in rows:

@@ -58,7 +58,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Packing needs a tokenizer, which SQL has not; tests/llm holds run() against a brute-force version.
+#: Packing needs a tokenizer, which SQL has not; tests/llm checks planted rows stage by stage, there is no brute-force run() yet.
 ORACLE_SQL = None
 
 

@@ -117,15 +117,18 @@ def by_seeds(mapped: DataFrame, seeds: DataFrame) -> DataFrame:
     return mapped.join(seeds.select("cs").distinct(), "cs", "left_semi")
 
 
-def discover(resolve: Callable[[DataFrame], DataFrame], seeds: DataFrame, max_rounds: int = 100) -> DataFrame:
+def discover(resolve: Callable[[DataFrame], DataFrame], seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Transitive closure from seeds (cs): objects of resolved statements become new subjects.
 
     resolve(frontier) gives resolved statements of the entities in frontier; only what
     survives resolution is followed. Each round is written to the shared folder.
+    Rounds go on until nothing new is found; more than max_rounds of them are an error.
     """
     frontier = Table(seeds.select("cs").distinct())
     visited, parts = frontier.df, []
-    for _ in range(max_rounds):
+    while True:
+        if max_rounds is not None and len(parts) >= max_rounds:
+            raise RuntimeError(f"entities left to resolve after {max_rounds} rounds")
         got = Table(resolve(frontier.df)).df
         parts.append(got)
         found = Table(got.where("o_kind = 'iri'").select(F.col("o").alias("cs")).distinct().join(visited, "cs", "left_anti"))

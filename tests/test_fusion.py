@@ -75,6 +75,15 @@ def test_limit_drops_whole_entities(spark):
     assert job(5) == {"a", "b"} and job(4) == {"a"} and job(2) == set() and job(None) == {"a", "b", "c"}
 
 
+def test_discovery_never_stops_short(spark):
+    quads = frame(spark, [quad(f"n{i}", "p", f"n{i + 1}", "g") for i in range(4)])
+    seeds = spark.createDataFrame([("n0",)], "cs string")
+    follow = lambda f: quads.join(f.withColumnRenamed("cs", "s"), "s", "left_semi")
+    assert E.discover(follow, seeds).count() == 4
+    with pytest.raises(RuntimeError):
+        E.discover(follow, seeds, max_rounds=2)
+
+
 def test_lines_round_trip_and_bad_lines(spark):
     text = ['<s> <p> "a\\"b\\n\\u00e9"@en <g> .', "# comment", "", "_:b1 <p> <o> .", "bad line", '<s> <p> "1"^^<http://www.w3.org/2001/XMLSchema#int> . # end']
     lines = spark.createDataFrame([(t,) for t in text], "value string")

@@ -31,6 +31,15 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{wish}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- Arrow texts
 
 

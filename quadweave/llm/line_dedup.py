@@ -1,201 +1,241 @@
 """Line deduplication as an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct word shingles (five words; a shorter line is one
-token). Two lines match if their token sets have a Jaccard similarity of
-0.8 or more. A line goes if any earlier line (by document id, then line) matches it.
-
-1. Tokens are counted in 65,536 hash buckets over all lines; the bucket's rank leads the
-   token's number, so sorted numbers stand in order of rarity.
-2. Lines with equal token sets are one class, held by its first line, so copies of any
-   number cost one row each.
+A line's tokens are its distinct words. Two lines match if their token sets have a Jaccard
+similarity of 0.8 or more. A line goes if any earlier line (by document id, then line) matches it.
+
+1. All words are counted. A slot of 2**SLOT_BITS holds the level (half steps of log2) of its most frequent word; the levels
+   below that of the most frequent quarter of the slots count as 0. A token's number is its level, then its hash, so
+   that sorted numbers stand in order of rarity.
+2. Equal lines are one class, held by its first line, so copies of any number cost one row each.
 3. Classes are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
    shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
-   join condition. Prefix tokens that one class alone has are left out before. The
-   parities of token counts in hash buckets differ in at most as many places as the two
+   join condition. The parities of token counts in 64 hash buckets differ in at most as many places as the two
    sets have tokens that only one of them has: too many rule a pair out.
-   This is done twice: first each token's earliest class against the others, which settles
-   most of a group of near-copied lines; then every class against the later ones
-   that nothing has matched so far, as a line that goes needs no second reason.
+   This is done twice. First the NEAR earliest classes of a token are compared with each other and the earliest with all
+   others, which settles most of a group of near-copied lines, however large. Tokens with more classes than that are open: for
+   those, every class is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
+   Very frequent tokens are dealt into salts in the first comparison and count as open.
 4. Candidate pairs are verified on the full token sets; of a pair the later class goes.
 
+What is broadcast is counted first: above MAX_SENT rows the same join is shuffled.
+
 Defined results: blank lines are no lines: they are never removed or matched; null texts have no
-lines; null ids come last; rows with one id and one text are one document;
-extra columns pass through remove_lines().
+lines; null ids come last; rows with one id and one text are one document; an empty table gives an empty result;
+extra columns of any name pass through remove_lines().
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quadweave.llm.common import documents
-from quadweave.llm.quality_rules import words_of
+from quadweave.llm.common import documents, free_name
 from quadweave.session import Table
 
-SHINGLE = 5
-BUCKET_BITS = 16
+SLOT_BITS = 18
 PERCENT = 80
-PARITY_WORDS = 4
+#: Classes of one token that are compared with each other at once.
+NEAR = 16
+#: Rows of one token in a task, about; more are salted.
+SALT_ROWS_BITS = 13
+#: Rows that may be broadcast (at most 40 bytes each).
+MAX_SENT = 1_000_000
 
 _LAST = 2**63 - 1
+_LEVEL_AT = 57
+_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+_PLACE = ("doc", "th", "line_no")
 
 
-def _tokens(line: Column) -> Column:
-    """Token hashes of a line, repeats included."""
+def _has_word(line: Column) -> Column:
+    return line.rlike("[^\\x20\\x09-\\x0D]")
 
-    def of_words(w: Column) -> Column:
-        n = F.size(w)
-        gram = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])
-        return F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), gram)).otherwise(F.array(F.xxhash64(F.array_join(w, " "), n)))
 
-    return F.get(F.transform(F.array(words_of(line)), of_words), F.lit(0))
+def _words(line: Column) -> Column:
+    """Words of a text that has one."""
+    return F.split(F.btrim(line, F.lit(_BLANKS)), "[\\x20\\x09-\\x0D]+")
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(2**BUCKET_BITS - 1)).cast("int")
+def _slot(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(2**SLOT_BITS - 1)).cast("int")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, line_no, line) of every line with a word."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.col(text_col).cast("string")
     return (
-        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("__text"))
-        .select("doc", "th", F.posexplode(F.split("__text", "\n")).alias("line_no", "line"))
-        .where(F.length(F.translate("line", "\x20\x09\x0a\x0b\x0c\x0d", "")) > 0)
+        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("__text"))
+        .where(F.col("__text").isNotNull())
+        .select("doc", F.xxhash64("__text").alias("th"), F.posexplode(F.split("__text", "\n")).alias("line_no", "line"))
+        .where(_has_word(F.col("line")))
     )
 
 
-def rarity(all_lines: DataFrame) -> Column:
-    """Array of 65,536 ranks: the rarest bucket has rank 0."""
-    counts = all_lines.select(F.explode(_tokens(F.col("line"))).alias("t")).groupBy(_bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n")).collect()
-    n = dict.fromkeys(range(2**BUCKET_BITS), 0) | {r["b"]: r["n"] for r in counts}
-    ranks = [0] * len(n)
-    for rank, b in enumerate(sorted(n, key=lambda b: (n[b], b))):
-        ranks[b] = rank
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+def levels(docs: DataFrame, text_col: str = "text") -> Column:
+    """Array of a level for each slot: 0 for rare words, else twice log2 of how often the slot's most frequent word occurs."""
+    text = F.col(text_col).cast("string")
+    words = docs.select(text.alias("__text")).where(_has_word(F.col("__text"))).select(F.explode(_words(F.col("__text"))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").alias("t")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(63), F.floor(2 * F.log2(F.max("n")))).cast("int")
+    slots = counts.groupBy(_slot(F.col("t")).alias("slot")).agg(level.alias("level"))
+    chunks = slots.groupBy(F.shiftright("slot", 8)).agg(F.collect_list(F.col("slot") * 64 + F.col("level")).alias("x")).collect()
+    found = [x for r in chunks for x in r["x"]]
+    share = [0] * 65
+    for x in found:
+        share[x % 64] += 1
+    least = next(v for v in range(1, 65) if sum(share[v:]) <= 2**SLOT_BITS // 4)
+    out = [0] * 2**SLOT_BITS
+    for x in found:
+        if x % 64 >= least:
+            out[x // 64] = x % 64
+    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "array<int>")
 
 
 def ordered_tokens(line: Column, ranks: Column) -> Column:
-    """Distinct tokens as numbers in order of rarity: the bucket's rank, then the hash without its bucket."""
-    high = lambda t: F.call_function("shiftleft", F.get(ranks, _bucket(t)).cast("long"), F.lit(47))
-    return F.sort_array(F.array_distinct(F.transform(_tokens(line), lambda t: high(t).bitwiseOR(F.call_function("shiftrightunsigned", t, F.lit(17))))))
-
-
-def _prefix(tokens: Column) -> Column:
-    n = F.size(tokens)
-    return F.slice(tokens, F.lit(1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1)
-
-
-def _parities(tokens: Column) -> list[Column]:
-    """Parity of the number of tokens in each of 64 * PARITY_WORDS hash buckets, 64 to a number."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    own = lambda k: F.filter(tokens, lambda t: F.call_function("shiftright", t, F.lit(6)).bitwiseAND(F.lit(PARITY_WORDS - 1)) == k)
-    return [F.aggregate(own(k), F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t))).alias(f"p{k}") for k in range(PARITY_WORDS)]
-
-
-def _matches(earlier: DataFrame, later: DataFrame, bits: list[str]) -> DataFrame:
-    """(first_a, first_b), distinct: rows of one token that the filters let through, a before b."""
-    columns = ("first", "n", "at", *bits)
-    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for x, s in ((earlier, "a"), (later, "b")))
-    n, m = F.col("n_a"), F.col("n_b")
-    need = F.ceil((n + m) * PERCENT / (100.0 + PERCENT) - 1e-9)
-    bound = F.least("at_a", "at_b") + F.least(n - F.col("at_a"), m - F.col("at_b"))
-    own = lambda s: F.col(f"at_{s}") <= F.col(f"n_{s}") - F.ceil(F.col(f"n_{s}") * 2 * PERCENT / (100.0 + PERCENT) - 1e-9)
-    differ = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits)
-    able = (
-        (F.col("first_a") < F.col("first_b"))
-        & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
-        & F.when(n <= m, own("a")).otherwise(own("b"))
-        & (bound >= need)
-        & (differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
-    )
-    return a.join(b, "token").where(able).select("first_a", "first_b").distinct()
+    """Distinct tokens of a line as numbers in order of rarity."""
+    high = lambda t: F.shiftleft(F.get(ranks, _slot(t)).cast("long"), _LEVEL_AT)
+    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(high(t))))
+
+
+def classes_of(all_lines: DataFrame, ranks: Column) -> DataFrame:
+    """(k1, k2, doc, th, line_no, copies, n, prefix, parity): one row for all lines that are equal; place, of the first."""
+    sets = all_lines.select(*_PLACE, F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), ordered_tokens(F.col("line"), ranks).alias("t"))
+    n = F.size("t")
+    parity = F.aggregate("t", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.slice("t", F.lit(1), n - F.expr(f"int(({PERCENT} * size(t) + 99) div 100)") + 1)
+    own = sets.select("k1", "k2", F.struct(*_PLACE).alias("place"), n.alias("n"), prefix.alias("prefix"), parity.alias("parity"))
+    grouped = own.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity")])
+    return grouped.select("k1", "k2", "place.*", "copies", "n", "prefix", "parity")
+
+
+def _spread(classes: DataFrame) -> DataFrame:
+    """(token, salt, doc, th, line_no, n, at, parity): a row for each token of each prefix."""
+    rows = classes.select(*_PLACE, "n", "parity", F.posexplode("prefix").alias("at", "token"))
+    bits = F.greatest(F.lit(0), F.expr(f"int(shiftrightunsigned(token, {_LEVEL_AT}) div 2)") - SALT_ROWS_BITS)
+    return rows.withColumn("salt", F.pmod(F.col("th") + F.col("line_no"), F.call_function("shiftleft", F.lit(1).cast("long"), bits)).cast("int")).withColumn("salted", bits > 0)
+
+
+def _able() -> str:
+    """Whether the filters let a pair (columns ending in _a, _b) through; integers all through."""
+    p, q = PERCENT, 100 + PERCENT
+    short = lambda s: f"at_{s} <= n_{s} - ({2 * p} * n_{s} + {q - 1}) div {q}"
+    return f"""struct(doc_a, th_a, line_no_a) < struct(doc_b, th_b, line_no_b)
+        and 100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)
+        and if(n_a <= n_b, {short("a")}, {short("b")})
+        and (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) * {q} >= {p} * (n_a + n_b)
+        and bit_count(parity_a ^ parity_b) * {q} <= {100 - p} * (n_a + n_b)"""
+
+
+def _sides(a: DataFrame, b: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+    columns = (*_PLACE, "n", "at", "parity", *more)
+    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in columns]) for x, s in ((a, "a"), (b, "b")))
+    return left.join(right, on)
+
+
+def _pair() -> list[Column]:
+    return [F.struct(*[F.col(f"{c}_{s}").alias(c) for c in _PLACE]).alias(f"first_{s}") for s in "ab"]
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df (written), to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
 
 
 def _verified(pairs: DataFrame, all_lines: DataFrame, ranks: Column) -> DataFrame:
-    """The pairs whose full token sets are alike enough."""
-    met = pairs.select(F.col("first_a").alias("first")).unionByName(pairs.select("first_b").toDF("first")).distinct().select("first.*")
-    place = F.struct("doc", "th", "line_no").alias("first")
-    sets = Table(all_lines.join(met, ["doc", "th", "line_no"]).dropDuplicates(["doc", "th", "line_no"]).select(place, ordered_tokens(F.col("line"), ranks).alias("t"))).df
+    """Of (first_a, first_b) the pairs whose full token sets are alike enough."""
+    met = Table(pairs.select(F.col("first_a").alias("first")).unionByName(pairs.select("first_b").toDF("first")).distinct().select("first.*"))
+    place = F.struct(*_PLACE).alias("first")
+    asked = all_lines.join(_sent(met.df), list(_PLACE)).dropDuplicates(list(_PLACE))
+    sets = Table(asked.select(place, ordered_tokens(F.col("line"), ranks).alias("t")))
     both = F.size(F.array_intersect("t_a", "t_b"))
-    links = (
-        pairs.join(sets.toDF("first_a", "t_a"), "first_a")
-        .join(sets.toDF("first_b", "t_b"), "first_b")
+    links = Table(
+        pairs.join(sets.df.toDF("first_a", "t_a"), "first_a")
+        .join(sets.df.toDF("first_b", "t_b"), "first_b")
         .where(both * 100 >= (F.size("t_a") + F.size("t_b") - both) * PERCENT)
         .select("first_a", "first_b")
     )
-    return Table(links).df
+    met.drop()
+    sets.drop()
+    return links.df
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, th, line_no) of every line that goes, and verified links between classes of lines, one or more for each later class that goes."""
     all_lines = lines(docs, id_col, text_col)
-    ranks = rarity(all_lines)
-    key = ("k1", "k2", "n")
-    keyed = Table(
-        all_lines.select("doc", "th", "line_no", ordered_tokens(F.col("line"), ranks).alias("t"))
-        .select("doc", "th", "line_no", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"), F.size("t").alias("n"), _prefix(F.col("t")).alias("prefix"), *_parities(F.col("t")))
-    ).df
-    place = F.struct("doc", "th", "line_no")
-    bits = [f"p{k}" for k in range(PARITY_WORDS)]
-    classes = keyed.groupBy(*key).agg(F.min(place).alias("first"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in bits])
-    spread = classes.where("n >= 4").select("first", "n", *bits, F.posexplode("prefix").alias("at", "token"))
-    heads = spread.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("first", "n", "at", *bits)).alias("head")).where("c > 1")
-    spread = Table(spread.join(heads.select("token"), "token")).df
-    links = _verified(Table(_matches(heads.select("token", "head.*"), spread, bits)).df, all_lines, ranks)
-    gone = links.select(F.col("first_b").alias("first")).distinct()
-    links = links.unionByName(_verified(Table(_matches(spread, spread.join(gone, "first", "left_anti"), bits)).df, all_lines, ranks))
-    later = links.select(F.col("first_b").alias("first")).distinct().select("first.*")
-    copies = keyed.join(classes.select(*key, "first"), list(key)).where(F.struct("doc", "th", "line_no") != F.col("first")).select("doc", "th", "line_no")
+    ranks = levels(docs, text_col)
+    classes = Table(classes_of(all_lines, ranks)).df
+
+    order = F.row_number().over(Window.partitionBy("token", "salt").orderBy(*_PLACE))
+    spread = _spread(classes).withColumn("rank", order)
+    ranked = _sides(spread.where(F.col("rank") <= NEAR), spread, ["token", "salt"], ["rank", "salted"])
+    # a token's first row with itself, or with the first that is left out, tells that the token is open
+    mark = (F.col("rank_a") == 1) & ((F.col("rank_b") == NEAR + 1) | (F.col("rank_b") == 1) & F.col("salted_a"))
+    near = (F.col("rank_a") == 1) | (F.col("rank_b") <= NEAR)
+    pair = near & F.expr(_able())
+    found = Table(ranked.where(pair | mark).select(*_pair(), F.when(mark, F.col("token")).alias("open"), pair.alias("pair")))
+    links = _verified(Table(found.df.where("pair").select("first_a", "first_b").distinct()).df, all_lines, ranks)
+    opened = Table(found.df.where("open is not null").select(F.col("open").alias("token")).distinct()).df
+    found.drop()
+    if not opened.isEmpty():
+        gone = links.select("first_b.*").distinct()
+        rest = Table(_spread(classes).join(_sent(opened), "token")).df
+        later = _sides(rest, rest.join(gone, list(_PLACE), "left_anti"), ["token"], [])
+        links = links.unionByName(_verified(Table(later.where(_able()).select(*_pair()).distinct()).df, all_lines, ranks))
+    later = links.select("first_b.*").distinct()
+    several = classes.where("copies > 1").select("k1", "k2", F.struct(*_PLACE).alias("first"))
+    keyed = all_lines.select(*_PLACE, F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+    copies = keyed.join(several, ["k1", "k2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
     return copies.unionByName(later), links
 
 
-def _removed_numbers(docs: DataFrame) -> DataFrame:
-    gone, _ = removed_lines(docs)
-    return gone.groupBy("doc", "th").agg(F.collect_set("line_no").alias("__gone"))
-
-
-def _with_removed(docs: DataFrame) -> DataFrame:
-    numbers = _removed_numbers(docs).toDF("__doc", "__th", "__gone")
-    own = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return own.join(numbers, (F.col("__id") == F.col("__doc")) & (F.col("__h") == F.col("__th")), "left")
+def _with_removed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with an array of the numbers of the lines that go, null for none, and that column's name."""
+    doc, th, gone = (free_name(docs, x) for x in ("doc", "th", "gone"))
+    removed = Table(removed_lines(docs)[0].groupBy("doc", "th").agg(F.collect_set("line_no").alias("gone"))).df
+    small = (removed.agg(F.sum(F.size("gone"))).first()[0] or 0) <= MAX_SENT
+    numbers = (F.broadcast(removed) if small else removed).toDF(doc, th, gone)
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
+    return docs.join(numbers, own, "left").drop(doc, th), gone
 
 
-def _kept_text() -> Column:
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+def _kept_text(gone: str) -> Column:
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with later matches cut out of text; a text may become empty, its row stays."""
-    return _with_removed(docs).select(*[_kept_text().alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    own, gone = _with_removed(docs)
+    return own.select(*[_kept_text(gone).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: lines, removed lines and what is kept of every document."""
-    has_word = lambda x: F.length(F.translate(x, "\x20\x09\x0a\x0b\x0c\x0d", "")) > 0
     text = F.coalesce("text", F.lit(""))
-    return _with_removed(documents(spark, sf_dir)).select(
+    own, gone = _with_removed(documents(spark, sf_dir))
+    return own.select(
         "doc_id",
-        F.size(F.filter(F.split(text, "\n"), has_word)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(_kept_text(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.size(F.filter(F.split(text, "\n"), _has_word)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(_kept_text(gone), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
-#: The same rows in DuckDB SQL, over all lines that share a token.
+#: The same rows in DuckDB SQL: lines that share one of their rarest words, verified on whole sets.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT doc_id, i, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws
+l AS (SELECT doc_id, i, x, list_sort(list_distinct(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS ws
       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
-s AS (SELECT doc_id, i, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' ')))
-                             ELSE [array_to_string(ws, ' ') || ' #'] END AS g FROM l WHERE len(ws) > 0),
-c AS (SELECT list_sort(g) AS g, min((doc_id, i)) AS f FROM s GROUP BY 1),
-e AS (SELECT f, len(g) AS n, unnest(g) AS w FROM c),
-p AS (SELECT a.f AS fa, b.f AS fb, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.w = b.w AND a.f < b.f GROUP BY 1, 2),
-later AS (SELECT DISTINCT fb AS f FROM p WHERE 100 * m >= 80 * (na + nb - m)),
-gone AS (SELECT doc_id, i FROM s JOIN c ON list_sort(s.g) = c.g WHERE (doc_id, i) <> c.f OR c.f IN (SELECT f FROM later)),
+c AS MATERIALIZED (SELECT ws, len(ws) AS n, min((doc_id, i)) AS f FROM l WHERE len(ws) > 0 GROUP BY ws),
+e AS (SELECT f, n, unnest(ws) AS w FROM c),
+r AS (SELECT f, n, w, row_number() OVER (PARTITION BY f ORDER BY df, w) AS k FROM e JOIN (SELECT w, count(*) AS df FROM e GROUP BY w) USING (w)),
+x AS MATERIALIZED (SELECT f, n, w FROM r WHERE k <= n - (80 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.f AS fa, b.f AS fb FROM x a JOIN x b ON a.w = b.w AND a.f < b.f AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+m AS (SELECT fb, len(list_intersect(a.ws, b.ws)) AS k, a.n AS na, b.n AS nb FROM p JOIN c a ON a.f = fa JOIN c b ON b.f = fb),
+later AS (SELECT DISTINCT fb AS f FROM m WHERE 100 * k >= 80 * (na + nb - k)),
+gone AS (SELECT doc_id, i FROM l JOIN c ON l.ws = c.ws WHERE (doc_id, i) <> c.f OR c.f IN (SELECT f FROM later)),
 k AS (SELECT l.doc_id, count(*) FILTER (WHERE len(ws) > 0) AS n_lines, count(gone.i) AS n_removed, string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL) AS kept
       FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY l.doc_id)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k

@@ -284,24 +284,24 @@ def test_patterns_hold_all_pieces():
 
 
 def held_line_dedup(spark, rows):
-    """remove_lines() of the rows is as brute force has it."""
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows if i is not None], "doc_id long, text string, line_no int")
-    got = {(r.doc_id, r.text) for r in line_dedup.remove_lines(docs).collect()}
-    seen, want = [], set()
-    for i, t in sorted({(i, t) for i, t in rows if i is not None}, key=lambda r: (r[0], r[1] or "")):
+    """remove_lines() of the rows is as brute force has it; null ids come last."""
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in rows], "doc_id long, text string, line_no int, __gone int, doc int, `a.b` string")
+    out = line_dedup.remove_lines(docs)
+    assert out.columns == docs.columns
+    got = Counter((r[0], r[1], *r[2:]) for r in out.collect())
+    seen, kept_of = [], {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         kept = []
         for line in (t or "").split("\n"):
-            w = words(line)
-            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
-            if w and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+            s = set(words(line))
+            if s and any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                seen.append(s)  # every line of the input counts as an earlier one, also those that go
                 continue
             kept.append(line)
-            if w:
+            if s:
                 seen.append(s)
-        want.add((i, None if t is None else "\n".join(kept)))
-        # every line of the input counts as an earlier one, also those that went
-        seen += [({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) for line in (t or "").split("\n") if (w := words(line))]
-    assert got == want
+        kept_of[i, t] = None if t is None else "\n".join(kept)
+    assert got == Counter((i, kept_of[i, t], 1, 2, 3, "x") for i, t in rows)
 
 
 def test_line_dedup(spark, rows):
@@ -312,3 +312,23 @@ def test_line_dedup_dense(spark):
     rng = random.Random(12)
     made = chain(rng, 120, 40, 4)
     held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(40)])
+
+
+def test_line_dedup_short_lines_and_words(spark):
+    rng = random.Random(14)
+    line = lambda: " ".join(f"s{rng.randrange(14)}" for _ in range(rng.randrange(1, 13)))
+    held_line_dedup(spark, [(i if i % 9 else None if i else 0, "\n".join(line() for _ in range(8)) + f"\n\n \t {line()} ") for i in range(60)])
+
+
+def test_line_dedup_salted(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SALT_ROWS_BITS", 2)
+    monkeypatch.setattr(line_dedup, "MAX_SENT", 0)  # shuffled joins
+    rng = random.Random(15)
+    made = chain(rng, 90, 30, 5) * 2
+    held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(60)])
+
+
+def test_line_dedup_empty(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert line_dedup.remove_lines(empty).collect() == []
+    held_line_dedup(spark, [(1, None), (2, ""), (3, " \n"), (4, "w " * 200_000)])

@@ -19,6 +19,7 @@ rows are packed once each; an empty table gives no pieces; extra columns are not
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ UNIT = 8
 #: The linear program stops within this share of a lower bound of its value.
 GAP = 0.001
 KEPT_CHUNKS = 800_000
+#: Letters before this one (Latin, Greek, Cyrillic) are letters in all versions of Unicode since 7.
+OLD_LETTERS_END = "\u0530"
 WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([.,!?;:|*#$%&]+)")
 
 # ---------------------------------------------------------------- tokens
@@ -45,14 +48,14 @@ class ChunkTokenizer:
     """Ids by way of chunks between ASCII white space, each tokenised once and kept.
 
     The vocabulary's pre-tokenizer drops white space and never joins what stands
-    on two sides of it, so a text's ids are its chunks' ids in a row.
+    on two sides of it, so a text's ids are its chunks' ids in a row. Strings of
+    special tokens stand for them, as in a plain call of the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
@@ -78,13 +81,14 @@ class ChunkTokenizer:
     def _learn(self, chunks: set[str]) -> None:
         """Words of letters alone are tokenised many at a time; each ends with the first token that ends a word.
 
-        A word with signs after it is the word and the signs, as the pre-tokenizer parts them.
+        A word with signs after it is the word and the signs, as the pre-tokenizer parts them. That holds for words whose normal
+        form is letters alone by any version of Unicode: others go to the library with their signs.
         """
         letters, other, joined = set(), set(), []
         for c in chunks:
             if c.isalpha():
                 letters.add(c)
-            elif m := WORD_AND_SIGNS.fullmatch(c):
+            elif (m := WORD_AND_SIGNS.fullmatch(c)) and (m[1].isascii() or max(m[1]) < OLD_LETTERS_END and unicodedata.normalize("NFC", m[1]).lower().isalpha()):
                 joined.append((c, m[1], m[2]))
                 letters.add(m[1])
                 other.add(m[2])

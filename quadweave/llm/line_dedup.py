@@ -3,21 +3,21 @@
 A line's tokens are its distinct words. Two lines match if their token sets have a Jaccard
 similarity of 0.8 or more. A line goes if any earlier line (by document id, then line) matches it.
 
-1. All words are counted. A slot of 2**SLOT_BITS holds the level (half steps of log2) of its most frequent word; the levels
+1. Equal lines are found by hashes: of those only the first goes on, so copies of any number cost one line.
+2. All words are counted. A slot of 2**SLOT_BITS holds the level (half steps of log2) of its most frequent word; the levels
    below that of the most frequent quarter of the slots count as 0. A token's number is its level, then its hash, so
    that sorted numbers stand in order of rarity.
-2. Equal lines are one class, held by its first line, so copies of any number cost one row each.
-3. Classes are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
+3. Lines are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
    shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
    join condition. The parities of token counts in 64 hash buckets differ in at most as many places as the two
    sets have tokens that only one of them has: too many rule a pair out.
-   This is done twice. First the NEAR earliest classes of a token are compared with each other and the earliest with all
-   others, which settles most of a group of near-copied lines, however large. Tokens with more classes than that are open: for
-   those, every class is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
-   Very frequent tokens are dealt into salts in the first comparison and count as open.
-4. Candidate pairs are verified on the full token sets; of a pair the later class goes.
+   This is done twice. First the NEAR earliest lines of a token are compared with each other and the earliest with all
+   others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
+   those, every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
+   Very frequent tokens are dealt into salts in the first comparison and are always open.
+4. Candidate pairs are verified on the full token sets; of a pair the later line goes.
 
-What is broadcast is counted first: above MAX_SENT rows the same join is shuffled.
+What is broadcast is counted first: above MAX_SENT line numbers the same join is shuffled.
 
 Defined results: blank lines are no lines: they are never removed or matched; null texts have no
 lines; null ids come last; rows with one id and one text are one document; an empty table gives an empty result;
@@ -35,17 +35,18 @@ from quadweave.session import Table
 
 SLOT_BITS = 18
 PERCENT = 80
-#: Classes of one token that are compared with each other at once.
-NEAR = 16
+#: Lines of one token that are compared with each other at once.
+NEAR = 256
 #: Rows of one token in a task, about; more are salted.
 SALT_ROWS_BITS = 13
-#: Rows that may be broadcast (at most 40 bytes each).
+#: Line numbers that may be broadcast (at most 40 bytes each).
 MAX_SENT = 1_000_000
 
 _LAST = 2**63 - 1
 _LEVEL_AT = 57
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-_PLACE = ("doc", "th", "line_no")
+#: A line's document, and the hash of its text with the line's number in it.
+_PLACE = ("doc", "at_line")
 
 
 def _has_word(line: Column) -> Column:
@@ -61,21 +62,59 @@ def _slot(token: Column) -> Column:
     return token.bitwiseAND(F.lit(2**SLOT_BITS - 1)).cast("int")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, th, line_no, line) of every line with a word."""
+# ---------------------------------------------------------------- documents and lines
+
+
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, v, text) of every document with a text, repeated rows once; v is the text's hash."""
     text = F.col(text_col).cast("string")
-    return (
-        docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("__text"))
-        .where(F.col("__text").isNotNull())
-        .select("doc", F.xxhash64("__text").alias("th"), F.posexplode(F.split("__text", "\n")).alias("line_no", "line"))
-        .where(_has_word(F.col("line")))
-    )
+    all_ = docs.select(_doc(id_col).alias("doc"), F.hash(text).alias("v"), text.alias("text")).where("text is not null")
+    repeated = Table(all_.groupBy("doc", "v").count().where("count > 1").select("doc", "v"))
+    n = repeated.df.count()
+    if not n:
+        return all_
+    known = F.broadcast(repeated.df) if n <= MAX_SENT else repeated.df
+    return all_.join(known, ["doc", "v"], "left_anti").unionByName(all_.join(known, ["doc", "v"], "left_semi").dropDuplicates(["doc", "v"]))
+
+
+def _with_numbers(own: DataFrame, places: DataFrame, doc: str, v: str, out: str, how: str) -> DataFrame:
+    """own with out, the array of line numbers that places has for a document."""
+    by = Table(places.groupBy("doc", F.shiftright("at_line", 32).cast("int").alias("v")).agg(F.collect_set(F.col("at_line").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("n"))).df
+    small = (by.agg(F.sum(F.size("n"))).first()[0] or 0) <= MAX_SENT
+    keys = [free_name(own, x) for x in ("doc_of", "v_of")]
+    numbers = (F.broadcast(by) if small else by).toDF(*keys, out)
+    return own.join(numbers, (F.col(doc) == F.col(keys[0])) & (F.col(v) == F.col(keys[1])), how).drop(*keys)
+
+
+def lines(own: DataFrame, *where: Column) -> DataFrame:
+    """(doc, at_line, line) of every line with a word, of (doc, v, text); where: conditions on line_no and own's columns."""
+    number = F.shiftleft(F.col("v").cast("long"), 32).bitwiseOR(F.col("line_no").cast("long"))
+    rows = own.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_has_word(F.col("line")))
+    for w in where:
+        rows = rows.where(w)
+    return rows.select("doc", number.alias("at_line"), "line")
+
 
+def copies(own: DataFrame) -> DataFrame:
+    """(doc, at_line), written: lines that are equal to an earlier one."""
+    keyed = lines(own).select(*_PLACE, F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+    several = Table(keyed.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first"))
+    known = F.broadcast(several.df) if several.df.count() <= MAX_SENT // 4 else several.df
+    out = Table(keyed.join(known, ["k1", "k2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)).df
+    several.drop()
+    return out
 
-def levels(docs: DataFrame, text_col: str = "text") -> Column:
+
+# ---------------------------------------------------------------- tokens
+
+
+def levels(own: DataFrame) -> Column:
     """Array of a level for each slot: 0 for rare words, else twice log2 of how often the slot's most frequent word occurs."""
-    text = F.col(text_col).cast("string")
-    words = docs.select(text.alias("__text")).where(_has_word(F.col("__text"))).select(F.explode(_words(F.col("__text"))).alias("w"))
+    words = own.where(_has_word(F.col("text"))).select(F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").alias("t")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(2 * F.log2(F.max("n")))).cast("int")
     slots = counts.groupBy(_slot(F.col("t")).alias("slot")).agg(level.alias("level"))
@@ -99,105 +138,102 @@ def ordered_tokens(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(high(t))))
 
 
-def classes_of(all_lines: DataFrame, ranks: Column) -> DataFrame:
-    """(k1, k2, doc, th, line_no, copies, n, prefix, parity): one row for all lines that are equal; place, of the first."""
-    sets = all_lines.select(*_PLACE, F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), ordered_tokens(F.col("line"), ranks).alias("t"))
+def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
+    """(token, salt, doc, at_line, size_at, parity): a row for each token of each line's prefix; size_at has the size of the set and the token's place."""
+    sets = firsts.select(*_PLACE, ordered_tokens(F.col("line"), ranks).alias("t"))
     n = F.size("t")
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("t", F.lit(1), n - F.expr(f"int(({PERCENT} * size(t) + 99) div 100)") + 1)
-    own = sets.select("k1", "k2", F.struct(*_PLACE).alias("place"), n.alias("n"), prefix.alias("prefix"), parity.alias("parity"))
-    grouped = own.groupBy("k1", "k2").agg(F.min("place").alias("place"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "prefix", "parity")])
-    return grouped.select("k1", "k2", "place.*", "copies", "n", "prefix", "parity")
+    rows = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), parity.alias("parity"), F.posexplode(prefix).alias("at", "token"))
+    return rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "parity")
+
 
+def _salt_bits() -> Column:
+    return F.greatest(F.lit(0), F.expr(f"int(shiftrightunsigned(token, {_LEVEL_AT}) div 2)") - SALT_ROWS_BITS)
 
-def _spread(classes: DataFrame) -> DataFrame:
-    """(token, salt, doc, th, line_no, n, at, parity): a row for each token of each prefix."""
-    rows = classes.select(*_PLACE, "n", "parity", F.posexplode("prefix").alias("at", "token"))
-    bits = F.greatest(F.lit(0), F.expr(f"int(shiftrightunsigned(token, {_LEVEL_AT}) div 2)") - SALT_ROWS_BITS)
-    return rows.withColumn("salt", F.pmod(F.col("th") + F.col("line_no"), F.call_function("shiftleft", F.lit(1).cast("long"), bits)).cast("int")).withColumn("salted", bits > 0)
+
+def _salt() -> Column:
+    return F.pmod(F.hash(*_PLACE).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), _salt_bits())).cast("int").alias("salt")
+
+
+# ---------------------------------------------------------------- pairs
 
 
 def _able() -> str:
     """Whether the filters let a pair (columns ending in _a, _b) through; integers all through."""
     p, q = PERCENT, 100 + PERCENT
-    short = lambda s: f"at_{s} <= n_{s} - ({2 * p} * n_{s} + {q - 1}) div {q}"
-    return f"""struct(doc_a, th_a, line_no_a) < struct(doc_b, th_b, line_no_b)
-        and 100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)
-        and if(n_a <= n_b, {short("a")}, {short("b")})
-        and (least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) * {q} >= {p} * (n_a + n_b)
-        and bit_count(parity_a ^ parity_b) * {q} <= {100 - p} * (n_a + n_b)"""
+    n, at = (lambda s: f"shiftright(size_at_{s}, 32)"), (lambda s: f"(size_at_{s} & 4294967295)")
+    short = lambda s: f"{at(s)} <= {n(s)} - ({2 * p} * {n(s)} + {q - 1}) div {q}"
+    return f"""100 * least({n("a")}, {n("b")}) >= {p} * greatest({n("a")}, {n("b")})
+        and bit_count(parity_a ^ parity_b) * {q} <= {100 - p} * ({n("a")} + {n("b")})
+        and (doc_a < doc_b or doc_a = doc_b and at_line_a < at_line_b)
+        and if({n("a")} <= {n("b")}, {short("a")}, {short("b")})
+        and (least({at("a")}, {at("b")}) + least({n("a")} - {at("a")}, {n("b")} - {at("b")})) * {q} >= {p} * ({n("a")} + {n("b")})"""
+
+
+_ROW = (*_PLACE, "size_at", "parity")
 
 
-def _sides(a: DataFrame, b: DataFrame, on: list[str], more: list[str]) -> DataFrame:
-    columns = (*_PLACE, "n", "at", "parity", *more)
-    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in columns]) for x, s in ((a, "a"), (b, "b")))
+def _sides(a: DataFrame, b: DataFrame, on: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in (*_ROW, *more)]) for x, s in ((a, "a"), (b, "b")))
     return left.join(right, on)
 
 
-def _pair() -> list[Column]:
-    return [F.struct(*[F.col(f"{c}_{s}").alias(c) for c in _PLACE]).alias(f"first_{s}") for s in "ab"]
+_PAIR = [f"{c}_{s}" for s in "ab" for c in _PLACE]
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """df (written), to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= MAX_SENT else df
+def _of(pairs: DataFrame, side: str) -> DataFrame:
+    return pairs.select(*[F.col(f"{c}_{side}").alias(c) for c in _PLACE])
 
 
-def _verified(pairs: DataFrame, all_lines: DataFrame, ranks: Column) -> DataFrame:
-    """Of (first_a, first_b) the pairs whose full token sets are alike enough."""
-    met = Table(pairs.select(F.col("first_a").alias("first")).unionByName(pairs.select("first_b").toDF("first")).distinct().select("first.*"))
-    place = F.struct(*_PLACE).alias("first")
-    asked = all_lines.join(_sent(met.df), list(_PLACE)).dropDuplicates(list(_PLACE))
-    sets = Table(asked.select(place, ordered_tokens(F.col("line"), ranks).alias("t")))
+def verified(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
+    """Of pairs (written) those whose full token sets are alike enough."""
+    met = _with_numbers(own, _of(pairs, "a").unionByName(_of(pairs, "b")), "doc", "v", "met", "inner")
+    sets = Table(lines(met, F.array_contains("met", F.col("line_no"))).select(*_PLACE, ordered_tokens(F.col("line"), ranks).alias("t")))
     both = F.size(F.array_intersect("t_a", "t_b"))
+    sides = [sets.df.toDF(*[f"{c}_{s}" for c in (*_PLACE, "t")]) for s in "ab"]
     links = Table(
-        pairs.join(sets.df.toDF("first_a", "t_a"), "first_a")
-        .join(sets.df.toDF("first_b", "t_b"), "first_b")
+        pairs.join(sides[0], ["doc_a", "at_line_a"])
+        .join(sides[1], ["doc_b", "at_line_b"])
         .where(both * 100 >= (F.size("t_a") + F.size("t_b") - both) * PERCENT)
-        .select("first_a", "first_b")
+        .select(*_PAIR)
     )
-    met.drop()
     sets.drop()
     return links.df
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, th, line_no) of every line that goes, and verified links between classes of lines, one or more for each later class that goes."""
-    all_lines = lines(docs, id_col, text_col)
-    ranks = levels(docs, text_col)
-    classes = Table(classes_of(all_lines, ranks)).df
-
-    order = F.row_number().over(Window.partitionBy("token", "salt").orderBy(*_PLACE))
-    spread = _spread(classes).withColumn("rank", order)
-    ranked = _sides(spread.where(F.col("rank") <= NEAR), spread, ["token", "salt"], ["rank", "salted"])
-    # a token's first row with itself, or with the first that is left out, tells that the token is open
-    mark = (F.col("rank_a") == 1) & ((F.col("rank_b") == NEAR + 1) | (F.col("rank_b") == 1) & F.col("salted_a"))
-    near = (F.col("rank_a") == 1) | (F.col("rank_b") <= NEAR)
-    pair = near & F.expr(_able())
-    found = Table(ranked.where(pair | mark).select(*_pair(), F.when(mark, F.col("token")).alias("open"), pair.alias("pair")))
-    links = _verified(Table(found.df.where("pair").select("first_a", "first_b").distinct()).df, all_lines, ranks)
-    opened = Table(found.df.where("open is not null").select(F.col("open").alias("token")).distinct()).df
-    found.drop()
-    if not opened.isEmpty():
-        gone = links.select("first_b.*").distinct()
-        rest = Table(_spread(classes).join(_sent(opened), "token")).df
-        later = _sides(rest, rest.join(gone, list(_PLACE), "left_anti"), ["token"], [])
-        links = links.unionByName(_verified(Table(later.where(_able()).select(*_pair()).distinct()).df, all_lines, ranks))
-    later = links.select("first_b.*").distinct()
-    several = classes.where("copies > 1").select("k1", "k2", F.struct(*_PLACE).alias("first"))
-    keyed = all_lines.select(*_PLACE, F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
-    copies = keyed.join(several, ["k1", "k2"]).where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
-    return copies.unionByName(later), links
+    """(doc, at_line) of every line that goes, and verified links between lines, one or more for each line that goes for likeness."""
+    own = texts(docs, id_col, text_col)
+    ranks = levels(own)
+    equal = copies(own)
+    firsts = lines(_with_numbers(own, equal, "doc", "v", "equal", "left"), ~F.coalesce(F.array_contains("equal", F.col("line_no")), F.lit(False)))
+
+    group = Window.partitionBy("token", "salt")
+    ranked = spread(firsts, ranks).withColumn("rank", F.row_number().over(group.orderBy(*_PLACE))).withColumn("rows", F.count("*").over(group))
+    sides = _sides(ranked, ranked, ["token", "salt"], ("rank", "rows"))
+    pair = F.expr(f"(rank_a = 1 or rank_b <= {NEAR}) and {_able()}")
+    # a token's first row brings all rows of an open token once
+    open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
+    found = Table(sides.where(f"rank_a <= {NEAR}").select("token", *_PAIR, "size_at_b", "parity_b", pair.alias("pair"), open_.alias("open")).where("pair or open"))
+    pairs = Table(found.df.where("pair").select(*_PAIR).distinct())
+    links = verified(pairs.df, own, ranks)
+    pairs.drop()
+    rest = found.df.where("open").select("token", *[F.col(f"{c}_b").alias(c) for c in _ROW])
+    if not rest.isEmpty():
+        later = _sides(rest, rest.join(_of(links, "b").distinct(), list(_PLACE), "left_anti"), ["token"]).where(_able())
+        links = links.unionByName(verified(Table(later.select(*_PAIR).distinct()).df, own, ranks))
+    return equal.unionByName(_of(links, "b").distinct()), links
+
+
+# ---------------------------------------------------------------- results
 
 
 def _with_removed(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with an array of the numbers of the lines that go, null for none, and that column's name."""
-    doc, th, gone = (free_name(docs, x) for x in ("doc", "th", "gone"))
-    removed = Table(removed_lines(docs)[0].groupBy("doc", "th").agg(F.collect_set("line_no").alias("gone"))).df
-    small = (removed.agg(F.sum(F.size("gone"))).first()[0] or 0) <= MAX_SENT
-    numbers = (F.broadcast(removed) if small else removed).toDF(doc, th, gone)
-    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(th))
-    return docs.join(numbers, own, "left").drop(doc, th), gone
+    doc, v, gone = (free_name(docs, x) for x in ("doc", "v", "gone"))
+    own = docs.withColumns({doc: _doc("doc_id"), v: F.hash(F.col("text").cast("string"))})
+    return _with_numbers(own, removed_lines(docs)[0], doc, v, gone, "left").drop(doc, v), gone
 
 
 def _kept_text(gone: str) -> Column:

@@ -1,159 +1,173 @@
 """Quality rules: fixed rules, and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-The n-grams are the last three characters of every word, hashed into BUCKETS.
-Two multinomials over the buckets are counted, of trusted documents (labelled
-good, all of them) and of all documents. A document's score is the mean over its words of log p - log q; it is kept if
-the score reaches THRESHOLD. The rule is deterministic and judges every document.
+The n-grams are all words of a text and all pairs of words that follow each other, hashed into BUCKETS.
+Two multinomials over the buckets are counted, of trusted documents (labelled good, all of them) and of all documents. A
+document's score is the mean over its n-grams of log p - log q; it is kept if the score reaches THRESHOLD. The rule is
+deterministic and judges every document. SMOOTH counts of every bucket are shared out in proportion, so that
+an n-gram nobody trusted has seen weighs less than nothing however few documents are trusted.
 
-Text is shuffled only if the trusted ids are too many to broadcast: features are array expressions inside a row, counts are
-aggregated before the shuffle into BUCKETS rows, and a document's words
-are summed on the map side, so what moves is one row per document.
+No text is shuffled unless the trusted ids are too many to broadcast: counts are aggregated before the shuffle into
+BUCKETS rows, their weights (whole thousandths, so that sums don't depend on order) become one array, and a document is
+judged inside its row.
 
 Defined results: null, empty and blank texts have no words and fail the base rules. Without
 trusted documents every n-gram weighs 0 and the base rules alone decide. Repeated
-rows are judged alike, each on its own. Extra columns pass through filter_documents().
+rows are judged alike, each on its own. An empty table gives an empty result. Extra columns of any name pass through filter_documents().
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quadweave.llm.common import documents, labels
-from quadweave.session import Table
+from quadweave.llm.common import documents, free_name, labels
 
-BUCKETS = 16381
-THRESHOLD = -0.5
-SMOOTH = 0.5
+#: A prime, so that all bits of a hash count.
+BUCKETS = 262139
+PAIR = 1000003
+THRESHOLD = -0.25
+SMOOTH = 5
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
+#: Ids that may be broadcast (16 bytes each).
+MAX_SENT = 1_000_000
 
-_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-_SYMBOLS = "#*$%&|<>"
+_BLANK = "[\\x20\\x09-\\x0D]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, _BLANK), "")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hashes(words: Column) -> Column:
+    """A number below 2**32 for each word: the first digits of its MD5."""
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def grams(h: Column) -> Column:
+    """Buckets of all words and of all pairs of neighbours, of the words' hashes."""
+    pairs = F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: (F.get(h, i) * PAIR + x) % BUCKETS)
+    return F.concat(F.transform(h, lambda x: x % BUCKETS), pairs)
 
 
-def n_repeat_words(words: Column) -> Column:
-    """Words inside a window of three that occurs twice or more in the array.
+def n_repeat_words(words: Column, h: Column) -> Column:
+    """Words inside a window of three that occurs twice or more in the array; h: the words' hashes.
 
-    Each window becomes one number, its hash with the position in the low
-    bits; sorted, equal windows are neighbours.
+    Each window becomes one number, its hash with the position in the low bits; sorted, equal windows are
+    neighbours. The words of neighbours with one hash are compared.
     """
     n = F.size(words)
     bits = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int") + 1)
-
-    def bound(value: Column, use) -> Column:
-        """use(value), with value computed once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
+    at = lambda i, k: F.get(h, i + k)
 
     def of_mask(high: Column) -> Column:
+        low = F.bitwise_not(high)
+
         def hashed(i: Column) -> Column:
-            return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))
+            return F.xxhash64(at(i, 0), at(i, 1), at(i, 2)).bitwiseAND(high).bitwiseOR(i.cast("long"))
 
         def repeated(s: Column) -> Column:
-            same = lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(high) == 0, F.lit(False))
+            def same(x: Column, y: Column) -> Column:
+                i, j = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
+                words_too = lambda: (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
+                return F.when(x.bitwiseXOR(y).bitwiseAND(high) == 0, words_too()).otherwise(False)
+
             return F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
 
-        places = lambda s: F.sort_array(F.transform(repeated(s), lambda x: x.bitwiseAND(F.bitwise_not(high))))
-        return bound(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), hashed)), lambda s: bound(places(s), covered))
+        places = lambda s: F.sort_array(F.transform(repeated(s), lambda x: x.bitwiseAND(low)))
+        return _bound(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), hashed)), lambda s: _bound(places(s), covered))
 
     def covered(p: Column) -> Column:
         three = F.lit(3).cast("long")
         return F.aggregate(F.transform(p, lambda x, k: F.least(three, F.coalesce(F.get(p, k + 1) - x, three))), F.lit(0).cast("long"), lambda a, x: a + x)
 
     mask = F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(bound(mask, of_mask))
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(_bound(mask, of_mask))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), one row per row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, _BLANKS) > 0)
-    base = docs.select(
-        F.col(id_col),
-        words_of(text).alias("__words"),
-        _without(text, _BLANKS).cast("long").alias("word_chars"),
-        (F.length(text) - _without(text, _SYMBOLS)).cast("long").alias("n_symbols"),
-        lines.alias("__lines"),
-    )
-    return base.select(
-        id_col,
-        F.size("__words").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        n_repeat_words(F.col("__words")).alias("n_repeat_words"),
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * int(100 * MAX_REPEAT_SHARE))
+def verdict(text: Column, weights: Column | None = None, threshold: float = THRESHOLD) -> Column:
+    """One struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
+    def weighed(h: Column) -> Column:
+        if weights is None:
+            return F.lit(0.0)
+        total = F.aggregate(grams(h), F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b.cast("int")))
+        return F.when(F.size(h) > 0, total / (1000.0 * (2 * F.size(h) - 1))).otherwise(0.0)
 
-# ---------------------------------------------------------------- log-likelihood ratio
+    def of_words(w: Column) -> Column:
+        return _bound(hashes(w), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat_words(w, h).alias("n_repeat_words"), weighed(h).alias("llr")))
 
+    def judged(x: Column) -> Column:
+        failed = (x["n_words"] < MIN_WORDS) | (x["n_repeat_words"] * 100 > x["n_words"] * int(100 * MAX_REPEAT_SHARE))
+        return F.struct(
+            x["n_words"],
+            x["word_chars"],
+            F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            _bound(lines, lambda y: F.size(y) - F.size(F.array_distinct(y))).cast("long").alias("n_dup_lines"),
+            x["n_repeat_words"],
+            failed.alias("base_failed"),
+            x["llr"],
+            (~failed & (x["llr"] >= threshold)).alias("kept"),
+        )
 
-def bucket(word: Column) -> Column:
-    """Polynomial hash of a word's last three characters."""
-    end = F.substring(word, -3, 3)
-    code = lambda k: F.ascii(F.substring(end, k, 1)).cast("long")
-    return (code(1) * 17161 + code(2) * 131 + code(3)) % BUCKETS
+    return _bound(_bound(words_of(text), of_words), judged)
 
 
-def _exploded(docs: DataFrame, *cols: str) -> DataFrame:
-    return docs.select(*cols, F.explode(words_of(F.col("__text"))).alias("__word")).select(*cols, bucket(F.col("__word")).cast("int").alias("__bucket"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), one row per row."""
+    return docs.select(F.col(id_col), verdict(F.col(text_col)).alias("__v")).select(id_col, *[f"__v.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+
+
+# ---------------------------------------------------------------- log-likelihood ratio
 
 
 def trusted_ids(marks: DataFrame, id_col: str = "doc_id", label: str = "quality") -> DataFrame:
     return marks.where(F.col(label) == 1).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__bucket, __weight), at most BUCKETS rows: log p of the trusted documents less log q of all."""
-    flagged = (
-        docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-        .join(trusted.withColumn("__trusted", F.lit(1)), "__id", "left")
-        .select(F.coalesce("__trusted", F.lit(0)).alias("__trusted"), "__text")
-    )
-    counts = Table(_exploded(flagged, "__trusted").groupBy("__bucket").agg(F.count("*").alias("q"), F.sum("__trusted").alias("p"))).df
-    total = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
-    p, q = int(total["p"] or 0), int(total["q"] or 0)
-    if not p:
-        return counts.select("__bucket", F.lit(0.0).alias("__weight"))
-    more = SMOOTH * BUCKETS
-    return counts.select("__bucket", (F.log((F.col("p") + SMOOTH) / F.lit(p + more)) - F.log((F.col("q") + SMOOTH) / F.lit(q + more))).alias("__weight"))
+def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column | None:
+    """Array of BUCKETS weights in thousandths: log p of the trusted documents less log q of all. None if nothing is trusted."""
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where("__text is not null")
+    ids = trusted.withColumn("__trusted", F.lit(1))
+    ids = F.broadcast(ids) if trusted.count() <= MAX_SENT else ids
+    flagged = own.join(ids, "__id", "left").select(F.coalesce("__trusted", F.lit(0)).alias("__trusted"), "__text")
+    buckets = flagged.select("__trusted", F.explode(_bound(hashes(words_of(F.col("__text"))), grams)).alias("__bucket"))
+    counts = buckets.groupBy(F.col("__bucket").cast("int").alias("__bucket")).agg(F.count("*").alias("q"), F.sum("__trusted").alias("p"))
+    chunks = counts.groupBy((F.col("__bucket") / 256).cast("int")).agg(F.collect_list(F.struct("__bucket", "q", "p")).alias("x"))
+    totals = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("p")), lambda a, y: F.struct((a["q"] + y["q"]).alias("q"), (a["p"] + y["p"]).alias("p")))
+    # 1024 rows of counts: strings of numbers, as the driver needs no more
+    rows = chunks.select(totals.alias("t"), *[F.array_join(F.transform(F.col(f"x.{c}"), lambda y: y.cast("string")), " ").alias(c) for c in ("__bucket", "q", "p")]).collect()
+    total_q, total_p = sum(r["t"]["q"] for r in rows), sum(r["t"]["p"] for r in rows)
+    if not total_p:
+        return None
+    import numpy as np
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        k, q, p = (np.array(r[c].split(" "), np.int64) for c in ("__bucket", "q", "p"))
+        out[k] = np.round(1000 * np.log((p * (total_q / total_p) + SMOOTH) / (q + SMOOTH)))
+    return F.from_json(F.lit(json.dumps(out.tolist(), separators=(",", ":"))), "array<int>")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Features with base_failed, llr (mean over words, 0 without words) and kept, one row per row of docs.
-
-    Rows are told apart by a hash of id and text, so repeated rows share one verdict.
-    """
-    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
-    key = F.xxhash64("doc_id", "__text")
-    scored = (
-        _exploded(own.withColumn("__key", key), "__key")
-        .join(F.broadcast(weights(docs, trusted)), "__bucket")
-        .groupBy("__key")
-        .agg(F.avg("__weight").alias("llr"))
-    )
-    base = features(own.withColumn("__key", key).select(F.struct("doc_id", "__key").alias("__both"), "__text"), "__both", "__text")
-    base = base.select(F.col("__both.doc_id").alias("doc_id"), F.col("__both.__key").alias("__key"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = base.join(scored, "__key", "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    """doc_id with all that verdict() has, one row per row of docs."""
+    out = verdict(F.col("text"), weights(docs, trusted), threshold)
+    return docs.select("doc_id", out.alias("__v")).select("doc_id", "__v.*")
 
 
 def filter_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that are not kept."""
-    verdicts = Table(judge(docs, trusted, threshold).select("__key", "kept")).df  # else the filter would be pushed into the features
-    kept = verdicts.where("kept").select("__key").distinct()
-    key = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs, "kept")
+    out = verdict(F.col("text"), weights(docs, trusted), threshold)
+    return docs.withColumn(name, out["kept"]).where(F.col(name)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,14 +190,13 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'stri
 base AS (SELECT f.doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols,
                 (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
          FROM f LEFT JOIN c USING (doc_id)),
-x AS (SELECT doc_id, right(unnest(ws), 3) AS e FROM w),
-b AS (SELECT doc_id, ((CASE WHEN length(e) >= 1 THEN unicode(e[1:1]) ELSE 0 END) * 17161::BIGINT
-                      + (CASE WHEN length(e) >= 2 THEN unicode(e[2:2]) ELSE 0 END) * 131
-                      + (CASE WHEN length(e) >= 3 THEN unicode(e[3:3]) ELSE 0 END)) % 16381 AS k FROM x),
+x AS (SELECT doc_id, list_transform(ws, lambda w: ('0x' || md5(w)[1:8])::BIGINT) AS h FROM w),
+b AS (SELECT doc_id, unnest(h) % 262139 AS k FROM x
+      UNION ALL SELECT doc_id, (h[i] * 1000003 + h[i + 1]) % 262139 FROM (SELECT doc_id, h, unnest(range(1, len(h))) AS i FROM x)),
 q AS (SELECT k, count(*) AS q, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS p FROM b GROUP BY k),
-v AS (SELECT k, CASE WHEN (SELECT sum(p) FROM q) = 0 THEN 0 ELSE
-             ln((p + 0.5) / ((SELECT sum(p) FROM q) + 8190.5)) - ln((q + 0.5) / ((SELECT sum(q) FROM q) + 8190.5)) END AS weight FROM q),
-s AS (SELECT doc_id, avg(weight) AS llr FROM b JOIN v USING (k) GROUP BY doc_id),
+t AS (SELECT sum(q) AS q, sum(p) AS p FROM q),
+v AS (SELECT k, CASE WHEN t.p = 0 THEN 0 ELSE round(1000 * ln((q.p * (t.q / t.p) + 5) / (q.q + 5))) END AS weight FROM q, t),
+s AS (SELECT doc_id, sum(weight) / (1000.0 * count(*)) AS llr FROM b JOIN v USING (k) GROUP BY doc_id),
 j AS (SELECT base.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, coalesce(llr, 0) AS llr FROM base LEFT JOIN s USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND llr >= -0.5) AS kept FROM j
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND llr >= -0.25) AS kept FROM j
 """

@@ -13,15 +13,18 @@ document is scored on its whole text.
 
 Defined results: null and empty texts get the score of a text without matches;
 without any labelled row of both kinds the score is 0 and nothing is predicted;
-repeated rows are scored alike; extra columns are not read.
+repeated rows are scored alike; of several labels of one id the largest counts; entries of equal
+chance are taken in alphabetical order; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,8 +105,11 @@ class Lexicon:
         found, free = [], []
         for end, (size, weight) in self._automaton.iter(folded):
             (free if weight is None else found).append((end + 1 - size, end + 1, weight))
-        if free:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in free)]
+        if free:  # the furthest end of the phrases that begin up to a place
+            free.sort()
+            starts = [a for a, _, _ in free]
+            reach = list(accumulate((b for _, b, _ in free), max))
+            found = [f for f in found if not ((k := bisect_right(starts, f[0])) and f[1] <= reach[k - 1])]
         return found
 
     def features(self, text: str) -> tuple[float, float]:
@@ -197,21 +203,27 @@ def learn(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = (), min_doc
     return lexicon
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, limit: int = MAX_LABELLED, id_col: str = "doc_id") -> list[tuple[str, int]]:
-    """At most limit (text, label) rows outside the held-out fold, the same ones each time.
+def labelled_rows(docs: DataFrame, marks: DataFrame, label: str, limit: int = MAX_LABELLED, id_col: str = "doc_id") -> DataFrame:
+    """(__id, text, __label) of at most limit ids outside the held-out fold, the same ones each time.
 
     The sample is taken from the labels alone and is small, so it is
-    broadcast to the documents and no text is shuffled.
+    broadcast to the documents and no text is shuffled. Of an id's labels the largest counts.
     """
     some = (
         marks.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__label"))
         .where("__id is not null and __label is not null")
         .where(~held_out("__id"))
-        .dropDuplicates(["__id"])
+        .groupBy("__id")
+        .agg(F.max("__label").alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(limit)
     )
-    rows = docs.join(F.broadcast(some), docs[id_col] == some["__id"]).select("__id", "text", "__label").collect()
+    return docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(some), "__id").select("__id", "text", "__label")
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, limit: int = MAX_LABELLED, id_col: str = "doc_id") -> list[tuple[str, int]]:
+    """(text, label) of labelled_rows() on the driver, in order of id and text."""
+    rows = labelled_rows(docs, marks, label, limit, id_col).collect()
     rows.sort(key=lambda r: (r["__id"], r["text"] or ""))
     return [(r["text"] or "", r["__label"]) for r in rows]
 

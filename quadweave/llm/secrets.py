@@ -25,7 +25,7 @@ from quadweave.llm.common import documents, texts_of
 #: The kinds of spans in their order.
 KINDS = ("assign", "access", "hex", "markov")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
-MIN_CANDIDATE, THRESHOLD = 20, 0.35
+MIN_CANDIDATE, MIN_LETTERS, THRESHOLD = 16, 20, 0.35
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (MIN_ACCESS - 4))
@@ -34,14 +34,20 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE)
 
 #: Parts of ordinary identifiers for the labelled samples.
 IDENTIFIER_PARTS = (
-    "account action active address after album alias amount append array asset author backup balance batch before begin binary block body "
-    "bottom branch bucket buffer build button cache call cancel category change channel check child class clean click client close cluster "
-    "code collect color column comment commit compare complete config connect content context control convert copy count create current cursor "
-    "data database date debug decode default delete depth detail device direct display document domain download draft driver edge editor element "
-    "email empty enable encode engine entry error event example execute export factory feature field file filter first folder format frame "
-    "function global graph group handler hash header height helper history host image import index info input insert instance internal item "
-    "iterator job key label language last layer layout length level library license line link list load local lock log manager map master match"
+    "account action address album amount array author backup batch before binary block body bucket buffer build cache callback camera cancel channel "
+    "check class client color column commit compare config connect context control copy count current cursor database debug decode default delete depth "
+    "device direct display document draft driver edge editor element email empty enable engine entry error event example export factory feature "
+    "field file filter first folder format frame function gateway global graph group handler hash header height hidden history host http image import "
+    "index input insert instance internal item iterator java job json keyboard keyword kernel key kit label language layer layout level library link list load local lock "
+    "manager match memory method model module mutex name network node null number object offset option order output package page parse partition "
+    "path payload pixel platform point policy prefix previous proxy query queue quick quorum quota random range record register remote request reset "
+    "response role route schema scroll search server session shadow size socket source stack state stream string style sync table task "
+    "template thread time toggle transform tree trigger type unique unit update upload user utility validate value vector vendor version view "
+    "virtual volume wait web widget width window worker wrapper write xml yaml yield zone zoom zookeeper"
 ).split()
+_ONSETS = "b c d f g h j k l m n p q r s t v w x y z bl br ch cl cr dr fl fr gl gr kn ph pl pr qu sc sh sk sl sm sn sp st str sw th tr tw wh wr".split()
+_NUCLEI = "a e i o u ai au ea ee ie io oa oo ou y".split()
+_CODAS = ["", "", "", *"b ck ct d f ft g k l ld ll m mp n nd ng nk nt p r rd rk rm rn rt s sh ss st t th v w x y z".split()]
 
 
 # ---------------------------------------------------------------- model
@@ -63,14 +69,21 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     """Samples that are labelled by how they were made: 1 random string, 0 ordinary identifier."""
     rng = random.Random(seed)
     alphabets = ("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
-    out = [("".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randrange(20, 48))), 1) for i in range(n)]
+    out = [("".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randrange(MIN_CANDIDATE, 48))), 1) for i in range(n)]
+    made = lambda: "".join(rng.choice(_ONSETS) + rng.choice(_NUCLEI) + rng.choice(_CODAS) for _ in range(rng.randrange(1, 4)))
+    short = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 4)))
     for i in range(n):
-        parts = [rng.choice(IDENTIFIER_PARTS) for _ in range(rng.randrange(3, 7))]
+        parts = []
+        while len(parts) < 3 or len("".join(parts)) < MIN_CANDIDATE:
+            x = rng.random()
+            parts.append(rng.choice(IDENTIFIER_PARTS) if x < 0.6 else made() if x < 0.85 else short())
+            if rng.random() < 0.15:
+                parts[-1] += str(rng.randrange(0, 10 ** rng.randrange(1, 5)))
         if rng.random() < 0.4:
-            parts.append(str(rng.randrange(0, 10 ** rng.randrange(1, 5))))
-        style = i % 5
-        text = "_".join(parts) if style == 0 else "-".join(parts) if style == 1 else "/".join(parts) if style == 2 else "".join([parts[0], *(p.capitalize() for p in parts[1:])]) if style == 3 else "_".join(parts).upper()
-        out.append((text, 0))
+            parts.append(rng.choice(["", "v", "V"]) + str(rng.randrange(0, 10 ** rng.randrange(1, 5))))
+        style = i % 6
+        capital = "".join(p[:1].upper() + p[1:] for p in parts)
+        out.append((["_".join(parts), "-".join(parts), "/".join(parts), parts[0] + capital[len(parts[0]) :], "_".join(parts).upper(), capital][style], 0))
     return out
 
 
@@ -117,7 +130,7 @@ def find_spans(text: str, table: np.ndarray, threshold: float = THRESHOLD) -> li
     base = list(spans)
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+        if not any(c.isalpha() for c in word) or word.isalpha() and len(word) < MIN_LETTERS:
             continue
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue

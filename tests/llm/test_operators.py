@@ -126,16 +126,52 @@ def test_quality_features(spark, rows):
     assert Counter(tuple(r) for r in got) == Counter(brute(*r) for r in rows)
 
 
-def test_quality_verdict(spark):
+def brute_quality(rows, trusted):
+    """Verdicts from plain counts of words and pairs of words."""
+    number = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+
+    def grams(t):
+        h = [number(w) for w in words(t)]
+        return [x % 262139 for x in h] + [(x * 1000003 + y) % 262139 for x, y in zip(h, h[1:], strict=False)]
+
+    q, p = Counter(), Counter()
+    for i, t in rows:
+        q.update(grams(t))
+        if i in trusted:
+            p.update(grams(t))
+    total_q, total_p = sum(q.values()), sum(p.values())
+    weight = lambda k: round(1000 * np.log((p[k] * (total_q / total_p) + 5) / (q[k] + 5))) if total_p else 0
+    out = []
+    for i, t in rows:
+        w, g = words(t), grams(t)
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        repeats = len({j + k for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1 for k in range(3)})
+        failed = len(w) < 50 or 100 * repeats > 50 * len(w)
+        out.append((i, failed, not failed and (sum(map(weight, g)) / (1000 * len(g)) if g else 0) >= quality_rules.THRESHOLD))
+    return Counter(out)
+
+
+def test_quality_verdict(spark, rows):
     rng = random.Random(2)
-    good = [(i, " ".join(rng.choice(["stone", "river", "garden", "winter", "letter"]) + rng.choice("aeiou") for _ in range(80))) for i in range(30)]
-    bad = [(100 + i, " ".join(w + "***" for w in t.split())) for i, t in good[:6]]
-    docs = spark.createDataFrame([*good, *bad], SCHEMA)
-    out = quality_rules.judge(docs, docs.where("doc_id < 20").select(F.col("doc_id").alias("__id"))).collect()
-    assert {r.doc_id for r in out if r.kept} >= {i for i, _ in good} - {r.doc_id for r in out if r.base_failed}
-    assert not [r for r in out if r.doc_id >= 100 and r.kept]
-    none = quality_rules.judge(docs, docs.where("false").select(F.col("doc_id").alias("__id"))).collect()
+    plain = [(i, " ".join(rng.choice(["stone", "river", "garden", "winter", "letter"]) + rng.choice("aeiou") for _ in range(80))) for i in range(200, 230)]
+    signs = [lambda w: w + "***", lambda w: "&&&" + w, lambda w: w[:2] + "##" + w[2:]]
+    bad = [(300 + i, " ".join(map(signs[i % 3], t.split()))) for i, (_, t) in enumerate(plain[:12])]
+    rows = [*rows, *plain, *bad]
+    trusted = {i for i, _ in plain[:20]} | {0, 1, 2, 66}
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, __kept int, __key string, llr int")
+    ids = spark.createDataFrame([(i,) for i in trusted], "__id long")
+    out = quality_rules.judge(docs, ids).collect()
+    want = brute_quality(rows, trusted)
+    assert Counter((r.doc_id, r.base_failed, r.kept) for r in out) == want
+    assert not [r for r in out if (r.doc_id or 0) >= 300 and r.kept]
+    assert all(r.kept for r in out if 200 <= (r.doc_id or 0) < 230)
+    kept = quality_rules.filter_documents(docs, ids)
+    assert kept.columns == docs.columns
+    text_of = Counter(r.doc_id for r in kept.collect())
+    assert text_of == Counter(i for i, _, k in want.elements() if k)
+    none = quality_rules.judge(docs, ids.where("false")).collect()
     assert all(r.kept != r.base_failed for r in none)
+    assert quality_rules.judge(docs.where("false"), ids).count() == 0 == quality_rules.filter_documents(docs.where("false"), ids).count()
 
 
 def test_all_trusted_documents_count(spark):
@@ -182,6 +218,45 @@ def test_secrets(spark):
     assert clean[3] == "[SECRET]" and clean[4] is None and clean[6] == "key [SECRET] end" and clean[7] == texts[7]
 
 
+def test_secret_models():
+    """Held-out samples, identifiers that were once taken for secrets, and words of letters alone."""
+    table = secrets.train(secrets.labelled_samples())
+    held = secrets.labelled_samples(1500, seed=1234)
+    found = {label: [secrets.ratio(table, t) > secrets.THRESHOLD for t, own in held if own == label] for label in (0, 1)}
+    assert np.mean(found[1]) > 0.98 and np.mean(found[0]) < 0.005
+    for name in ("prevVersionWrapperXmlWriter2", "xmlHttpRequestUpload2Progress", "zookeeperQuorumTimeoutV2x", "wkwebview-swift-ui-kit-10-vendor", "2024-01-15-monthly-report-final", "Wahrscheinlichkeitsrechnung"):
+        assert secrets.find_spans(name, table) == []
+    assert secrets.find_spans("see qXvRkZbWmJtYhLpGzQwN now", table) == [(4, 3, 24)]
+
+
+def brute_base(text):
+    """Spans of the fixed patterns as the contract words them."""
+    out = []
+    for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secret_scan_query(spark, tmp_path):
+    rng = random.Random(6)
+    bits = ["password", "PASSWD", "api_key", "apikey", "Token", "secret", " ", ":", "=", '"', "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abcdef0123", "é", "日", "\n", "zz", "/+_.-", "ſecret"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))), "x") for i in range(300)] + [(300, None, "x"), (301, "", "x"), (5, "token=" + "a1" * 90_000, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = [], []
+    for r in secrets.query(spark, str(tmp_path)).collect():
+        own = [s for s in r.spans.split(",") if s and not s.startswith("markov")]
+        got.append((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, ",".join(own)))
+    for i, t, _ in rows:
+        base = brute_base(t or "")
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        want.append((i, *[sum(k == x for _, k, _ in base) for x in range(3)], hashlib.sha256(joined.encode()).hexdigest(), joined))
+    assert Counter(got) == Counter(want)
+    assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_fingerprints(spark, rows):
     seen = []
 
@@ -238,14 +313,84 @@ def test_byte_bpe(spark, rows):
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in out) == want
 
 
-def test_quality_neighbours():
+def brute_vote(labelled, texts):
+    """Scores by plain counts, a full singular value decomposition and a full sort."""
+    def vector(t):
+        n = np.zeros(quality_neighbours.BUCKETS + 1)
+        raw, low = t.encode(), lowered(t)
+        n[-1] = 32 * sum(a == b for a, b in zip(low, low[1:], strict=False)) ** 2 // max(len(low), 1)
+        for k in range(len(raw) - 2):
+            n[((int.from_bytes(raw[k : k + 3], "big") * 2654435761) % 2**32) >> 20] += 1
+        return np.sqrt(n)
+
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    x, y = np.array([vector(t) for t, _ in labelled]), np.array([v for _, v in labelled], float)
+    prior, has = y.mean(), x.any(axis=1)
+    x, y = x[has], y[has]
+    idf = np.log((len(x) + 1) / ((x > 0).sum(axis=0) + 1)) + 0.1
+    _, _, directions = np.linalg.svd(unit(x * idf), full_matrices=False)
+    project = lambda v: unit(unit(v * idf) @ directions[: quality_neighbours.RANK].T)
+    known, out = project(x), []
+    for t in texts:
+        v = vector(t)
+        if not v.any():
+            out.append(prior)
+            continue
+        similar = known @ project(v)
+        near = np.argsort(-similar, kind="stable")[: quality_neighbours.K]
+        weight = np.maximum(similar[near], 1e-3) ** quality_neighbours.SHARPNESS
+        out.append((weight * y[near]).sum() / weight.sum())
+    return out
+
+
+def test_quality_neighbours(spark):
     rng = random.Random(3)
-    rows = [(prose(rng, 60), 1) for _ in range(60)] + [(prose(rng, 60).replace(" ", "*** "), 0) for _ in range(40)]
-    voter = quality_neighbours.Voter(rows)
-    raw = [prose(rng, 50).encode(), prose(rng, 50).replace(" ", "*** ").encode(), b""]
-    scores = voter.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    assert scores[0] > 0.9 and scores[1] < 0.1 and scores[2] == pytest.approx(0.6)
-    assert quality_neighbours.Voter([]).score(np.zeros(0, np.uint8), np.zeros(2, np.int64)).tolist() == [0.0]
+    texts = [prose(rng, 60, 40 + 10 * (i % 4)).replace(" ", "*** " if i % 3 == 0 else " ") for i in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, None), (201, ""), (202, "ab"), (203, texts[4] * 200), (204, texts[5]), (204, texts[5]), (None, texts[6])]
+    marks = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(120)] + [(1, 0, 0), (None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, __label int, score string")
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labelled = [(t, int(i % 3 != 0)) for i, t in enumerate(texts[:120]) if not fold(i)]
+    want = brute_vote(labelled, [t or "" for _, t in rows])
+    voter = quality_neighbours.fit(docs, marks)
+    got = quality_neighbours.score(docs, voter).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert all(abs(s - w) < 0.03 for (i, _), w in zip(rows, want, strict=True) for s in by[i])
+    assert all((by[i][0] >= 0.5) == (i % 3 != 0) for i in range(120, 150))
+    assert quality_neighbours.score(docs.where("false"), voter).count() == 0
+    nothing = quality_neighbours.fit(docs, marks.where("false"))
+    assert {r.score for r in quality_neighbours.score(docs, nothing).collect()} == {0.0}
+
+
+def test_quality_neighbours_ties(spark):
+    """Of equal neighbours the smaller id counts."""
+    rows = [(i, "same text all over") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    marks = spark.createDataFrame([(i, int(k < 10)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    assert quality_neighbours.score(docs, quality_neighbours.fit(docs, marks)).first().score == pytest.approx(10 / quality_neighbours.K)
+
+
+@pytest.mark.parametrize(("module", "label", "cut", "least"), [(quality_neighbours, "quality", 0.3, 0.9), (toxicity, "toxic", 0.5, 0.9)])
+def test_held_out(spark, module, label, cut, least):
+    """Share of held-out labels of the given tables that are predicted, each class on its own."""
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_neighbours.fit(docs, marks) if module is quality_neighbours else toxicity.learn(toxicity.labelled_sample(docs, marks, "toxic"))
+    held = docs.join(marks.select("doc_id", label), "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    rows = module.score(held, model).join(marks.select("doc_id", label), "doc_id").collect()
+    for kind in (0, 1):
+        own = [r for r in rows if r[label] == kind]
+        assert len(own) > 10
+        assert sum((r.score >= cut) == bool(kind) for r in own) >= least * len(own), (label, kind, len(own), sum((r.score >= cut) == bool(kind) for r in own))
 
 
 def test_packing(spark, rows):
@@ -253,7 +398,7 @@ def test_packing(spark, rows):
 
     path = public_tokenizers.path(packing.VOCABULARY)
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    rows = [*rows, (80, "İ*"), (81, "DENİZCİ, ŞEHRİ."), (82, "a <|endoftext|> b<|startoftext|>c"), (83, "e\u0301. ǅ! ſt's")]
     pieces = packing.pack_documents(spark.createDataFrame(rows, SCHEMA), path, capacity=128).collect()
     want = Counter()
     for i, t in rows:
@@ -270,6 +415,23 @@ def test_packing(spark, rows):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
+def test_packing_ids_are_the_librarys():
+    """100,000 strings of letters, marks, signs, digits and special strings against plain calls."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    own, made = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    rng = random.Random(21)
+    letters = "aZéİıŞßſǅΩςжЁ日あ한ﬁªºﬀअाกิ\u0301\u0307\u0345\u1c89\u0870\U00010d50"
+    bits = [*letters, *letters[:8], *".,!?;:|*#$%&'-_@", *"0159²½Ⅷ", " ", "\n", "\u00a0", "\u3000", "\u200b", "'s", "'ll", "the", "Word", "<|endoftext|>", "<|startoftext|>", "<|end"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(100_000)]
+    for lo in range(0, len(texts), 20_000):
+        part = texts[lo : lo + 20_000]
+        got = made.encode(part)
+        for t, raw, e in zip(part, got, own.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == e.ids, t
+
+
 def test_patterns_hold_all_pieces():
     rng = random.Random(9)
     histogram = Counter(rng.randrange(1, 65) for _ in range(3000))
@@ -308,7 +470,8 @@ def test_line_dedup(spark, rows):
     held_line_dedup(spark, rows)
 
 
-def test_line_dedup_dense(spark):
+def test_line_dedup_dense(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEAR", 16)
     rng = random.Random(12)
     made = chain(rng, 120, 40, 4)
     held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(40)])
@@ -321,6 +484,7 @@ def test_line_dedup_short_lines_and_words(spark):
 
 
 def test_line_dedup_salted(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NEAR", 16)
     monkeypatch.setattr(line_dedup, "SALT_ROWS_BITS", 2)
     monkeypatch.setattr(line_dedup, "MAX_SENT", 0)  # shuffled joins
     rng = random.Random(15)

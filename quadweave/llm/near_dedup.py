@@ -5,10 +5,9 @@
    class from here on, so copies of any number cost one row.
 2. The forest: TREES orders of the signature's places. Each order makes a label
    whose first ROOT places name a region; regions are hash-partitioned and
-   sorted by the rest of the label. A class is compared with the next WINDOW
-   classes of its region, which are those with the longest common prefix. A
-   region of up to WINDOW + 1 classes is thus taken whole; in a larger one
-   the sorted order goes as deep as the region needs, each region as deep as itself.
+   sorted by the rest of the label. A region of up to WINDOW + 1 classes is taken whole; in a larger one
+   the order goes on, and a class is compared with the neighbour with which it has the longest common
+   prefix. So each region is as deep as it needs.
 3. A larger region is dense: there the neighbours only bring likely links together. What
    they may miss is found exactly: the dense classes' shingles are put in order of rarity, and
    classes of different components are joined on the shingles of their prefixes, with
@@ -33,13 +32,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quadweave.graph import connected_components
-from quadweave.llm.common import documents, mix, powers, slices, text_buffers, windows, word_hashes
+from quadweave.llm.common import documents, free_name, mix, powers, slices, text_buffers, windows, word_hashes
 from quadweave.session import Table
 
 SHINGLE = 5
@@ -59,6 +59,15 @@ _ADD = _rng.integers(0, 2**32, PLACES, dtype=np.uint64).astype(np.uint32)
 _ORDERS = np.array([np.concatenate([np.arange(t * ROOT, t * ROOT + ROOT), _rng.permutation(np.setdiff1d(np.arange(PLACES), np.arange(t * ROOT, t * ROOT + ROOT)))[: DEPTH - ROOT]]) for t in range(TREES)])
 
 
+#: Rows of numbers that may be broadcast (at most 40 bytes each).
+MAX_SENT = 1_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df (written), to be broadcast if it has few rows; above that the same join is shuffled."""
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
+
+
 # ---------------------------------------------------------------- sets
 
 
@@ -134,37 +143,61 @@ def labels(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sig").mapInArrow(run, "region long, deep long, rep long, n long")
 
 
+def _common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Leading places in which two label rests agree."""
+    differ = (x ^ y).view(np.uint64)
+    return np.sum([differ >> np.uint64(48 - 16 * k) == 0 for k in range(4)], axis=0)
+
+
 def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """(a, b, hits), a < b: classes that are near in some tree, by how many trees.
 
-    Pairs whose sizes rule the similarity out are left out. Classes of a region of more
-    than WINDOW + 1 also have a row with a = b.
+    A region of up to WINDOW + 1 classes is taken whole. In a larger one each class is paired with the neighbour with which it
+    has the longest common prefix (both, if equal), and has a row with a = b, which marks it as dense.
+    Pairs whose sizes rule the similarity out are left out.
     """
     dealt = labelled.repartition("region").sortWithinPartitions("region", "deep", "rep")
 
+    def pairs_of(rows: np.ndarray, first: np.ndarray, dense: np.ndarray) -> list[np.ndarray]:
+        """first: where each row's region begins; dense: of each row."""
+        deep, rep, n = rows[:, 1], rows[:, 2], rows[:, 3]
+        found = [np.column_stack([rep[dense], rep[dense]])]
+        for step in range(1, min(WINDOW, len(rows) - 1) + 1):
+            i = np.flatnonzero((first[step:] == first[:-step]) & ~dense[step:])
+            found.append(np.column_stack([i, i + step]))
+        if len(rows) > 1 and dense.any():
+            same = (first[1:] == first[:-1]) & dense[1:]
+            prefix = np.where(same, _common_prefix(deep[1:], deep[:-1]), -1)
+            before, after = np.concatenate([[-1], prefix[:-1]]), np.concatenate([prefix[1:], [-1]])
+            i = np.flatnonzero(same & ((prefix >= before) | (prefix >= after)))
+            found.append(np.column_stack([i, i + 1]))
+        marks, (i, j) = found[0], np.concatenate([np.zeros((0, 2), np.int64), *found[1:]]).T
+        fits = (np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-9) & (rep[i] != rep[j])
+        x, y = rep[i[fits]], rep[j[fits]]
+        return [marks, np.column_stack([np.minimum(x, y), np.maximum(x, y)])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            now = np.column_stack([np.asarray(batch.column(k)) for k in (0, 2, 3)])
-            if rest is not None:
-                now = np.concatenate([rest, now])
-            old = 0 if rest is None else len(rest)
-            region, rep, n = now[:, 0], now[:, 1], now[:, 2]
-            found = []
-            for step in range(1, min(WINDOW, len(now) - 1) + 1):
-                i = np.flatnonzero(region[step:] == region[:-step])
-                i = i[i + step >= old]  # the later one is new
-                if step == WINDOW and len(i):
-                    dense = rep[np.unique(i[:, None] + np.arange(WINDOW + 1))]
-                    found.append(np.column_stack([dense, dense]))
-                small, large = np.minimum(n[i], n[i + step]), np.maximum(n[i], n[i + step])
-                i = i[(small >= jaccard * large - 1e-9) & (rep[i] != rep[i + step])]
-                if len(i):
-                    found.append(np.column_stack([np.minimum(rep[i], rep[i + step]), np.maximum(rep[i], rep[i + step])]))
-            rest = now[-WINDOW:]
-            if found:
-                pairs, hits = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(hits.astype(np.int64))], ["a", "b", "hits"])
+        held, held_dense = np.zeros((0, 4), np.int64), False  # the region that may go on: whole, or the last row of a dense one
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else np.concatenate([held, np.column_stack([np.asarray(batch.column(k)) for k in range(4)])])
+            if not len(rows):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]])
+            sizes = np.diff(starts)
+            dense = sizes > WINDOW + 1
+            dense[0] |= held_dense
+            held, held_dense = rows[starts[-2] :], bool(dense[-1])
+            if held_dense:
+                held = held[-1:]
+            elif batch is not None:
+                rows, sizes, dense, starts = rows[: starts[-2]], sizes[:-1], dense[:-1], starts[:-1]
+            if batch is None:
+                held = held[:0]
+            if len(rows):
+                found = np.concatenate(pairs_of(rows, np.repeat(starts[:-1], sizes), np.repeat(dense, sizes)))
+                if len(found):
+                    pairs, hits = np.unique(found, axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(hits.astype(np.int64))], ["a", "b", "hits"])
 
     return dealt.mapInArrow(run, "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
 
@@ -244,7 +277,7 @@ def dense_pairs(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame:
-    """(a, b) of pairs whose full sets have 100 * intersection >= percent * union.
+    """(a, b), written: pairs whose full sets have 100 * intersection >= percent * union.
 
     pairs: (hub, leaf); texts: (rep, text). Each hub's text goes once for up to
     HUB of its leaves, each leaf's once for each of its pairs.
@@ -256,7 +289,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame:
         .distinct()
         .unionByName(own.select(F.col("leaf").alias("rep"), "hub", "__salt", F.lit(1).alias("__tag")))
     )
-    rows = asked.join(texts, "rep").repartition("hub", "__salt").sortWithinPartitions("hub", "__salt", "__tag").select("hub", "__tag", "rep", "text")
+    asked = Table(asked)
+    rows = texts.join(sent(asked.df), "rep").repartition("hub", "__salt").sortWithinPartitions("hub", "__salt", "__tag").select("hub", "__tag", "rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub_set = None
@@ -277,7 +311,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 85) -> DataFrame:
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = Table(rows.mapInArrow(run, "a long, b long")).df
+    asked.drop()
+    return links
 
 
 def _open(pairs: DataFrame, tested: DataFrame, found: DataFrame) -> DataFrame:
@@ -303,8 +339,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     near = Table(candidates(labels(classes), percent / 100)).df
 
     met = near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))).distinct()
-    named = classes.join(met, "rep", "left_semi").select("doc_id", "th", "rep")
-    texts = Table(docs.withColumn("th", F.xxhash64("text")).join(named, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"])).df
+    named = Table(classes.join(met, "rep", "left_semi").select("doc_id", "th", "rep")).df
+    own = docs.withColumn("th", F.xxhash64("text")).join(sent(named), ["doc_id", "th"]).select("rep", "text")
+    if not sets.where("set_key is not null").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["rep"])  # rows that are repeated whole
+    texts = Table(own).df
 
     pairs = near.where("a < b")
     dense = near.where("a = b").select(F.col("a").alias("rep"))
@@ -320,17 +359,17 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     )
     same_id = sets.where("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     tested = Table(best).df
-    links = Table(confirm(tested, texts, percent)).df
+    links = confirm(tested, texts, percent)
     for _ in range(2):  # one likely link of each class; large groups of near copies come together here
         open_ = _open(pairs, tested, connected_components(links, "a", "b")).where(F.col("hits") >= LIKELY)
         more = Table(open_.groupBy("leaf").agg(F.min_by("hub", F.struct("other", "hub")).alias("hub")).select("hub", "leaf")).df
         tested = tested.unionByName(more)
-        links = Table(links.unionByName(confirm(more, texts, percent))).df
+        links = links.unionByName(confirm(more, texts, percent))
     found = connected_components(links, "a", "b")
     sparse = pairs.join(both.toDF("a"), "a", "left_anti").unionByName(pairs.join(both.toDF("a"), "a", "left_semi").join(both.toDF("b"), "b", "left_anti"))
     exact = dense_pairs(dense_texts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "text"), percent)
     more = _open(sparse, tested, found).select("hub", "leaf").unionByName(exact.join(tested, ["hub", "leaf"], "left_anti"))
-    links = Table(links.unionByName(confirm(Table(more).df, texts, percent))).df
+    links = links.unionByName(confirm(Table(more).df, texts, percent))
     first = lambda c: classes.select(F.col("rep").alias(c), F.col("doc_id").alias(f"{c}_id"))
     links = links.join(first("a"), "a").join(first("b"), "b").where("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(same_id)
     components = connected_components(links, "a", "b")
@@ -340,9 +379,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one row of every group of near duplicates: that of the smallest id."""
-    gone = cluster(docs, percent=percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of every group of near duplicates: that of the smallest id, and of its rows the one with the smallest text.
+
+    Rows with a null id belong to no group and stay, as do all rows without a word.
+    """
+    found = Table(cluster(docs, percent=percent)).df
+    row, id_ = free_name(docs, "row"), free_name(docs, "id")
+    gone = Table(found.where(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct()).df
+    again = Table(found.where("n_shingles > 0 and kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_))).df
+    same = F.col("doc_id").cast("long") == F.col(id_)
+    out = docs.join(sent(gone), same, "left_anti")
+    if not again.isEmpty():
+        wordless = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+        twice = out.join(sent(again), same, "left_semi")
+        one = twice.where(~wordless).withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1).drop(row)
+        out = out.join(sent(again), same, "left_anti").unionByName(one).unionByName(twice.where(wordless))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,8 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def hashes(words: Column) -> Column:
-    """A number below 2**32 for each word: the first digits of its MD5."""
-    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
+    """The CRC-32 of each word."""
+    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
 
 
 def grams(h: Column) -> Column:
@@ -178,7 +178,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same rows in DuckDB SQL.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {documents}),
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS l FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM {documents}),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
@@ -190,7 +193,10 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'stri
 base AS (SELECT f.doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols,
                 (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
          FROM f LEFT JOIN c USING (doc_id)),
-x AS (SELECT doc_id, list_transform(ws, lambda w: ('0x' || md5(w)[1:8])::BIGINT) AS h FROM w),
+y AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT unnest(ws) AS w FROM w)),
+h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT)),
+                                            lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS h FROM y, crc),
+x AS (SELECT doc_id, list(h ORDER BY i) AS h FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN h USING (w) GROUP BY doc_id),
 b AS (SELECT doc_id, unnest(h) % 262139 AS k FROM x
       UNION ALL SELECT doc_id, (h[i] * 1000003 + h[i + 1]) % 262139 FROM (SELECT doc_id, h, unnest(range(1, len(h))) AS i FROM x)),
 q AS (SELECT k, count(*) AS q, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS p FROM b GROUP BY k),

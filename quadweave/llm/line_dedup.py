@@ -9,7 +9,7 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
    that sorted numbers stand in order of rarity.
 3. Lines are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
    shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
-   join condition. The parities of token counts in 64 hash buckets differ in at most as many places as the two
+   join condition. The parities of token counts in 128 hash buckets differ in at most as many places as the two
    sets have tokens that only one of them has: too many rule a pair out.
    This is done twice. First the NEAR earliest lines of a token are compared with each other and the earliest with all
    others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
@@ -139,13 +139,16 @@ def ordered_tokens(line: Column, ranks: Column) -> Column:
 
 
 def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(token, salt, doc, at_line, size_at, parity): a row for each token of each line's prefix; size_at has the size of the set and the token's place."""
+    """(token, salt, doc, at_line, size_at, p1, p2): a row for each token of each line's prefix; size_at has the size of the set and the token's place."""
     sets = firsts.select(*_PLACE, ordered_tokens(F.col("line"), ranks).alias("t"))
     n = F.size("t")
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t)))
+    odd = lambda t: t.bitwiseAND(F.lit(64)) != 0
+    parities = [parity(F.filter("t", odd)).alias("p1"), parity(F.filter("t", lambda t: ~odd(t))).alias("p2")]
     prefix = F.slice("t", F.lit(1), n - F.expr(f"int(({PERCENT} * size(t) + 99) div 100)") + 1)
-    rows = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), parity.alias("parity"), F.posexplode(prefix).alias("at", "token"))
-    return rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "parity")
+    rows = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, F.posexplode(prefix).alias("at", "token"))
+    return rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "p1", "p2")
 
 
 def _salt_bits() -> Column:
@@ -159,19 +162,24 @@ def _salt() -> Column:
 # ---------------------------------------------------------------- pairs
 
 
+_DIFFER = "(bit_count(p1_a ^ p1_b) + bit_count(p2_a ^ p2_b))"
+#: How far apart a pair's parities are for its size.
+_APART = f"{_DIFFER} * 1000 div (shiftright(size_at_a, 32) + shiftright(size_at_b, 32))"
+
+
 def _able() -> str:
     """Whether the filters let a pair (columns ending in _a, _b) through; integers all through."""
     p, q = PERCENT, 100 + PERCENT
     n, at = (lambda s: f"shiftright(size_at_{s}, 32)"), (lambda s: f"(size_at_{s} & 4294967295)")
     short = lambda s: f"{at(s)} <= {n(s)} - ({2 * p} * {n(s)} + {q - 1}) div {q}"
     return f"""100 * least({n("a")}, {n("b")}) >= {p} * greatest({n("a")}, {n("b")})
-        and bit_count(parity_a ^ parity_b) * {q} <= {100 - p} * ({n("a")} + {n("b")})
+        and {_DIFFER} * {q} <= {100 - p} * ({n("a")} + {n("b")})
         and (doc_a < doc_b or doc_a = doc_b and at_line_a < at_line_b)
         and if({n("a")} <= {n("b")}, {short("a")}, {short("b")})
         and (least({at("a")}, {at("b")}) + least({n("a")} - {at("a")}, {n("b")} - {at("b")})) * {q} >= {p} * ({n("a")} + {n("b")})"""
 
 
-_ROW = (*_PLACE, "size_at", "parity")
+_ROW = (*_PLACE, "size_at", "p1", "p2")
 
 
 def _sides(a: DataFrame, b: DataFrame, on: list[str], more: tuple[str, ...] = ()) -> DataFrame:
@@ -186,6 +194,19 @@ def _of(pairs: DataFrame, side: str) -> DataFrame:
     return pairs.select(*[F.col(f"{c}_{side}").alias(c) for c in _PLACE])
 
 
+def _links(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
+    """Verified pairs of (pairs with apart, not distinct): at least one for each later line that has any.
+
+    The likeliest earlier line of each goes first; the others are for lines that this leaves.
+    """
+    once = Table(pairs.groupBy(*_PAIR).agg(F.min("apart").alias("apart"))).df
+    first = F.min_by(F.struct("doc_a", "at_line_a"), F.struct("apart", "doc_a", "at_line_a")).alias("x")
+    best = Table(once.groupBy("doc_b", "at_line_b").agg(first).select("x.*", "doc_b", "at_line_b").select(*_PAIR)).df
+    links = verified(best, own, ranks)
+    rest = Table(once.join(links.select("doc_b", "at_line_b"), ["doc_b", "at_line_b"], "left_anti").join(best, _PAIR, "left_anti").select(*_PAIR)).df
+    return links.unionByName(verified(rest, own, ranks))
+
+
 def verified(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
     """Of pairs (written) those whose full token sets are alike enough."""
     met = _with_numbers(own, _of(pairs, "a").unionByName(_of(pairs, "b")), "doc", "v", "met", "inner")
@@ -215,14 +236,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair = F.expr(f"(rank_a = 1 or rank_b <= {NEAR}) and {_able()}")
     # a token's first row brings all rows of an open token once
     open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
-    found = Table(sides.where(f"rank_a <= {NEAR}").select("token", *_PAIR, "size_at_b", "parity_b", pair.alias("pair"), open_.alias("open")).where("pair or open"))
-    pairs = Table(found.df.where("pair").select(*_PAIR).distinct())
-    links = verified(pairs.df, own, ranks)
-    pairs.drop()
+    found = Table(sides.where(f"rank_a <= {NEAR}").select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart")).where("pair or open"))
+    links = _links(found.df.where("pair").select(*_PAIR, "apart"), own, ranks)
     rest = found.df.where("open").select("token", *[F.col(f"{c}_b").alias(c) for c in _ROW])
     if not rest.isEmpty():
         later = _sides(rest, rest.join(_of(links, "b").distinct(), list(_PLACE), "left_anti"), ["token"]).where(_able())
-        links = links.unionByName(verified(Table(later.select(*_PAIR).distinct()).df, own, ranks))
+        links = links.unionByName(_links(later.select(*_PAIR, F.expr(_APART).alias("apart")), own, ranks))
     return equal.unionByName(_of(links, "b").distinct()), links
 
 

@@ -1,6 +1,7 @@
 """Quality rules: fixed rules, and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
-The n-grams are all words of a text and all pairs of words that follow each other, hashed into BUCKETS.
+The n-grams are all words of a text, and around each gap between words the last two characters before and the
+first two after it, hashed into BUCKETS.
 Two multinomials over the buckets are counted, of trusted documents (labelled good, all of them) and of all documents. A
 document's score is the mean over its n-grams of log p - log q; it is kept if the score reaches THRESHOLD. The rule is
 deterministic and judges every document. SMOOTH counts of every bucket are shared out in proportion, so that
@@ -26,9 +27,8 @@ from quadweave.llm.common import documents, free_name, labels
 
 #: A prime, so that all bits of a hash count.
 BUCKETS = 262139
-PAIR = 1000003
 THRESHOLD = -0.25
-SMOOTH = 5
+SMOOTH = 20
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
 #: Ids that may be broadcast (16 bytes each).
 MAX_SENT = 1_000_000
@@ -45,15 +45,19 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _crc(text: Column) -> Column:
+    return F.crc32(text.cast("binary"))
+
+
 def hashes(words: Column) -> Column:
     """The CRC-32 of each word."""
-    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
+    return F.transform(words, _crc)
 
 
-def grams(h: Column) -> Column:
-    """Buckets of all words and of all pairs of neighbours, of the words' hashes."""
-    pairs = F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: (F.get(h, i) * PAIR + x) % BUCKETS)
-    return F.concat(F.transform(h, lambda x: x % BUCKETS), pairs)
+def grams(words: Column, h: Column) -> Column:
+    """Buckets of all words (of their hashes h), and of the four characters around each gap between words."""
+    gaps = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: _crc(F.concat(F.substring(F.get(words, i), -2, 2), F.lit(" "), F.substring(w, 1, 2))) % BUCKETS)
+    return F.concat(F.transform(h, lambda x: x % BUCKETS), gaps)
 
 
 def n_repeat_words(words: Column, h: Column) -> Column:
@@ -96,14 +100,14 @@ def verdict(text: Column, weights: Column | None = None, threshold: float = THRE
     text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
-    def weighed(h: Column) -> Column:
+    def weighed(w: Column, h: Column) -> Column:
         if weights is None:
             return F.lit(0.0)
-        total = F.aggregate(grams(h), F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b.cast("int")))
+        total = F.aggregate(grams(w, h), F.lit(0).cast("long"), lambda a, b: a + F.get(weights, b.cast("int")))
         return F.when(F.size(h) > 0, total / (1000.0 * (2 * F.size(h) - 1))).otherwise(0.0)
 
     def of_words(w: Column) -> Column:
-        return _bound(hashes(w), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat_words(w, h).alias("n_repeat_words"), weighed(h).alias("llr")))
+        return _bound(hashes(w), lambda h: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat_words(w, h).alias("n_repeat_words"), weighed(w, h).alias("llr")))
 
     def judged(x: Column) -> Column:
         failed = (x["n_words"] < MIN_WORDS) | (x["n_repeat_words"] * 100 > x["n_words"] * int(100 * MAX_REPEAT_SHARE))
@@ -139,7 +143,7 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     ids = trusted.withColumn("__trusted", F.lit(1))
     ids = F.broadcast(ids) if trusted.count() <= MAX_SENT else ids
     flagged = own.join(ids, "__id", "left").select(F.coalesce("__trusted", F.lit(0)).alias("__trusted"), "__text")
-    buckets = flagged.select("__trusted", F.explode(_bound(hashes(words_of(F.col("__text"))), grams)).alias("__bucket"))
+    buckets = flagged.select("__trusted", F.explode(_bound(words_of(F.col("__text")), lambda w: grams(w, hashes(w)))).alias("__bucket"))
     counts = buckets.groupBy(F.col("__bucket").cast("int").alias("__bucket")).agg(F.count("*").alias("q"), F.sum("__trusted").alias("p"))
     chunks = counts.groupBy((F.col("__bucket") / 256).cast("int")).agg(F.collect_list(F.struct("__bucket", "q", "p")).alias("x"))
     totals = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("p")), lambda a, y: F.struct((a["q"] + y["q"]).alias("q"), (a["p"] + y["p"]).alias("p")))
@@ -193,15 +197,15 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(ws, 'stri
 base AS (SELECT f.doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols,
                 (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
          FROM f LEFT JOIN c USING (doc_id)),
-y AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT unnest(ws) AS w FROM w)),
-h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT)),
+g1 AS (SELECT doc_id, unnest(ws) AS g FROM w
+       UNION ALL SELECT doc_id, right(ws[i], 2) || ' ' || left(ws[i + 1], 2) FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+y AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM g1)),
+h AS (SELECT g, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i : i + 1])::BIGINT)),
                                             lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1]))) AS h FROM y, crc),
-x AS (SELECT doc_id, list(h ORDER BY i) AS h FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN h USING (w) GROUP BY doc_id),
-b AS (SELECT doc_id, unnest(h) % 262139 AS k FROM x
-      UNION ALL SELECT doc_id, (h[i] * 1000003 + h[i + 1]) % 262139 FROM (SELECT doc_id, h, unnest(range(1, len(h))) AS i FROM x)),
+b AS (SELECT doc_id, h % 262139 AS k FROM g1 JOIN h USING (g)),
 q AS (SELECT k, count(*) AS q, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS p FROM b GROUP BY k),
 t AS (SELECT sum(q) AS q, sum(p) AS p FROM q),
-v AS (SELECT k, CASE WHEN t.p = 0 THEN 0 ELSE round(1000 * ln((q.p * (t.q / t.p) + 5) / (q.q + 5))) END AS weight FROM q, t),
+v AS (SELECT k, CASE WHEN t.p = 0 THEN 0 ELSE round(1000 * ln((q.p * (t.q / t.p) + 20) / (q.q + 20))) END AS weight FROM q, t),
 s AS (SELECT doc_id, sum(weight) / (1000.0 * count(*)) AS llr FROM b JOIN v USING (k) GROUP BY doc_id),
 j AS (SELECT base.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, coalesce(llr, 0) AS llr FROM base LEFT JOIN s USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND llr >= -0.25) AS kept FROM j

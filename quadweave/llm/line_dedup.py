@@ -1,6 +1,6 @@
 """Line deduplication as an exact set-similarity join, in DataFrame functions only.
 
-A line's tokens are its distinct words. Two lines match if their token sets have a Jaccard
+A line's tokens are its words, the second and further occurrences of a word as tokens of their own. Two lines match if their token sets have a Jaccard
 similarity of 0.8 or more. A line goes if any earlier line (by document id, then line) matches it.
 
 1. Equal lines are found by hashes: of those only the first goes on, so copies of any number cost one line.
@@ -27,6 +27,7 @@ extra columns of any name pass through remove_lines().
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -39,6 +40,8 @@ PERCENT = 80
 NEAR = 256
 #: Rows of one token in a task, about; more are salted.
 SALT_ROWS_BITS = 13
+#: Words of a line up to which repeated words are numbered by looking back.
+SHORT_LINE = 1000
 #: Line numbers that may be broadcast (at most 40 bytes each).
 MAX_SENT = 1_000_000
 
@@ -131,11 +134,31 @@ def levels(own: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "array<int>")
 
 
+def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(hash, how many equal ones stand before it) of sorted hashes."""
+    same = lambda x, i, k: F.get(s, i - k).eqNullSafe(x)
+
+    def short(x: Column, i: Column) -> Column:
+        out = F.when(~same(x, i, 1), use(x, F.lit(0)))
+        for k in range(2, 5):
+            out = out.when(~same(x, i, k), use(x, F.lit(k - 1)))
+        return out.otherwise(use(x, i + 1 - F.array_position(s, x).cast("int")))
+
+    def long(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i)))
+        runs = lambda p: F.transform(p, lambda b, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(p, k + 1), F.size(s)) - b - 1), lambda n: use(F.get(s, b), n)))
+        return F.flatten(F.get(F.transform(F.array(begins), runs), F.lit(0)))
+
+    return F.when(F.size(s) <= SHORT_LINE, F.transform(s, short)).otherwise(long(s))
+
+
 def ordered_tokens(line: Column, ranks: Column) -> Column:
-    """Distinct tokens of a line as numbers in order of rarity."""
+    """Tokens of a line as numbers in order of rarity."""
     high = lambda t: F.shiftleft(F.get(ranks, _slot(t)).cast("long"), _LEVEL_AT)
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(high(t))))
+    low = lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1))
+    token = lambda x, n: low(F.when(n == 0, x).otherwise(F.xxhash64(x, n))).bitwiseOR(high(x))
+    hashes = F.sort_array(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.get(F.transform(F.array(hashes), lambda s: _numbered(s, token)), F.lit(0)))
 
 
 def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
@@ -147,7 +170,9 @@ def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
     odd = lambda t: t.bitwiseAND(F.lit(64)) != 0
     parities = [parity(F.filter("t", odd)).alias("p1"), parity(F.filter("t", lambda t: ~odd(t))).alias("p2")]
     prefix = F.slice("t", F.lit(1), n - F.expr(f"int(({PERCENT} * size(t) + 99) div 100)") + 1)
-    rows = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, F.posexplode(prefix).alias("at", "token"))
+    # what is made of a whole line is made before its rows are
+    whole = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, prefix.alias("prefix"))
+    rows = whole.select(*_PLACE, "n", "p1", "p2", F.posexplode("prefix").alias("at", "token"))
     return rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "p1", "p2")
 
 
@@ -281,8 +306,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows in DuckDB SQL: lines that share one of their rarest words, verified on whole sets.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT doc_id, i, x, list_sort(list_distinct(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS ws
-      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
+r0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d),
+u AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id, i, w) AS k
+      FROM (SELECT doc_id, i, unnest(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS w FROM r0)),
+l AS MATERIALIZED (SELECT doc_id, i, x, coalesce(ws, []) AS ws FROM r0 LEFT JOIN (SELECT doc_id, i, list_sort(list(w || ' ' || k)) AS ws FROM u GROUP BY ALL) USING (doc_id, i)),
 c AS MATERIALIZED (SELECT ws, len(ws) AS n, min((doc_id, i)) AS f FROM l WHERE len(ws) > 0 GROUP BY ws),
 e AS (SELECT f, n, unnest(ws) AS w FROM c),
 r AS (SELECT f, n, w, row_number() OVER (PARTITION BY f ORDER BY df, w) AS k FROM e JOIN (SELECT w, count(*) AS df FROM e GROUP BY w) USING (w)),

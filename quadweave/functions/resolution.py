@@ -21,6 +21,10 @@ from quadweave.schema import XSD_DOUBLE
 KEY = ["cs", "cp"]
 VALUE = ["co", "o_kind", "o_dt", "o_lang"]
 OUT = [*KEY, *VALUE, "quality", "sources"]
+#: An optional column of statements: where it stands, all statements that share it and cp are conflicts, not the cluster alone.
+CONFLICT = "__conflict"
+#: Distinct values of a cluster that one task compares with all others.
+BLOCK = 512
 
 SINGLE, MANY = "SINGLEVALUED", "MANYVALUED"
 IGNORE, RETURN_ALL = "IGNORE", "RETURN_ALL"
@@ -58,25 +62,38 @@ def _join_values(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, on).drop(*[f"__r_{k}" for k in keys])
 
 
+def _far(own: DataFrame, others: DataFrame, group: list[str]) -> DataFrame:
+    """The mean distance of each value to all statements of its group.
+
+    Groups of many values are cut into blocks: a task compares a block of values with a block of others,
+    and the sums of blocks are added.
+    """
+    sizes = others.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+    hashed = F.pmod(F.xxhash64("co", "o_kind", "o_dt", "o_lang"), F.col("__blocks")).cast("int")
+    left = own.join(sizes, group).select(*dict.fromkeys([*KEY, *group]), *VALUE, hashed.alias("__row"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
+    right = others.join(sizes, group).select(*[F.col(k).alias(f"__g_{k}") for k in group], F.col("co").alias("__co"), F.col("o_kind").alias("__kind"), F.col("n").alias("__n"), hashed.alias("__other"), F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__for"))
+    d = Q.distance(F.col("co"), F.col("o_kind"), F.col("__co"), F.col("__kind"))
+    on = (F.col("__block") == F.col("__other")) & (F.col("__row") == F.col("__for"))
+    for k in group:
+        on &= F.col(k) == F.col(f"__g_{k}")
+    return left.join(right, on).groupBy(*KEY, *VALUE).agg((F.sum(d * F.col("__n")) / F.sum("__n")).alias("far"))
+
+
 def values(statements: DataFrame, single: bool, deciding: bool = True) -> DataFrame:
     """One row per distinct value of a cluster, with quality, sources and counts.
 
     Distances are between distinct values, weighted by how often each was
     stated; the join is by cluster and needed for single-valued properties only.
     """
+    wide = CONFLICT in statements.columns
     own = statements.groupBy(*KEY, *VALUE).agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_set("g")).alias("sources"), F.sum("score").alias("sum_score"), F.max("score").alias("max_score")
+        F.count("*").alias("n"), F.sort_array(F.collect_set("g")).alias("sources"), F.sum("score").alias("sum_score"), F.max("score").alias("max_score"), *([F.first(CONFLICT).alias(CONFLICT)] if wide else [])
     )
     base = F.col("max_score")
     if single:
-        other = own.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("co").alias("__co"), F.col("o_kind").alias("__kind"), F.col("n").alias("__n"))
-        d = Q.distance(F.col("co"), F.col("o_kind"), F.col("__co"), F.col("__kind"))
-        far = (
-            own.join(other, (F.col("cs") == F.col("__cs")) & (F.col("cp") == F.col("__cp")))
-            .groupBy(*KEY, *VALUE)
-            .agg((F.sum(d * F.col("__n")) / F.sum("__n")).alias("far"))
-        )
-        own = _join_values(own, far)
+        group = [CONFLICT, "cp"] if wide else KEY
+        others = statements.groupBy(*group, *VALUE).agg(F.count("*").alias("n")) if wide else own
+        own = _join_values(own, _far(own, others, group))
         base = base * (1 - F.col("far"))
     return own.withColumn("quality", Q.agreement(base, F.col("sum_score"), F.col("max_score")) if deciding else base)
 
@@ -120,7 +137,14 @@ def _mediate(aggregate: Callable[[Strategy], Column], numeric: bool = True) -> C
         new = new.withColumn("co", F.col("__v").cast("string"))
         if strategy.cardinality == SINGLE:
             d = Q.distance(F.col("__new"), F.lit("literal"), F.col("co"), F.col("o_kind"))
-            far = own.join(new.select(*KEY, F.col("co").alias("__new")), KEY).groupBy(*KEY).agg((F.sum(d) / F.count("*")).alias("__far"))
+            made = new.select(*KEY, F.col("co").alias("__new"))
+            if CONFLICT in own.columns:
+                made = made.join(own.select("cs", CONFLICT).distinct(), "cs")
+                others = own.select(F.col(CONFLICT).alias("__c"), F.col("cp").alias("__p"), "co", "o_kind")
+                compared = made.join(others, (F.col(CONFLICT) == F.col("__c")) & (F.col("cp") == F.col("__p")))
+            else:
+                compared = own.join(made, KEY)
+            far = compared.groupBy(*KEY).agg((F.sum(d) / F.count("*")).alias("__far"))
             new = new.join(far, KEY).withColumn("quality", F.col("__score") * (1 - F.col("__far")))
         else:
             new = new.withColumn("quality", F.col("__score"))

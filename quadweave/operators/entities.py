@@ -35,9 +35,16 @@ def restrict_graphs(quads: DataFrame, predicate: Column | str) -> DataFrame:
 # ---------------------------------------------------------------- clusters
 
 
-def dedupe(mapped: DataFrame) -> DataFrame:
-    """Canonical statements without repeats; one triple from two graphs is two statements."""
-    return mapped.dropDuplicates(["cs", "s_kind", "cp", "co", "o_kind", "o_dt", "o_lang", "g"])
+def dedupe(mapped: DataFrame, by_subject: Iterable[str] = ()) -> DataFrame:
+    """Canonical statements without repeats; one triple from two graphs is two statements.
+
+    Statements with a predicate of by_subject are told apart by their original subject, too.
+    """
+    key = ["cs", "s_kind", "cp", "co", "o_kind", "o_dt", "o_lang", "g"]
+    own = list(by_subject)
+    if not own:
+        return mapped.dropDuplicates(key)
+    return mapped.withColumn("__by", F.when(F.col("cp").isin(own), F.col("s"))).dropDuplicates([*key, "__by"]).drop("__by")
 
 
 def clusters(mapped: DataFrame) -> DataFrame:

@@ -12,6 +12,16 @@ from quadweave.schema import SAME_AS
 #: The exact, order-dependent choice replays links on the driver; beyond this many it is refused.
 MAX_EXACT_LINKS = 1_000_000
 
+_VOCABULARIES = {
+    "http://www.w3.org/2000/01/rdf-schema#": ["label"],
+    "http://www.w3.org/1999/02/22-rdf-syntax-ns#": ["type"],
+    "http://www.w3.org/2002/07/owl#": ["sameAs", "Nothing", "Thing", "Class"],
+    "http://purl.org/dc/terms/": ["title", "date", "source"],
+    "http://purl.org/dc/elements/1.1/": ["creator", "source", "subject"],
+}
+#: Vocabulary terms that are preferred as canonical names.
+DEFAULT_PREFERRED = [ns + name for ns, names in _VOCABULARIES.items() for name in names]
+
 
 def same_as_links(quads: DataFrame, types: Iterable[str] | None = (SAME_AS,)) -> DataFrame:
     """(s, o) of links between IRIs. types None takes every statement, as for constructed links."""

@@ -1,21 +1,31 @@
-"""The fusion plan: canonicalise, filter, resolve by policy, limit."""
+"""The fusion plan: canonicalise, choose entities, resolve by policy, limit."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quadweave.functions import quality as Q
-from quadweave.functions.resolution import GLOBAL_DEFAULT, OUT, Strategy, function
+from quadweave.functions.resolution import CONFLICT, GLOBAL_DEFAULT, OUT, Strategy, function
 from quadweave.operators import entities as E
 from quadweave.operators import mapping as M
 from quadweave.schema import TERM
+from quadweave.session import Table
 
 DEPENDENT = "DEPENDENT_RESOURCE"
 
 
+def _dependent(strategy: Strategy) -> bool:
+    return (strategy.function or "").upper() == DEPENDENT
+
+
+def _flat(strategy: Strategy) -> Strategy:
+    """Where no resource can be nested, all values are kept."""
+    return Strategy("ALL", strategy.cardinality, strategy.on_error) if _dependent(strategy) else strategy
+
+
 @dataclass
 class Policy:
     """A default strategy and strategies for properties."""
@@ -27,7 +37,7 @@ class Policy:
         """Gaps filled from the defaults, properties under their canonical names."""
         default = self.default.over(GLOBAL_DEFAULT)
         names = canonical or {}
-        plain = Strategy(default.function, default.cardinality, default.on_error)
+        plain = Strategy(default.function, default.cardinality, default.on_error, None, default.params)
         return Policy(default, {names.get(p, p): s.over(plain) for p, s in sorted(self.properties.items())})
 
     def groups(self, canonical: dict[str, str] | None = None) -> list[tuple[str, ...]]:
@@ -51,7 +61,18 @@ class Policy:
 
     def dependent_properties(self) -> list[str]:
         """Properties whose objects are resolved as nested resources."""
-        return [p for p, s in self.properties.items() if (s.function or "").upper() == DEPENDENT]
+        return [p for p, s in self.properties.items() if _dependent(s)]
+
+    def is_nested(self) -> Column | None:
+        """Whether cp is resolved as nested resources; None if no property is."""
+        named = self.dependent_properties()
+        if _dependent(self.default):
+            others = [p for p in self.properties if p not in named]
+            return ~F.col("cp").isin(others) if others else F.lit(True)
+        return F.col("cp").isin(named) if named else None
+
+    def flat(self) -> Policy:
+        return Policy(_flat(self.default), {p: _flat(s) for p, s in self.properties.items()})
 
 
 def _names(mapping: DataFrame | None, wanted: Iterable[str]) -> dict[str, str]:
@@ -66,71 +87,87 @@ def _branches(statements: DataFrame, policy: Policy) -> list[tuple[DataFrame, St
     """Statements by strategy; properties with equal strategies share a branch."""
     by: dict[tuple, tuple[Strategy, list[str]]] = {}
     for p, s in policy.properties.items():
-        if (s.function or "").upper() != DEPENDENT:
-            by.setdefault((s.function, s.cardinality, s.on_error, tuple(sorted(s.params.items()))), (s, []))[1].append(p)
-    own = [p for _, ps in by.values() for p in ps] + policy.dependent_properties()
-    default = policy.default
+        by.setdefault((s.function, s.cardinality, s.on_error, tuple(sorted(s.params.items()))), (s, []))[1].append(p)
+    own = list(policy.properties)
     out = [(statements.where(F.col("cp").isin(ps)), s) for s, ps in by.values()]
     rest = statements.where(~F.col("cp").isin(own)) if own else statements
-    return [(rest, default if (default.function or "").upper() != DEPENDENT else Strategy("ALL", default.cardinality, default.on_error)), *out]
+    return [(rest, policy.default), *out]
 
 
 def resolve_clusters(statements: DataFrame, policy: Policy) -> DataFrame:
-    """Resolved values of all clusters (cs, cp) by the policy's functions."""
+    """Resolved values of all clusters (cs, cp) by the policy's functions; none of them nested."""
     out = None
-    for part, strategy in _branches(statements, policy):
+    for part, strategy in _branches(statements, policy.flat()):
         got = function(strategy.function)(part, strategy).select(*OUT)
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def resolve_dependent(statements: DataFrame, policy: Policy, group: tuple[str, ...]) -> DataFrame:
-    """A group of properties, all from the one original subject whose values are best on the whole.
+def resolve_nested(parents: DataFrame, everything: DataFrame, policy: Policy, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Objects of parents resolved as one new resource for each cluster, one level deep.
 
-    A subject's score is the sum of its clusters' mean qualities over the size of the
-    group, so a property that it lacks counts as 0; ties go to the smallest subject.
+    Returns the parents' resolved values and the new resources' ones; the latter have parent, the
+    cluster's cs. What nested resources hold is looked up in everything. The new resource's IRI is
+    made of a hash, so a repeated run mints the same one. Literal objects keep standing as values of the parent.
     """
-    own = statements.where(F.col("cp").isin(list(group)))
-    # clusters are per original subject; the entity stays beside them
-    split = own.withColumn("__entity", F.col("cs")).withColumn("cs", F.concat_ws("\u0001", "__entity", "s"))
-    found = resolve_clusters(split, policy).withColumn("__entity", F.split_part("cs", F.lit("\u0001"), F.lit(1)))
-    score = found.groupBy("__entity", "cs", "cp").agg(F.avg("quality").alias("q")).groupBy("__entity", "cs").agg((F.sum("q") / len(group)).alias("score"))
-    best = score.groupBy("__entity").agg(F.min_by("cs", F.struct((-F.col("score")).alias("a"), F.col("cs").alias("b"))).alias("cs"))
-    return found.join(best, ["__entity", "cs"], "left_semi").withColumn("cs", F.col("__entity")).select(*OUT)
-
-
-def resolve_nested(statements: DataFrame, policy: Policy, properties: list[str], prefix: str) -> DataFrame:
-    """Objects of properties resolved as one new resource for each entity and property, one level deep.
-
-    The new resource's IRI is made of a hash, so a repeated run mints the same one.
-    Literal objects keep standing as values of the parent.
-    """
-    minted = F.concat(F.lit(prefix), F.sha2(F.concat_ws("\u0001", "cs", "cp"), 256))
-    parents = statements.where(F.col("cp").isin(properties))
+    minted = F.concat(F.lit(prefix), F.sha2(F.to_json(F.struct("cs", "cp")), 256))
     links = parents.where("o_kind <> 'literal'").select("cs", "cp", "co").distinct().withColumn("__n", minted)
-    inner = statements.join(links.select(F.col("co").alias("__of"), "__n").distinct(), statements["cs"] == F.col("__of"))
-    inner = inner.withColumn("cs", F.col("__n")).drop("__n", "__of").dropDuplicates(["cs", "cp", "co", "o_kind", "o_dt", "o_lang", "g"])
-    flat = Policy(policy.default, {p: s if (s.function or "").upper() != DEPENDENT else Strategy("ALL", s.cardinality, s.on_error) for p, s in policy.properties.items()})
-    nested = resolve_clusters(inner, flat)
+    inner = everything.drop(CONFLICT).join(links.select(F.col("co").alias("__of"), "__n", F.col("cs").alias("parent")).distinct(), F.col("cs") == F.col("__of"))
+    parent_of = links.select(F.col("__n").alias("cs"), F.col("cs").alias("parent")).distinct()
+    inner = inner.withColumn("cs", F.col("__n")).drop("__n", "__of", "parent").dropDuplicates(["cs", "cp", "co", "o_kind", "o_dt", "o_lang", "g"])
+    nested = resolve_clusters(inner, policy)
     summed = nested.groupBy(F.col("cs").alias("__n")).agg(F.avg("quality").alias("quality"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
     none = F.lit(None).cast("string")
     top = links.select("cs", "cp", "__n").distinct().join(summed, "__n", "left").select(
         "cs", "cp", F.col("__n").alias("co"), F.lit("iri").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"),
         F.coalesce("quality", F.lit(0.0)).alias("quality"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
     )
-    literals = function("ALL")(parents.where("o_kind = 'literal'"), Strategy("ALL", "MANYVALUED", "RETURN_ALL"))
-    return nested.unionByName(top).unionByName(literals.select(*OUT))
+    literals = function("ALL")(parents.where("o_kind = 'literal'"), GLOBAL_DEFAULT)
+    return top.unionByName(literals.select(*OUT)), nested.join(parent_of, "cs").select(*OUT, "parent")
+
+
+def resolve_dependent(statements: DataFrame, everything: DataFrame, policy: Policy, group: tuple[str, ...], prefix: str) -> DataFrame:
+    """A group of properties, all from the one original subject whose values are best on the whole; with parent.
+
+    A subject's score is the sum of its clusters' mean qualities over the size of the
+    group, so a property that it lacks counts as 0; ties go to the smallest subject. Clusters are
+    per subject, but the values of the entity's other subjects count as conflicts.
+    """
+    own = statements.where(F.col("cp").isin(list(group)))
+    split = own.withColumn(CONFLICT, F.col("cs")).withColumn("cs", F.concat_ws("\u0001", "cs", "s"))
+    nested = policy.is_nested()
+    found = resolve_clusters(split if nested is None else split.where(~nested), policy)
+    inner = None
+    if nested is not None:
+        top, inner = resolve_nested(split.where(nested), everything, policy, prefix)
+        found = found.unionByName(top)
+    found = Table(found).df
+    entity = F.split_part("cs", F.lit("\u0001"), F.lit(1))
+    score = found.groupBy("cs", "cp").agg(F.avg("quality").alias("q")).groupBy("cs").agg((F.sum("q") / len(group)).alias("score"))
+    best = score.groupBy(entity.alias("__entity")).agg(F.min_by("cs", F.struct((-F.col("score")).alias("a"), F.col("cs").alias("b"))).alias("cs")).select("cs")
+    out = found.join(best, "cs", "left_semi").withColumn("cs", entity).select(*OUT, F.col("cs").alias("parent"))
+    if inner is not None:
+        chosen = inner.join(best.select(F.col("cs").alias("parent")), "parent", "left_semi")
+        out = out.unionByName(chosen.select(*OUT, F.split_part("parent", F.lit("\u0001"), F.lit(1)).alias("parent")))
+    return out
 
 
 def finish(resolved: DataFrame, result_prefix: str) -> DataFrame:
-    """Resolved rows as quads; each gets a graph of its own, named after its content."""
-    graph = F.concat(F.lit(result_prefix), F.hex(F.xxhash64("cs", "cp", "co", "o_kind", "o_dt", "o_lang")))
-    return resolved.select(F.col("cs").alias("s"), F.col("cp").alias("p"), F.col("co").alias("o"), *TERM[1:], "quality", "sources", graph.alias("result_graph"))
+    """Resolved rows as quads with their entity; each gets a graph of its own, named after all that it holds.
+
+    A repeated run names the same graphs; statements of one value that differ in their sources have two.
+    """
+    graph = F.concat(F.lit(result_prefix), F.sha2(F.to_json(F.struct("cs", "cp", "co", "o_kind", "o_dt", "o_lang", "sources")), 256))
+    return resolved.select(F.col("cs").alias("s"), F.col("cp").alias("p"), F.col("co").alias("o"), *TERM[1:], "quality", "sources", graph.alias("result_graph"), F.col("parent").alias("entity"))
 
 
 @dataclass
 class FusionJob:
-    """Everything a fusion run needs; steps can be overridden in subclasses."""
+    """Everything a fusion run needs; steps can be overridden in subclasses.
+
+    Filters choose what is resolved. What nested resources hold is not filtered. Intermediate
+    tables lie in the shared folder until release() is called.
+    """
 
     policy: Policy = field(default_factory=Policy)
     links: DataFrame | None = None
@@ -140,47 +177,85 @@ class FusionJob:
     required_class: str | None = None
     only_mapped: bool = False
     only_conflicts: bool = False
+    seeds: DataFrame | None = None
     max_output: int | None = None
     result_prefix: str = "urn:quadweave:result:"
     unknown_score: float = Q.UNKNOWN_SCORE
+    tables: list[Table] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop intermediate tables; results that aren't written by then can't be computed any more."""
+        while self.tables:
+            self.tables.pop().drop()
+
+    def _written(self, df: DataFrame) -> DataFrame:
+        self.tables.append(Table(df))
+        return self.tables[-1].df
+
+    def preferred_names(self) -> DataFrame | None:
+        """Names preferred as canonical ones: those given, the policy's properties and the usual vocabulary terms."""
+        if self.links is None:
+            return None
+        mentioned = [*self.policy.properties, *(s.depends_on for s in self.policy.properties.values() if s.depends_on)]
+        known = sorted({*mentioned, *M.DEFAULT_PREFERRED})
+        own = self.links.sparkSession.createDataFrame([(u,) for u in known], "uri string")
+        return own if self.preferred is None else self.preferred.select("uri").unionByName(own)
 
     def mapping(self) -> DataFrame | None:
-        return None if self.links is None else M.build_mapping(self.links, self.preferred)
+        return None if self.links is None else self._written(M.build_mapping(self.links, self.preferred_names()))
 
-    def canonical(self, quads: DataFrame, mapping: DataFrame | None) -> DataFrame:
-        return E.dedupe(M.canonicalise(quads, mapping))
+    def canonical(self, quads: DataFrame, mapping: DataFrame | None, grouped: Iterable[str] = ()) -> DataFrame:
+        """Canonical statements without repeats. Those of grouped properties are told apart by their original subject, too."""
+        return E.dedupe(M.canonicalise(quads, mapping), grouped)
 
     def filtered(self, mapped: DataFrame, mapping: DataFrame | None) -> DataFrame:
+        """Statements to be resolved."""
+        if self.seeds is not None:
+            seeds = self.seeds.select(F.col(self.seeds.columns[0]).alias("s"))
+            mapped = E.by_seeds(mapped, M.map_column(seeds, mapping, "s", "cs") if mapping is not None else seeds.select(F.col("s").alias("cs")))
         if self.required_class:
             names = _names(mapping, [self.required_class, E.RDF_TYPE])
             mapped = E.required_class(mapped, names.get(self.required_class, self.required_class), names.get(E.RDF_TYPE, E.RDF_TYPE))
-        if self.only_mapped and mapping is not None:
-            mapped = E.only_mapped(mapped, mapping)
+        if self.only_mapped:
+            mapped = mapped.where("false") if mapping is None else E.only_mapped(mapped, mapping)
         if self.only_conflicts:
             mapped = E.only_conflicts(mapped)
-        for f in self.filters:
-            mapped = f(mapped, mapping)
-        return mapped
+        return E.apply_filters(mapped, [lambda m, f=f: f(m, mapping) for f in self.filters])
 
-    def resolve(self, statements: DataFrame, mapping: DataFrame | None) -> DataFrame:
-        """(cs, cp, value, quality, sources) of all entities in statements."""
-        mentioned = [*self.policy.properties, *(s.depends_on for s in self.policy.properties.values() if s.depends_on)]
-        names = _names(mapping, mentioned)
-        policy = self.policy.effective(names)
-        groups = self.policy.groups(names)
+    def resolve(self, statements: DataFrame, everything: DataFrame, policy: Policy, groups: list[tuple[str, ...]]) -> DataFrame:
+        """(cs, cp, value, quality, sources, parent) of all entities in statements."""
+        prefix = self.result_prefix + "nested:"
         grouped = [p for g in groups for p in g]
-        nested = [p for p in policy.dependent_properties() if p not in grouped]
-        plain = statements.where(~F.col("cp").isin([*grouped, *nested])) if grouped or nested else statements
-        out = resolve_clusters(plain, policy)
+        plain = statements.where(~F.col("cp").isin(grouped)) if grouped else statements
+        nested = policy.is_nested()
+        parent = F.col("cs").alias("parent")
+        out = resolve_clusters(plain if nested is None else plain.where(~nested), policy).select(*OUT, parent)
         for g in groups:
-            out = out.unionByName(resolve_dependent(statements, policy, g))
-        if nested:
-            out = out.unionByName(resolve_nested(statements, policy, nested, self.result_prefix + "nested:"))
+            out = out.unionByName(resolve_dependent(statements, everything, policy, g, prefix))
+        if nested is not None:
+            top, inner = resolve_nested(plain.where(nested), everything, policy, prefix)
+            out = out.unionByName(top.select(*OUT, parent)).unionByName(inner)
         return out
 
     def run(self, quads: DataFrame) -> DataFrame:
-        """Fused quads: s, p, o with its kind, datatype and language, quality, sources, result_graph."""
+        """Fused quads: s, p, o with its kind, datatype and language, quality, sources, result_graph.
+
+        Canonical statements are written once if more than one branch of the plan reads them.
+        """
         mapping = self.mapping()
-        mapped = self.filtered(self.canonical(quads, mapping), mapping)
-        statements = Q.source_scores(mapped, self.scores, self.unknown_score)
-        return E.limit_entities(finish(self.resolve(statements, mapping), self.result_prefix), self.max_output)
+        mentioned = [*self.policy.properties, *(s.depends_on for s in self.policy.properties.values() if s.depends_on)]
+        names = _names(mapping, mentioned)
+        policy, groups = self.policy.effective(names), self.policy.groups(names)
+        grouped = [p for g in groups for p in g]
+        everything = Q.source_scores(self.canonical(quads, mapping, grouped), self.scores, self.unknown_score)
+        narrowed = bool(self.filters or self.required_class or self.only_mapped or self.only_conflicts or self.seeds is not None)
+        branches = len(_branches(everything, policy)) + 2 * len(groups) + 2 * (policy.is_nested() is not None)
+        if branches > 1:
+            everything = self._written(everything)
+        statements = self.filtered(everything, mapping)
+        if narrowed and branches > 1:
+            statements = self._written(statements)
+        out = finish(self.resolve(statements, everything, policy, groups), self.result_prefix)
+        if self.max_output is not None and self.max_output >= 0:
+            out = E.limit_entities(self._written(out), self.max_output, "entity")
+        return out.drop("entity")

@@ -155,10 +155,12 @@ def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
 def ordered_tokens(line: Column, ranks: Column) -> Column:
     """Tokens of a line as numbers in order of rarity."""
     high = lambda t: F.shiftleft(F.get(ranks, _slot(t)).cast("long"), _LEVEL_AT)
-    low = lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1))
-    token = lambda x, n: low(F.when(n == 0, x).otherwise(F.xxhash64(x, n))).bitwiseOR(high(x))
+    slot = F.lit(2**SLOT_BITS - 1).cast("long")
+    # a further occurrence keeps its word's slot, so that the array of levels stands in the plan once
+    token = lambda x, n: F.when(n == 0, x).otherwise(F.xxhash64(x, n).bitwiseAND(F.bitwise_not(slot)).bitwiseOR(x.bitwiseAND(slot)))
     hashes = F.sort_array(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.get(F.transform(F.array(hashes), lambda s: _numbered(s, token)), F.lit(0)))
+    tokens = F.get(F.transform(F.array(hashes), lambda s: _numbered(s, token)), F.lit(0))
+    return F.sort_array(F.transform(tokens, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(high(t))))
 
 
 def spread(firsts: DataFrame, ranks: Column) -> DataFrame:

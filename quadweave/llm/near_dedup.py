@@ -6,14 +6,14 @@
 2. The forest: TREES orders of the signature's places. Each order makes a label
    whose first ROOT places name a region; regions are hash-partitioned and
    sorted by the rest of the label. A region of up to WINDOW + 1 classes is taken whole; in a larger one
-   the order goes on, and a class is compared with the neighbour with which it has the longest common
-   prefix. So each region is as deep as it needs.
+   the order goes on, and a class is compared with its NEAREST neighbours on either side, those with the longest
+   common prefixes. So each region is as deep as it needs.
 3. A larger region is dense: there the neighbours only bring likely links together. What
    they may miss is found exactly: the dense classes' shingles are put in order of rarity, and
    classes of different components are joined on the shingles of their prefixes, with
    length, positional and parity filters. So no link between dense classes rests on the window.
 4. Candidates are confirmed on the full sets. First each class is confirmed with its best
-   partner; then, after components are formed, twice with one likely partner in
+   partner; then, after components are formed, in ROUNDS rounds with one likely partner in
    another component; at last all candidates that still join two components,
    those of dense classes from step 3. What remains lies inside a
    component and cannot change the result.
@@ -45,7 +45,9 @@ from quadweave.session import Table
 SHINGLE = 5
 TREES, ROOT, DEPTH = 24, 4, 8
 PLACES = TREES * ROOT
-WINDOW = 16
+WINDOW, NEAREST = 16, 4
+#: Rounds in which each class may be linked with one likely partner in another component, before all that is left is tested.
+ROUNDS = 4
 HUB = 256
 PARITY_BITS = 512
 #: Orders that a pair was met in to be tried before others.
@@ -143,41 +145,29 @@ def labels(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "sig").mapInArrow(run, "region long, deep long, rep long, n long")
 
 
-def _common_prefix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Leading places in which two label rests agree."""
-    differ = (x ^ y).view(np.uint64)
-    return np.sum([differ >> np.uint64(48 - 16 * k) == 0 for k in range(4)], axis=0)
-
-
 def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """(a, b, hits), a < b: classes that are near in some tree, by how many trees.
 
-    A region of up to WINDOW + 1 classes is taken whole. In a larger one each class is paired with the neighbour with which it
-    has the longest common prefix (both, if equal), and has a row with a = b, which marks it as dense.
+    A region of up to WINDOW + 1 classes is taken whole. In a larger one each class is paired with the NEAREST classes on
+    either side, as no others have a longer common prefix with it, and has a row with a = b, which marks it as dense.
     Pairs whose sizes rule the similarity out are left out.
     """
     dealt = labelled.repartition("region").sortWithinPartitions("region", "deep", "rep")
 
     def pairs_of(rows: np.ndarray, first: np.ndarray, dense: np.ndarray) -> list[np.ndarray]:
         """first: where each row's region begins; dense: of each row."""
-        deep, rep, n = rows[:, 1], rows[:, 2], rows[:, 3]
+        rep, n = rows[:, 2], rows[:, 3]
         found = [np.column_stack([rep[dense], rep[dense]])]
         for step in range(1, min(WINDOW, len(rows) - 1) + 1):
-            i = np.flatnonzero((first[step:] == first[:-step]) & ~dense[step:])
+            i = np.flatnonzero((first[step:] == first[:-step]) & ((step <= NEAREST) | ~dense[step:]))
             found.append(np.column_stack([i, i + step]))
-        if len(rows) > 1 and dense.any():
-            same = (first[1:] == first[:-1]) & dense[1:]
-            prefix = np.where(same, _common_prefix(deep[1:], deep[:-1]), -1)
-            before, after = np.concatenate([[-1], prefix[:-1]]), np.concatenate([prefix[1:], [-1]])
-            i = np.flatnonzero(same & ((prefix >= before) | (prefix >= after)))
-            found.append(np.column_stack([i, i + 1]))
         marks, (i, j) = found[0], np.concatenate([np.zeros((0, 2), np.int64), *found[1:]]).T
         fits = (np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-9) & (rep[i] != rep[j])
         x, y = rep[i[fits]], rep[j[fits]]
         return [marks, np.column_stack([np.minimum(x, y), np.maximum(x, y)])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_dense = np.zeros((0, 4), np.int64), False  # the region that may go on: whole, or the last row of a dense one
+        held, held_dense = np.zeros((0, 4), np.int64), False  # the region that may go on: whole, or the last rows of a dense one
         for batch in chain(batches, [None]):
             rows = held if batch is None else np.concatenate([held, np.column_stack([np.asarray(batch.column(k)) for k in range(4)])])
             if not len(rows):
@@ -188,7 +178,7 @@ def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
             dense[0] |= held_dense
             held, held_dense = rows[starts[-2] :], bool(dense[-1])
             if held_dense:
-                held = held[-1:]
+                held = held[-NEAREST:]
             elif batch is not None:
                 rows, sizes, dense, starts = rows[: starts[-2]], sizes[:-1], dense[:-1], starts[:-1]
             if batch is None:
@@ -265,9 +255,12 @@ def dense_pairs(texts: DataFrame, percent: int) -> DataFrame:
     spread = Table(prefixes(texts, percent).join(parities(texts), "rep")).df
     bits = [c for c in spread.columns if c[0] == "p" and c[1:].isdigit()]
     a, b = (spread.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "at", "most", *bits)]) for s in "ab")
+    # of the smaller set, fewer shingles need be looked at: a link has at least 2 * percent / (100 + percent) of it in common
+    short = lambda x: f"at_{x} <= n_{x} - ({2 * percent} * n_{x} + {99 + percent}) div {100 + percent} + 1"
     differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
     able = f"""rep_a < rep_b and component_a <> component_b
         and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
+        and if(n_a <= n_b, {short("a")}, {short("b")})
         and least(most_a, most_b, least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) * {100 + percent} >= {percent} * (n_a + n_b)
         and ({differ}) * {100 + percent} <= {100 - percent} * (n_a + n_b)"""
     return a.join(b, "gram").where(able).select(F.col("rep_a").alias("hub"), F.col("rep_b").alias("leaf")).distinct()
@@ -360,9 +353,11 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     same_id = sets.where("set_key is not null and doc_id is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     tested = Table(best).df
     links = confirm(tested, texts, percent)
-    for _ in range(2):  # one likely link of each class; large groups of near copies come together here
-        open_ = _open(pairs, tested, connected_components(links, "a", "b")).where(F.col("hits") >= LIKELY)
-        more = Table(open_.groupBy("leaf").agg(F.min_by("hub", F.struct("other", "hub")).alias("hub")).select("hub", "leaf")).df
+    for _ in range(ROUNDS):  # large groups of near copies come together here
+        open_ = _open(pairs, tested, connected_components(links, "a", "b"))
+        more = Table(open_.groupBy("leaf").agg(F.min_by("hub", F.struct(F.col("hits") < LIKELY, "other", "hub")).alias("hub")).select("hub", "leaf")).df
+        if more.isEmpty():
+            break
         tested = tested.unionByName(more)
         links = links.unionByName(confirm(more, texts, percent))
     found = connected_components(links, "a", "b")

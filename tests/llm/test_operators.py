@@ -110,7 +110,7 @@ def test_near_dedup_empty(spark):
 
 
 def test_near_dedup_candidates(spark):
-    """Pairs of a forest by plain loops: small regions whole, large ones by longest common prefix."""
+    """Pairs of a forest by plain loops: small regions whole, of large ones the nearest in order."""
     rng = random.Random(17)
     rows = []
     for region in range(60):
@@ -118,7 +118,6 @@ def test_near_dedup_candidates(spark):
         rows += [(region % 57, rng.randrange(4) << 48 | rng.randrange(3) << 32 | rng.randrange(2), region * 10_000 + k, rng.randrange(80, 110)) for k in range(size)]
     got = near_dedup.candidates(spark.createDataFrame(rows, "region long, deep long, rep long, n long")).collect()
     want = Counter()
-    prefix = lambda x, y: next((k for k in range(4) if (x ^ y) >> (48 - 16 * k)), 4)
     by = {}
     for r in rows:
         by.setdefault(r[0], []).append(r[1:])
@@ -128,14 +127,11 @@ def test_near_dedup_candidates(spark):
             pairs = {(x, y) for i, x in enumerate(own) for y in own[i + 1 :]}
         else:
             want.update((x[1], x[1]) for x in own)
-            far = [prefix(x[0], y[0]) for x, y in zip(own, own[1:], strict=False)]
-            pairs = {(own[i], own[i + 1]) for i, f in enumerate(far) if f >= (far[i - 1] if i else -1) or f >= (far[i + 1] if i + 1 < len(far) else -1)}
+            pairs = {(own[i], own[i + k]) for k in range(1, 5) for i in range(len(own) - k)}
         want.update((min(x[1], y[1]), max(x[1], y[1])) for x, y in pairs if min(x[2], y[2]) >= 0.85 * max(x[2], y[2]) - 1e-9)
     marks = {(r.a, r.b) for r in got if r.a == r.b}
     assert marks == {p for p in want if p[0] == p[1]}
-    missing = {p for p in want if p[0] < p[1]} - {(r.a, r.b) for r in got}
-    assert not missing
-    assert len([r for r in got if r.a < r.b]) <= len([p for p in want if p[0] < p[1]]) + 20  # a batch's end may add a pair
+    assert {(r.a, r.b) for r in got if r.a < r.b} == {p for p in want if p[0] < p[1]}
 
 
 def test_keep_one_of_repeated_rows(spark):
@@ -156,6 +152,7 @@ def test_near_dedup_dense(spark, monkeypatch):
         met.append((texts.count(), pairs.count()))
         return pairs
 
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)  # so that the join has work left
     monkeypatch.setattr(near_dedup, "dense_pairs", counted)
     rng = random.Random(11)
     held_near_dedup(spark, list(enumerate(chain(rng, 160, 600, 12, 16) + chain(rng, 40))))

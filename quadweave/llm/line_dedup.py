@@ -9,11 +9,11 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
    that sorted numbers stand in order of rarity.
 3. Lines are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
    shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
-   join condition. The parities of token counts in 128 hash buckets differ in at most as many places as the two
+   join condition. Of long lines k - 1 more tokens are taken, and a pair must share k. The parities of token counts in 128 hash buckets differ in at most as many places as the two
    sets have tokens that only one of them has: too many rule a pair out.
    This is done twice. First the NEAR earliest lines of a token are compared with each other and the earliest with all
    others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
-   those, every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
+   those, which may hide shared tokens from the first comparison, one shared token is enough, and every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
    Very frequent tokens are dealt into salts in the first comparison and are always open.
 4. Candidate pairs are verified on the full token sets; of a pair the later line goes.
 
@@ -26,7 +26,6 @@ extra columns of any name pass through remove_lines().
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -34,10 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quadweave.llm.common import documents, free_name
 from quadweave.session import Table
 
-SLOT_BITS = 18
+SLOT_BITS, CHUNK_BITS = 18, 6
 PERCENT = 80
 #: Lines of one token that are compared with each other at once.
 NEAR = 256
+#: A line of n tokens must share 1 + n div PER_SHARED prefix tokens with another, MAX_SHARED at most.
+PER_SHARED, MAX_SHARED = 50, 16
 #: Rows of one token in a task, about; more are salted.
 SALT_ROWS_BITS = 13
 #: Words of a line up to which repeated words are numbered by looking back.
@@ -96,7 +97,8 @@ def _with_numbers(own: DataFrame, places: DataFrame, doc: str, v: str, out: str,
 def lines(own: DataFrame, *where: Column) -> DataFrame:
     """(doc, at_line, line) of every line with a word, of (doc, v, text); where: conditions on line_no and own's columns."""
     number = F.shiftleft(F.col("v").cast("long"), 32).bitwiseOR(F.col("line_no").cast("long"))
-    rows = own.select("*", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_has_word(F.col("line")))
+    # outer: else a filter on the array's size would be inferred, and the array made twice
+    rows = own.select("*", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line")).where(_has_word(F.col("line")))
     for w in where:
         rows = rows.where(w)
     return rows.select("doc", number.alias("at_line"), "line")
@@ -116,22 +118,26 @@ def copies(own: DataFrame) -> DataFrame:
 
 
 def levels(own: DataFrame) -> Column:
-    """Array of a level for each slot: 0 for rare words, else twice log2 of how often the slot's most frequent word occurs."""
-    words = own.where(_has_word(F.col("text"))).select(F.explode(_words(F.col("text"))).alias("w"))
+    """Array of a level for each slot: 0 for rare words, else twice log2 of how often the slot's most frequent word occurs.
+
+    A table of one row holds it, which a subquery reads: as a literal it would stand in every plan.
+    """
+    words = own.where(_has_word(F.col("text"))).select(F.explode_outer(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").alias("t")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(2 * F.log2(F.max("n")))).cast("int")
     slots = counts.groupBy(_slot(F.col("t")).alias("slot")).agg(level.alias("level"))
-    chunks = slots.groupBy(F.shiftright("slot", 8)).agg(F.collect_list(F.col("slot") * 64 + F.col("level")).alias("x")).collect()
-    found = [x for r in chunks for x in r["x"]]
-    share = [0] * 65
-    for x in found:
-        share[x % 64] += 1
-    least = next(v for v in range(1, 65) if sum(share[v:]) <= 2**SLOT_BITS // 4)
-    out = [0] * 2**SLOT_BITS
-    for x in found:
-        if x % 64 >= least:
-            out[x // 64] = x % 64
-    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "array<int>")
+    chunks = Table(slots.groupBy(F.shiftright("slot", CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.struct("slot", "level")).alias("x"))).df
+    share = dict(chunks.select(F.explode("x.level").alias("level")).groupBy("level").count().collect())
+    least = next(v for v in range(1, 65) if sum(n for k, n in share.items() if k >= v) <= 2**SLOT_BITS // 4)
+    # every chunk has all its slots, so that the chunks in order are the array
+    first = F.col("chunk") * 2**CHUNK_BITS
+    known = F.map_from_entries(F.coalesce("x", F.array().cast("array<struct<slot:int,level:int>>")))
+    here = F.transform(F.sort_array(F.filter(F.coalesce("x", F.array().cast("array<struct<slot:int,level:int>>")), lambda y: y["level"] >= least)), lambda y: y)
+    spark = own.sparkSession
+    every = spark.range(0, 2 ** (SLOT_BITS - CHUNK_BITS)).select(F.col("id").cast("int").alias("chunk"))
+    whole = every.join(chunks.withColumn("x", here), "chunk", "left").withColumn("m", known).select("chunk", F.transform(F.sequence(first, first + 2**CHUNK_BITS - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)).cast("byte")).alias("a"))
+    array = whole.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "a"))), lambda y: y["a"])).alias("a"))
+    return Table(array).df.scalar()
 
 
 def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
@@ -152,29 +158,43 @@ def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
     return F.when(F.size(s) <= SHORT_LINE, F.transform(s, short)).otherwise(long(s))
 
 
+def token_sets(rows: DataFrame, ranks: Column) -> DataFrame:
+    """(doc, at_line, t) of lines. The subquery is a column of its own, as functions can't hold one; the optimizer merges both steps."""
+    return rows.select(*_PLACE, "line", ranks.alias("ranks")).select(*_PLACE, ordered_tokens(F.col("line"), F.col("ranks")).alias("t"))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ordered_tokens(line: Column, ranks: Column) -> Column:
     """Tokens of a line as numbers in order of rarity."""
-    high = lambda t: F.shiftleft(F.get(ranks, _slot(t)).cast("long"), _LEVEL_AT)
     slot = F.lit(2**SLOT_BITS - 1).cast("long")
-    # a further occurrence keeps its word's slot, so that the array of levels stands in the plan once
+    # a further occurrence keeps its word's slot
     token = lambda x, n: F.when(n == 0, x).otherwise(F.xxhash64(x, n).bitwiseAND(F.bitwise_not(slot)).bitwiseOR(x.bitwiseAND(slot)))
-    hashes = F.sort_array(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    tokens = F.get(F.transform(F.array(hashes), lambda s: _numbered(s, token)), F.lit(0))
-    return F.sort_array(F.transform(tokens, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(high(t))))
+    tokens = _once(F.sort_array(F.transform(_words(line), lambda w: F.xxhash64(w))), lambda s: _numbered(s, token))
+    level = lambda r: F.transform(tokens, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(F.shiftleft(F.get(r, _slot(t)).cast("long"), _LEVEL_AT)))
+    return F.sort_array(_once(ranks, level))
+
+
+def _shared(n: str) -> str:
+    """How many tokens of their prefixes two lines of n tokens or more must share: prefixes are longer by all of them but one."""
+    return f"(1 + least({n} div {PER_SHARED}, {MAX_SHARED} - 1))"
 
 
 def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
     """(token, salt, doc, at_line, size_at, p1, p2): a row for each token of each line's prefix; size_at has the size of the set and the token's place."""
-    sets = firsts.select(*_PLACE, ordered_tokens(F.col("line"), ranks).alias("t"))
+    sets = token_sets(firsts, ranks)
     n = F.size("t")
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(bit(t)))
     odd = lambda t: t.bitwiseAND(F.lit(64)) != 0
     parities = [parity(F.filter("t", odd)).alias("p1"), parity(F.filter("t", lambda t: ~odd(t))).alias("p2")]
-    prefix = F.slice("t", F.lit(1), n - F.expr(f"int(({PERCENT} * size(t) + 99) div 100)") + 1)
+    prefix = F.slice("t", F.lit(1), n - F.expr(f"int(({PERCENT} * size(t) + 99) div 100 - {_shared('size(t)')})"))
     # what is made of a whole line is made before its rows are
     whole = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, prefix.alias("prefix"))
-    rows = whole.select(*_PLACE, "n", "p1", "p2", F.posexplode("prefix").alias("at", "token"))
+    rows = whole.select(*_PLACE, "n", "p1", "p2", F.posexplode_outer("prefix").alias("at", "token"))
     return rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "p1", "p2")
 
 
@@ -194,11 +214,15 @@ _DIFFER = "(bit_count(p1_a ^ p1_b) + bit_count(p2_a ^ p2_b))"
 _APART = f"{_DIFFER} * 1000 div (shiftright(size_at_a, 32) + shiftright(size_at_b, 32))"
 
 
+#: How many prefix tokens a pair must share.
+_NEED = _shared("shiftright(least(size_at_a, size_at_b), 32)")
+
+
 def _able() -> str:
     """Whether the filters let a pair (columns ending in _a, _b) through; integers all through."""
     p, q = PERCENT, 100 + PERCENT
     n, at = (lambda s: f"shiftright(size_at_{s}, 32)"), (lambda s: f"(size_at_{s} & 4294967295)")
-    short = lambda s: f"{at(s)} <= {n(s)} - ({2 * p} * {n(s)} + {q - 1}) div {q}"
+    short = lambda s: f"{at(s)} < {n(s)} - ({2 * p} * {n(s)} + {q - 1}) div {q} + {_shared(n(s))}"
     return f"""100 * least({n("a")}, {n("b")}) >= {p} * greatest({n("a")}, {n("b")})
         and {_DIFFER} * {q} <= {100 - p} * ({n("a")} + {n("b")})
         and (doc_a < doc_b or doc_a = doc_b and at_line_a < at_line_b)
@@ -222,11 +246,11 @@ def _of(pairs: DataFrame, side: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
-    """Verified pairs of (pairs with apart, not distinct): at least one for each later line that has any.
+    """Verified pairs of (pairs with apart and need, a row for each token shared): at least one for each later line that has any.
 
-    The likeliest earlier line of each goes first; the others are for lines that this leaves.
+    Pairs with fewer rows than need are left out. The likeliest earlier line of each goes first; the others are for lines that this leaves.
     """
-    once = Table(pairs.groupBy(*_PAIR).agg(F.min("apart").alias("apart"))).df
+    once = Table(pairs.groupBy(*_PAIR).agg(F.min("apart").alias("apart"), F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").drop("n", "need")).df
     first = F.min_by(F.struct("doc_a", "at_line_a"), F.struct("apart", "doc_a", "at_line_a")).alias("x")
     best = Table(once.groupBy("doc_b", "at_line_b").agg(first).select("x.*", "doc_b", "at_line_b").select(*_PAIR)).df
     links = verified(best, own, ranks)
@@ -237,7 +261,7 @@ def _links(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
 def verified(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
     """Of pairs (written) those whose full token sets are alike enough."""
     met = _with_numbers(own, _of(pairs, "a").unionByName(_of(pairs, "b")), "doc", "v", "met", "inner")
-    sets = Table(lines(met, F.array_contains("met", F.col("line_no"))).select(*_PLACE, ordered_tokens(F.col("line"), ranks).alias("t")))
+    sets = Table(token_sets(lines(met, F.array_contains("met", F.col("line_no"))), ranks))
     both = F.size(F.array_intersect("t_a", "t_b"))
     sides = [sets.df.toDF(*[f"{c}_{s}" for c in (*_PLACE, "t")]) for s in "ab"]
     links = Table(
@@ -263,12 +287,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair = F.expr(f"(rank_a = 1 or rank_b <= {NEAR}) and {_able()}")
     # a token's first row brings all rows of an open token once
     open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
-    found = Table(sides.where(f"rank_a <= {NEAR}").select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart")).where("pair or open"))
-    links = _links(found.df.where("pair").select(*_PAIR, "apart"), own, ranks)
+    found = Table(sides.where(f"rank_a <= {NEAR}").select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), F.expr(_NEED).alias("need")).where("pair or open"))
+    links = _links(found.df.where("pair").select(*_PAIR, "apart", "need"), own, ranks)
     rest = found.df.where("open").select("token", *[F.col(f"{c}_b").alias(c) for c in _ROW])
     if not rest.isEmpty():
         later = _sides(rest, rest.join(_of(links, "b").distinct(), list(_PLACE), "left_anti"), ["token"]).where(_able())
-        links = links.unionByName(_links(later.select(*_PAIR, F.expr(_APART).alias("apart")), own, ranks))
+        links = links.unionByName(_links(later.select(*_PAIR, F.expr(_APART).alias("apart"), F.lit(1).alias("need")), own, ranks))
     return equal.unionByName(_of(links, "b").distinct()), links
 
 

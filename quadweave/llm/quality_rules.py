@@ -143,7 +143,8 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     ids = trusted.withColumn("__trusted", F.lit(1))
     ids = F.broadcast(ids) if trusted.count() <= MAX_SENT else ids
     flagged = own.join(ids, "__id", "left").select(F.coalesce("__trusted", F.lit(0)).alias("__trusted"), "__text")
-    buckets = flagged.select("__trusted", F.explode(_bound(words_of(F.col("__text")), lambda w: grams(w, hashes(w)))).alias("__bucket"))
+    # outer: else a filter on the array's size would be inferred, and the array made twice
+    buckets = flagged.select("__trusted", F.explode_outer(_bound(words_of(F.col("__text")), lambda w: grams(w, hashes(w)))).alias("__bucket")).where("__bucket is not null")
     counts = buckets.groupBy(F.col("__bucket").cast("int").alias("__bucket")).agg(F.count("*").alias("q"), F.sum("__trusted").alias("p"))
     chunks = counts.groupBy((F.col("__bucket") / 256).cast("int")).agg(F.collect_list(F.struct("__bucket", "q", "p")).alias("x"))
     totals = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("p")), lambda a, y: F.struct((a["q"] + y["q"]).alias("q"), (a["p"] + y["p"]).alias("p")))

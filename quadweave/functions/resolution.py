@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quadweave.functions import quality as Q
-from quadweave.schema import XSD_DOUBLE
+from quadweave.schema import XSD_DOUBLE, term_key
 
 KEY = ["cs", "cp"]
 VALUE = ["co", "o_kind", "o_dt", "o_lang"]
@@ -121,7 +121,7 @@ def _pick(order: Callable[[], list[Column]], only: Callable[[], Column] | None =
             rest = found.where(~only())
             found = found.where(only())
         # min_by over (order, term): greatest order first, then the smallest term
-        rank = F.struct(*[(-o).alias(f"r{i}") for i, o in enumerate(order())], F.col("o_kind"), F.col("co"), F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit("")))
+        rank = F.struct(*[(-o).alias(f"r{i}") for i, o in enumerate(order())], term_key("co", "o"))
         best = found.groupBy(*KEY).agg(F.min_by(F.struct(*VALUE, "quality", "sources"), rank).alias("b")).select(*KEY, *[F.col(f"b.{c}").alias(c) for c in (*VALUE, "quality", "sources")])
         return best if rest is None or strategy.on_error == IGNORE else best.unionByName(rest.select(*OUT))
 
@@ -174,6 +174,15 @@ def _certain(statements: DataFrame, strategy: Strategy) -> DataFrame:
     return found.join(single, KEY, "left_semi").select(*OUT)
 
 
+def _max_metadata(statements: DataFrame, strategy: Strategy) -> DataFrame:
+    """The value of the source for which the metadata property is greatest; values without it come last."""
+    said = statements.groupBy(*KEY, *VALUE).agg(F.max(Q.metadata_column(strategy.params["property"])).alias("said"))
+    found = _join_values(values(statements, strategy.cardinality == SINGLE), said)
+    rank = F.struct(F.col("said").isNull().alias("unsaid"), (-F.col("said")).alias("r"), term_key("co", "o"))
+    best = found.groupBy(*KEY).agg(F.min_by(F.struct(*VALUE, "quality", "sources"), rank).alias("b"))
+    return best.select(*KEY, *[F.col(f"b.{c}").alias(c) for c in (*VALUE, "quality", "sources")])
+
+
 def _x() -> Column:
     return _number(F.col("co"), F.col("o_kind"))
 
@@ -201,6 +210,7 @@ REGISTRY: dict[str, Callable[[DataFrame, Strategy], DataFrame]] = {
     "WEIGHTED_VOTE": _pick(lambda: [F.col("sum_score")]),
     "BEST_SOURCE": _pick(lambda: [F.col("max_score")]),
     "LATEST": _pick(lambda: [F.unix_micros(F.col("co").try_cast("timestamp"))], lambda: F.col("co").try_cast("timestamp").isNotNull()),
+    "MAX_SOURCE_METADATA": _max_metadata,
     "TOPN": _top,
     "CERTAIN": _certain,
     "THRESHOLD": _kept(lambda s: F.col("quality") >= float(s.params.get("threshold", "0.5"))),

@@ -181,6 +181,7 @@ class FusionJob:
     max_output: int | None = None
     result_prefix: str = "urn:quadweave:result:"
     unknown_score: float = Q.UNKNOWN_SCORE
+    metadata: DataFrame | None = None
     tables: list[Table] = field(default_factory=list)
 
     def release(self) -> None:
@@ -248,6 +249,8 @@ class FusionJob:
         policy, groups = self.policy.effective(names), self.policy.groups(names)
         grouped = [p for g in groups for p in g]
         everything = Q.source_scores(self.canonical(quads, mapping, grouped), self.scores, self.unknown_score)
+        for name in sorted({s.params["property"] for s in (policy.default, *policy.properties.values()) if (s.function or "").upper() == "MAX_SOURCE_METADATA"}):
+            everything = Q.source_metadata(everything, self.metadata, name)
         narrowed = bool(self.filters or self.required_class or self.only_mapped or self.only_conflicts or self.seeds is not None)
         branches = len(_branches(everything, policy)) + 2 * len(groups) + 2 * (policy.is_nested() is not None)
         if branches > 1:

@@ -30,12 +30,7 @@ def quads(df: DataFrame, s: Column, p: Column, o: Column, g: Column, s_kind: str
     return df.select(s.alias("s"), F.lit(s_kind).alias("s_kind"), p.alias("p"), o.alias("o"), F.lit(o_kind).alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"), g.alias("g"))
 
 
-def term_key(prefix: str = "o") -> Column:
+def term_key(value: str = "o", prefix: str = "o") -> Column:
     """A term as one comparable value: kind, text, datatype, language."""
     none = F.lit("")
-    return F.struct(F.col(f"{prefix}_kind"), F.col(prefix), F.coalesce(F.col(f"{prefix}_dt"), none), F.coalesce(F.col(f"{prefix}_lang"), none))
-
-
-def number(value: str = "o", kind: str = "o_kind") -> Column:
-    """The number a literal stands for, or null; lexical forms are never trusted."""
-    return F.when(F.col(kind) == "literal", F.col(value).try_cast("double"))
+    return F.struct(F.col(f"{prefix}_kind"), F.col(value), F.coalesce(F.col(f"{prefix}_dt"), none), F.coalesce(F.col(f"{prefix}_lang"), none))

@@ -34,12 +34,14 @@ _local_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    A temporary folder is used only where the setting is absent, which means
-    a local session without a cluster (tests, benches).
+    A temporary folder is used only where the setting is absent in a local session (tests, benches):
+    on a cluster each machine would have one of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quadweave-")
@@ -61,8 +63,3 @@ class Table:
             jvm = self._spark._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.path)
             path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: a lost executor costs no recomputation."""
-    return Table(df).df

@@ -6,9 +6,9 @@
 2. The forest: TREES orders of the signature's places. Each order makes a label
    whose first ROOT places name a region; regions are hash-partitioned and
    sorted by the rest of the label. A region of up to WINDOW + 1 classes is taken whole; in a larger one
-   the order goes on, and a class is compared with its NEAREST neighbours on either side, those with the longest
-   common prefixes. So each region is as deep as it needs.
-3. A larger region is dense: there the neighbours only bring likely links together. What
+   the order goes on, and a class is compared with its neighbours on either side, those with the longest
+   common prefixes, and with the region's smallest class. So each region is as deep as it needs.
+3. A larger region is dense: there these pairs only bring likely links together. What
    they may miss is found exactly: the dense classes' shingles are put in order of rarity, and
    classes of different components are joined on the shingles of their prefixes, with
    length, positional and parity filters. So no link between dense classes rests on the window.
@@ -45,9 +45,9 @@ from quadweave.session import Table
 SHINGLE = 5
 TREES, ROOT, DEPTH = 24, 4, 8
 PLACES = TREES * ROOT
-WINDOW, NEAREST = 16, 4
+WINDOW = 16
 #: Rounds in which each class may be linked with one likely partner in another component, before all that is left is tested.
-ROUNDS = 4
+ROUNDS = 2
 HUB = 256
 PARITY_BITS = 512
 #: Orders that a pair was met in to be tried before others.
@@ -148,43 +148,55 @@ def labels(classes: DataFrame) -> DataFrame:
 def candidates(labelled: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """(a, b, hits), a < b: classes that are near in some tree, by how many trees.
 
-    A region of up to WINDOW + 1 classes is taken whole. In a larger one each class is paired with the NEAREST classes on
-    either side, as no others have a longer common prefix with it, and has a row with a = b, which marks it as dense.
+    A region of up to WINDOW + 1 classes is taken whole. In a larger one each class is paired with its neighbours in order, as
+    no others have a longer common prefix with it, and with the region's hub, its smallest class (of those a task has seen so
+    far); and it has a row with a = b, which marks it as dense. Hubs are often the same in many trees, so that a group of near copies hangs together.
     Pairs whose sizes rule the similarity out are left out.
     """
     dealt = labelled.repartition("region").sortWithinPartitions("region", "deep", "rep")
 
-    def pairs_of(rows: np.ndarray, first: np.ndarray, dense: np.ndarray) -> list[np.ndarray]:
-        """first: where each row's region begins; dense: of each row."""
+    def pairs_of(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, dense: np.ndarray, hub: np.ndarray | None) -> np.ndarray:
+        """starts, sizes and dense of each region; hub: the row of the first one's hub so far."""
         rep, n = rows[:, 2], rows[:, 3]
-        found = [np.column_stack([rep[dense], rep[dense]])]
+        first, thick = np.repeat(starts, sizes), np.repeat(dense, sizes)
+        x, y = [rows[:0]], [rows[:0]]
         for step in range(1, min(WINDOW, len(rows) - 1) + 1):
-            i = np.flatnonzero((first[step:] == first[:-step]) & ((step <= NEAREST) | ~dense[step:]))
-            found.append(np.column_stack([i, i + step]))
-        marks, (i, j) = found[0], np.concatenate([np.zeros((0, 2), np.int64), *found[1:]]).T
-        fits = (np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-9) & (rep[i] != rep[j])
-        x, y = rep[i[fits]], rep[j[fits]]
-        return [marks, np.column_stack([np.minimum(x, y), np.maximum(x, y)])]
+            i = np.flatnonzero((first[step:] == first[:-step]) & ((step == 1) | ~thick[step:]))
+            x.append(rows[i])
+            y.append(rows[i + step])
+        for k in np.flatnonzero(dense).tolist():
+            own = rows[starts[k] : starts[k] + sizes[k]]
+            least = own[own[:, 2].argmin()]
+            if k == 0 and hub is not None and hub[2] < least[2]:
+                least = hub
+            x.append(own)
+            y.append(np.broadcast_to(least, own.shape))
+        x, y = np.concatenate(x), np.concatenate(y)
+        fits = (np.minimum(x[:, 3], y[:, 3]) >= jaccard * np.maximum(x[:, 3], y[:, 3]) - 1e-9) & (x[:, 2] != y[:, 2])
+        a, b = x[fits, 2], y[fits, 2]
+        return np.concatenate([np.column_stack([rep[thick], rep[thick]]), np.column_stack([np.minimum(a, b), np.maximum(a, b)])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_dense = np.zeros((0, 4), np.int64), False  # the region that may go on: whole, or the last rows of a dense one
+        held, hub = np.zeros((0, 4), np.int64), None  # the region that may go on: whole, or the last row and the hub of a dense one
         for batch in chain(batches, [None]):
             rows = held if batch is None else np.concatenate([held, np.column_stack([np.asarray(batch.column(k)) for k in range(4)])])
             if not len(rows):
                 continue
-            starts = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]])
-            sizes = np.diff(starts)
+            starts = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1])
+            sizes = np.diff(np.append(starts, len(rows)))
             dense = sizes > WINDOW + 1
-            dense[0] |= held_dense
-            held, held_dense = rows[starts[-2] :], bool(dense[-1])
-            if held_dense:
-                held = held[-NEAREST:]
-            elif batch is not None:
-                rows, sizes, dense, starts = rows[: starts[-2]], sizes[:-1], dense[:-1], starts[:-1]
-            if batch is None:
-                held = held[:0]
+            dense[0] |= hub is not None
+            before, hub, held = hub, None, rows[:0]
+            if batch is not None:
+                own = rows[starts[-1] :]
+                if dense[-1]:
+                    hub, held = own[own[:, 2].argmin()], own[-1:]
+                    if len(starts) == 1 and before is not None and before[2] < hub[2]:
+                        hub = before
+                else:
+                    held, rows, starts, sizes, dense = own, rows[: starts[-1]], starts[:-1], sizes[:-1], dense[:-1]
             if len(rows):
-                found = np.concatenate(pairs_of(rows, np.repeat(starts[:-1], sizes), np.repeat(dense, sizes)))
+                found = pairs_of(rows, starts, sizes, dense, before)
                 if len(found):
                     pairs, hits = np.unique(found, axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(hits.astype(np.int64))], ["a", "b", "hits"])

@@ -126,10 +126,19 @@ def conflict_clusters(spark, sf):
     return E.clusters(_plain(V.claims(spark, sf)))
 
 
-@query("only_conflicts", f"""WITH c AS ({V.CLAIMS}), v AS (SELECT s, p, o, string_agg(DISTINCT g, '|' ORDER BY g) AS gs FROM c GROUP BY s, p, o)
+#: Statements about documents under the names of the first document with the same text.
+MERGED = f"""m AS MATERIALIZED ({V.COPY_MAPPING}), c AS MATERIALIZED (SELECT DISTINCT coalesce(canonical, s) AS s, p, o, g FROM ({V.COPIES}) LEFT JOIN m ON uri = s)"""
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    return E.dedupe(M.canonicalise(V.copies(spark, sf), M.build_mapping(V.copy_links(spark, sf))))
+
+
+@query("only_conflicts", f"""WITH {MERGED}, v AS (SELECT s, p, o, string_agg(DISTINCT g, '|' ORDER BY g) AS gs FROM c GROUP BY s, p, o)
 SELECT s, p, o, g FROM c WHERE (s, p) IN (SELECT (s, p) FROM v GROUP BY s, p HAVING count(DISTINCT gs) > 1)""")
 def only_conflicts(spark, sf):
-    return E.only_conflicts(_plain(V.claims(spark, sf))).select("s", "p", "o", "g")
+    """Statements of clusters in which sources differ; most clusters have none."""
+    return E.only_conflicts(_merged(spark, sf)).select(F.col("cs").alias("s"), F.col("cp").alias("p"), F.col("co").alias("o"), "g")
 
 
 @query("only_mapped", f"SELECT s, p, o, g FROM ({V.COPIES}) WHERE s IN (SELECT uri FROM ({V.COPY_MAPPING}))")
@@ -138,7 +147,7 @@ def only_mapped(spark, sf):
     return E.only_mapped(M.canonicalise(V.copies(spark, sf), m), m).select("s", "p", "o", "g")
 
 
-@query("required_class", f"WITH o AS ({V.ORDERS}) SELECT s, p, o, g FROM o WHERE s IN (SELECT s FROM o WHERE p = 'type' AND o = 'class/1-URGENT')")
+@query("required_class", f"WITH o AS MATERIALIZED ({V.ORDERS}), k AS (SELECT DISTINCT s FROM o WHERE p = 'type' AND o = 'class/1-URGENT') SELECT s, p, o, g FROM o SEMI JOIN k USING (s)")
 def required_class(spark, sf):
     return E.required_class(_plain(V.orders(spark, sf)), "class/1-URGENT", "type").select("s", "p", "o", "g")
 
@@ -181,11 +190,22 @@ for _name, _order, _where in (
 ):
     QUERIES[f"resolve_{_name}"] = _resolve(_name.upper(), Strategy(_name.upper(), MANY, IGNORE))
     ORACLES[f"resolve_{_name}"] = f"WITH {VALUES} " + _BEST.format(order=_order, where=_where)
-QUERIES["resolve_certain"] = _resolve("CERTAIN", Strategy("CERTAIN"))
-ORACLES["resolve_certain"] = f"WITH {VALUES} SELECT cs, cp, co, round(quality, 6) AS quality, sources FROM v WHERE (cs, cp) IN (SELECT (cs, cp) FROM v GROUP BY cs, cp HAVING count(*) = 1)"
+
+
+@query("resolve_certain", f"""WITH {MERGED}, v AS (SELECT s, p, o, 0.5 + 0.5 * least(1, (count(*) - 1) * 0.5 / 4) AS quality, string_agg(g, '|' ORDER BY g) AS sources FROM c GROUP BY s, p, o)
+SELECT s AS cs, p AS cp, o AS co, round(quality, 6) AS quality, sources FROM v WHERE (s, p) IN (SELECT (s, p) FROM v GROUP BY s, p HAVING count(*) = 1)""")
+def resolve_certain(spark, sf):
+    """Values of clusters that have only one."""
+    return _shown(resolve_clusters(Q.source_scores(_merged(spark, sf), None), Policy(Strategy("CERTAIN")).effective()))
+
+
 QUERIES["resolve_threshold"] = _resolve("THRESHOLD", Strategy("THRESHOLD", params={"threshold": "0.7"}))
 ORACLES["resolve_threshold"] = f"WITH {VALUES} SELECT cs, cp, co, round(quality, 6) AS quality, sources FROM v WHERE quality >= 0.7"
 QUERIES["resolve_filter"] = _resolve("FILTER", Strategy("FILTER", params={"min": "0.03", "max": "0.05"}))
+QUERIES["resolve_topn"] = _resolve("TOPN", Strategy("TOPN", params={"n": "2"}))
+ORACLES["resolve_topn"] = f"WITH {VALUES} SELECT cs, cp, co, round(quality, 6) AS quality, sources FROM (SELECT *, row_number() OVER (PARTITION BY cs, cp ORDER BY quality DESC, co) AS rn FROM v) WHERE rn <= 2"
+QUERIES["resolve_choose_source"] = _resolve("CHOOSE_SOURCE", Strategy("CHOOSE_SOURCE", params={"source": "supplier/1"}))
+ORACLES["resolve_choose_source"] = f"WITH {VALUES} SELECT cs, cp, co, round(quality, 6) AS quality, sources FROM v WHERE list_contains(string_split(sources, '|'), 'supplier/1')"
 ORACLES["resolve_filter"] = f"WITH {VALUES} SELECT cs, cp, co, round(quality, 6) AS quality, sources FROM v WHERE try_cast(co AS DOUBLE) BETWEEN 0.03 AND 0.05"
 QUERIES["fquality_singlevalued"] = _resolve("ALL", Strategy("ALL", SINGLE))
 ORACLES["fquality_singlevalued"] = f"""WITH {VALUES}, f AS (SELECT a.cs, a.cp, a.co, sum(b.n * {_DIST}) / sum(b.n) AS far FROM v a JOIN v b ON a.cs = b.cs AND a.cp = b.cp GROUP BY 1, 2, 3)
@@ -243,6 +263,73 @@ def nested_dependent_resource(spark, sf):
     return top.join(inner, "o").select("s", "quality", "sources", "n_values")
 
 
+_NESTED = f"""o AS MATERIALIZED ({V.ORDERS}), l AS (SELECT DISTINCT s AS parent, o AS line FROM o WHERE p = 'hasLine'),
+i AS (SELECT DISTINCT parent, p, o, g FROM l JOIN o ON o.s = line),
+v AS MATERIALIZED (SELECT parent, p, o, 0.5 + 0.5 * least(1, (count(*) - 1) * 0.5 / 4) AS quality FROM i GROUP BY 1, 2, 3),
+src AS (SELECT parent, string_agg(DISTINCT g, '|' ORDER BY g) AS sources FROM i GROUP BY parent),
+n AS (SELECT parent AS s, round(avg(quality), 6) AS quality, any_value(sources) AS sources, count(*) AS n_values FROM v JOIN src USING (parent) GROUP BY parent)"""
+
+
+def _nested_shown(out: DataFrame) -> DataFrame:
+    nested = "urn:quadweave:result:nested:%"
+    top = out.where(f"p = 'hasLine' and o like '{nested}'").select("s", "o", F.round("quality", 6).alias("quality"), F.array_join("sources", "|").alias("sources"))
+    return top.join(out.where(f"s like '{nested}'").groupBy(F.col("s").alias("o")).agg(F.count("*").alias("n_values")), "o").select("s", "quality", "sources", "n_values")
+
+
+def _typed_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return V.orders(spark, sf).withColumn("p", F.when(F.col("p") == "type", E.RDF_TYPE).otherwise(F.col("p")))
+
+
+@query("nested_with_required_class", f"WITH {_NESTED} SELECT n.* FROM n SEMI JOIN (SELECT s FROM o WHERE p = 'type' AND o = 'class/1-URGENT') USING (s)")
+def nested_with_required_class(spark, sf):
+    """Only entities of a class are resolved, but their nested resources, of no class, keep what they hold."""
+    job = FusionJob(Policy(properties={"hasLine": Strategy(DEPENDENT)}), required_class="class/1-URGENT")
+    return _nested_shown(job.run(_typed_orders(spark, sf)))
+
+
+@query("nested_in_group", f"WITH {_NESTED}, t AS (SELECT DISTINCT s, o AS type FROM o WHERE p = 'type') SELECT n.*, type FROM n LEFT JOIN t USING (s)")
+def nested_in_group(spark, sf):
+    """A nested property that depends on another."""
+    policy = Policy(properties={"hasLine": Strategy(DEPENDENT, depends_on="type"), "type": Strategy()})
+    out = FusionJob(policy).run(V.orders(spark, sf))
+    return _nested_shown(out).join(out.where("p = 'type'").select("s", F.col("o").alias("type")), "s", "left")
+
+
+@query("depends_on_conflicts", f"""WITH q AS MATERIALIZED (SELECT DISTINCT coalesce(canonical, s) AS e, s, p, o, g, 0.1 + 0.2 * (right(g, 1)::INT) AS score FROM ({V.CUSTOMERS}) LEFT JOIN ({V.CUSTOMER_MAPPING}) ON uri = s),
+far AS (SELECT a.e, a.s, a.p, avg(CASE WHEN a.o::DOUBLE = b.o::DOUBLE THEN 0.0 WHEN a.o::DOUBLE + b.o::DOUBLE = 0 THEN 1.0
+        ELSE least(1.0, abs(a.o::DOUBLE - b.o::DOUBLE) / abs((a.o::DOUBLE + b.o::DOUBLE) / 2)) END) AS far FROM q a JOIN q b ON a.e = b.e AND a.p = b.p WHERE a.p = 'acctbal' GROUP BY 1, 2, 3),
+r AS (SELECT q.*, score * (1 - coalesce(far, 0)) AS quality FROM q LEFT JOIN far USING (e, s, p)),
+k AS (SELECT e, s, sum(quality) / 2 AS score FROM r GROUP BY e, s),
+b AS (SELECT e, s FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY round(score, 9) DESC, s) AS rn FROM k) WHERE rn = 1)
+SELECT r.e AS s, p, o, round(quality, 6) AS quality FROM r JOIN b ON b.e = r.e AND b.s = r.s""")
+def depends_on_conflicts(spark, sf):
+    """Values of one subject, with the values of the entity's other subjects as conflicts."""
+    scores = spark.createDataFrame([(f"src/{i}", round(0.1 + 0.2 * i, 1)) for i in range(5)], "g string, score double")
+    policy = Policy(properties={"acctbal": Strategy(cardinality=SINGLE, depends_on="name"), "name": Strategy()})
+    out = FusionJob(policy, links=V.customer_links(spark, sf), scores=scores).run(V.customers(spark, sf))
+    return out.select("s", "p", "o", F.round("quality", 6).alias("quality"))
+
+
+@query("result_graphs", f"SELECT count(*) AS n, count(*) AS graphs FROM ({V.CLAIMS})")
+def result_graphs(spark, sf):
+    """Every fused statement has a graph of its own, also those of equal values."""
+    out = FusionJob(Policy(Strategy("NONE"))).run(V.claims(spark, sf))
+    return out.agg(F.count("*").alias("n"), F.countDistinct("result_graph").alias("graphs"))
+
+
+@query("seeds_with_limit", f"""WITH {_NESTED}, c AS (SELECT s, 1 AS n FROM o WHERE p = 'type' AND o = 'class/2-HIGH' UNION ALL SELECT s, n_values + 1 FROM n),
+e AS (SELECT s, sum(n) AS n FROM c WHERE s IN (SELECT s FROM o WHERE p = 'type' AND o = 'class/2-HIGH') GROUP BY s),
+r AS (SELECT s, n, sum(n) OVER (ORDER BY s) AS total FROM e) SELECT s, n::BIGINT AS n FROM r WHERE total <= 3000""")
+def seeds_with_limit(spark, sf):
+    """Seed entities alone, whole ones up to a number of statements; nested resources count with their parents."""
+    q = V.orders(spark, sf)
+    seeds = E.seed_subjects(q, seed_predicate="p = 'type' and o = 'class/2-HIGH'")
+    out = FusionJob(Policy(properties={"hasLine": Strategy(DEPENDENT)}), seeds=seeds, max_output=3000).run(q)
+    top = out.where("s not like 'urn:%'").select("s", F.when(F.col("o").startswith("urn:"), F.col("o")).alias("inner"))
+    inner = out.where("s like 'urn:%'").groupBy(F.col("s").alias("inner")).agg(F.count("*").alias("k"))
+    return top.join(inner, "inner", "left").groupBy("s").agg((F.count("*") + F.coalesce(F.sum("k"), F.lit(0))).alias("n"))
+
+
 @query("max_output_triples", f"""WITH {VALUES}, c AS (SELECT cs, count(*) AS n FROM v GROUP BY cs), r AS (SELECT cs, sum(n) OVER (ORDER BY cs) AS total FROM c)
 SELECT cs AS s, cp AS p, co AS o FROM v WHERE cs IN (SELECT cs FROM r WHERE total <= 5000)""")
 def max_output_triples(spark, sf):

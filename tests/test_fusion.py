@@ -11,6 +11,7 @@ from quadweave.plans.fusion import FusionJob, Policy
 from quadweave.schema import QUAD, XSD_DOUBLE
 from quadweave.sources import rdf
 
+#: Links, quads and the quality of the golden case.
 LINKS = [("sa", "sx"), ("sb", "sa"), ("px", "pa"), ("pb", "pa"), ("ox", "oa"), ("oa", "ob"), ("ob", "ox"), ("ga", "gx"), ("gb", "gx")]
 
 
@@ -69,6 +70,125 @@ def test_nested_resource(spark):
     assert {(r.s, r.o) for r in out if r.p == "v"} >= {("n1", "1"), ("n2", "1")}
 
 
+def test_nested_resources_are_not_filtered(spark):
+    rdf_type = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    rows = [quad("s", rdf_type, "C", "g1"), quad("s", "nrd", "n1", "g1"), quad("n1", "v", "1", "g1", "literal"), quad("t", "nrd", "n1", "g1")]
+    out = FusionJob(Policy(properties={"nrd": Strategy("DEPENDENT_RESOURCE")}), required_class="C").run(frame(spark, rows)).collect()
+    top = [r for r in out if r.p == "nrd"]
+    assert len(top) == 1 and top[0].quality == 0.5 and {(r.p, r.o) for r in out if r.s == top[0].o} == {("v", "1")} and len(out) == 3
+
+
+def test_nested_as_default(spark):
+    rows = [quad("s", "nrd", "n1", "g1"), quad("s", "plain", "n1", "g1"), quad("n1", "v", "1", "g1", "literal")]
+    out = FusionJob(Policy(Strategy("DEPENDENT_RESOURCE"), {"plain": Strategy("ALL")})).run(frame(spark, rows)).collect()
+    assert {(r.s, r.p, r.o) for r in out if r.o == "n1"} == {("s", "plain", "n1")}
+    assert len([r for r in out if r.s == "s" and r.p == "nrd" and r.o.startswith("urn:")]) == 1
+
+
+def test_nested_member_of_a_group(spark):
+    rows = [quad("a1", "nrd", "n1", "good"), quad("a1", "d", "x", "good"), quad("a2", "nrd", "n2", "bad"), quad("n1", "v", "1", "good", "literal"), quad("n2", "v", "2", "bad", "literal")]
+    links = spark.createDataFrame([("a1", "a2")], "s string, o string")
+    scores = spark.createDataFrame([("good", 0.9), ("bad", 0.2)], "g string, score double")
+    policy = Policy(properties={"nrd": Strategy("DEPENDENT_RESOURCE", depends_on="d"), "d": Strategy()})
+    out = FusionJob(policy, links, scores=scores).run(frame(spark, rows)).collect()
+    top = [r for r in out if r.p == "nrd"]
+    assert len(top) == 1 and {r.o for r in out if r.s == top[0].o} == {"1"} and ("a1", "d", "x") in {(r.s, r.p, r.o) for r in out}
+
+
+def test_other_subjects_conflict(spark):
+    rows = [quad("a1", "d1", "10", "good", "literal"), quad("a2", "d1", "20", "bad", "literal"), quad("a1", "d2", "z", "good")]
+    links = spark.createDataFrame([("a1", "a2")], "s string, o string")
+    scores = spark.createDataFrame([("good", 0.9), ("bad", 0.2)], "g string, score double")
+    policy = Policy(properties={"d1": Strategy(cardinality=SINGLE, depends_on="d2"), "d2": Strategy()})
+    got = {r.o: r.quality for r in FusionJob(policy, links, scores=scores).run(frame(spark, rows)).collect()}
+    assert got["10"] == pytest.approx(0.6)
+    average = Policy(properties={"d1": Strategy("AVG", SINGLE, depends_on="d2"), "d2": Strategy()})
+    got = {r.o: r.quality for r in FusionJob(average, links, scores=scores).run(frame(spark, rows)).collect()}
+    assert got["10.0"] == pytest.approx(0.6)
+
+
+def test_order_of_rows_does_not_matter(spark):
+    rows = [quad("a1", "d1", "v", "g"), quad("a2", "d1", "v", "g"), quad("a2", "d2", "z", "g"), quad("a1", "d2", "y", "g")]
+    links = spark.createDataFrame([("a1", "a2")], "s string, o string")
+    policy = Policy(properties={"d1": Strategy(depends_on="d2"), "d2": Strategy()})
+    run = lambda rows: {(r.s, r.p, r.o) for r in FusionJob(policy, links).run(frame(spark, rows)).collect()}
+    assert run(rows) == run(rows[::-1]) == {("a1", "d1", "v"), ("a1", "d2", "y")}
+
+
+def test_only_mapped_without_links_keeps_nothing(spark):
+    assert FusionJob(only_mapped=True).run(frame(spark, [quad("a", "p", "b", "g")])).count() == 0
+
+
+def test_result_graphs_are_unique_and_stable(spark):
+    rows = [quad("a", "p", "b", "g1"), quad("a", "p", "b", "g2"), quad("a", "p", "b", "g3", "literal")]
+    run = lambda: sorted(r.result_graph for r in FusionJob(Policy(Strategy("NONE"))).run(frame(spark, rows)).collect())
+    assert len(set(run())) == 3 and run() == run()
+
+
+def test_limit_counts_nested_resources_with_their_parents(spark):
+    rows = [quad("s", "nrd", "n1", "g1"), *[quad("n1", f"v{i}", "1", "g1", "literal") for i in range(2)], quad("z", "p", "o", "g1")]
+    run = lambda n: {(r.s[:3], r.p) for r in FusionJob(Policy(properties={"nrd": Strategy("DEPENDENT_RESOURCE")}), max_output=n).run(frame(spark, rows)).collect()}
+    assert run(3) == {("n1", "v0"), ("n1", "v1")}
+    assert run(5) == {("n1", "v0"), ("n1", "v1"), ("s", "nrd"), ("urn", "v0"), ("urn", "v1")}
+
+
+def test_seeds(spark):
+    links = spark.createDataFrame([("a1", "a2")], "s string, o string")
+    rows = [quad("a1", "p", "x", "g"), quad("a2", "p", "y", "g"), quad("b", "p", "z", "g")]
+    job = FusionJob(links=links, seeds=spark.createDataFrame([("a2",), ("a2",)], "uri string"))
+    assert {(r.s, r.o) for r in job.run(frame(spark, rows)).collect()} == {("a1", "x"), ("a1", "y")}
+    assert job.tables
+    job.release()
+    assert not job.tables
+
+
+def test_pairs_of_many_values_in_blocks(spark, monkeypatch):
+    from quadweave.functions import resolution
+
+    rows = [quad("a", "p", str(i), f"g{i % 3}", "literal") for i in range(1, 40)]
+    run = lambda: {r.o: round(r.quality, 12) for r in FusionJob(Policy(Strategy(cardinality=SINGLE))).run(frame(spark, rows)).collect()}
+    whole = run()
+    monkeypatch.setattr(resolution, "BLOCK", 4)
+    assert run() == whole and len(whole) == 39
+
+
+def test_other_functions(spark):
+    rows = [quad("a", "p", "x", "g1"), quad("a", "p", "y", "g2"), quad("a", "p", "y", "g3"), quad("a", "t", "b", "g1", "literal"), quad("a", "t", "a", "g2", "literal")]
+    run = lambda name, p="p", **params: [r.o for r in FusionJob(Policy(Strategy(name, on_error=IGNORE, params=params))).run(frame(spark, rows)).collect() if r.p == p]
+    assert run("TOPN", n="1") == ["y"] and run("CHOOSE_SOURCE", source="g1") == ["x"] and run("CONCAT", "t") == ["a; b"] and run("CONCAT", "t", separator="+") == ["a+b"]
+    assert run("RANDOM") == run("RANDOM") and len(run("RANDOM")) == 1 and run("CERTAIN") == []
+
+
+def test_preferred_names(spark):
+    label = "http://www.w3.org/2000/01/rdf-schema#label"
+    links = spark.createDataFrame([("http://a/label", label), ("zz", "aa"), ("q", "r")], "s string, o string")
+    rows = [quad("s", "http://a/label", "x", "g"), quad("s", "aa", "y", "g"), quad("s", "q", "z", "g")]
+    out = FusionJob(Policy(properties={"zz": Strategy("ALL")}), links, spark.createDataFrame([("r",)], "uri string")).run(frame(spark, rows))
+    assert {r.p for r in out.collect()} == {label, "zz", "r"}
+
+
+def test_links_and_uri_lists(spark, tmp_path):
+    rows = [quad("a", "http://www.w3.org/2002/07/owl#sameAs", "b", "g"), quad("a", "p", "c", "g"), quad("a", "p", "d", "g", "literal")]
+    assert [tuple(r) for r in M.same_as_links(frame(spark, rows)).collect()] == [("a", "b")] and M.same_as_links(frame(spark, rows), None).count() == 2
+    (tmp_path / "u.txt").write_text("http://a\n\nhttp://b\n")
+    assert rdf.read_uri_list(spark, str(tmp_path / "u.txt")).count() == 3 and rdf.read_uri_list(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_every_output_gets_every_statement(spark):
+    seen = []
+    resolved = FusionJob().run(frame(spark, [quad("a", "p", "b", "g")]))
+    sinks.write_all(resolved, [lambda d: seen.append(d.count()), lambda d: seen.append(d.count())])
+    assert seen == [1, 1]
+
+
+def test_escapes_and_iris(spark):
+    lines = [r'<s\u00e9> <p> "\U0001F600 \uD83D\uDE00 \\n \t\\"@en-GB .', '<s> <p> "a\x01\\\\b" <g> .', "<s> <p> <o>@en .", r'<s> <p> "\uD83Dx" .']
+    d = spark.createDataFrame([(x,) for x in lines], "value string")
+    rows = rdf.parse_lines(d).collect()
+    assert [(r.s, r.o, r.o_lang) for r in rows] == [("sé", "😀 😀 \\n \t\\", "en-GB"), ("s", "a\x01\\b", None), ("s", "\ufffdx", None)]
+    assert [r.value for r in rdf.bad_lines(d).collect()] == [lines[2]]
+
+
 def test_limit_drops_whole_entities(spark):
     rows = [quad(s, "p", f"o{i}", "g") for s, n in (("a", 3), ("b", 2), ("c", 4)) for i in range(n)]
     job = lambda n: {r.s for r in FusionJob(max_output=n).run(frame(spark, rows)).collect()}

@@ -5,12 +5,12 @@ sections of SECTION, and a paragraph is cut into segments of SEGMENT words,
 which are the leaves. Every node's hash is made of its children's hashes, so
 equal roots mean equal texts, and differing branches locate an edit.
 
-A fingerprint is "root|section=leaf,leaf;leaf,leaf/section=...": paragraphs of a
-section are parted by ";". The likeness of two fingerprints is the share of leaves that
+A fingerprint is "root|section=paragraph:leaf,leaf;paragraph:leaf,leaf/section=...". The likeness of two fingerprints is the share of leaves that
 they have in common (Dice, leaves counted as often as they occur), and 1 for equal roots.
 
 Defined results: null and empty texts share one fingerprint, without leaves; it is unlike all
-others (0). Rows are ordered by id, nulls first, then text; repeated ids are neighbours.
+others (0). Rows are ordered by id, nulls first, then text; repeated ids are neighbours. An empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,16 +44,25 @@ def tree(text: str) -> list[list[list[str]]]:
 
 
 def fingerprint(text: str) -> str:
-    """The tree as a string; its root is made of the section hashes and a hash of the whole text."""
-    sections = [";".join(",".join(p) for p in s) for s in tree(text)]
-    hashes = [_hash(s.encode(), LEAF_BYTES) for s in sections]
-    root = _hash("".join(hashes).encode() + blake2b(text.encode(), digest_size=ROOT_BYTES).digest(), ROOT_BYTES)
-    return root + "|" + "/".join(f"{h}={s}" for h, s in zip(hashes, sections, strict=True))
+    """The tree as a string: root|section=paragraph:leaf,leaf;paragraph:...
+
+    A paragraph's hash is made of its leaves, a section's of its paragraphs, and the root of the sections and a longer hash of the whole text.
+    """
+    sections = []
+    for s in tree(text):
+        paragraphs = [(_hash(joined.encode(), LEAF_BYTES), joined) for joined in map(",".join, s)]
+        sections.append((_hash("".join(h for h, _ in paragraphs).encode(), LEAF_BYTES), ";".join(f"{h}:{x}" for h, x in paragraphs)))
+    root = _hash("".join(h for h, _ in sections).encode() + blake2b(text.encode(), digest_size=ROOT_BYTES).digest(), ROOT_BYTES)
+    return root + "|" + "/".join(f"{h}={x}" for h, x in sections)
+
+
+def _sections(print_: str) -> list[tuple[str, list[str]]]:
+    """(hash, paragraphs) of each section; a paragraph is its hash, a colon and its leaves."""
+    return [(h, body.split(";")) for h, _, body in (s.partition("=") for s in print_.partition("|")[2].split("/") if s)]
 
 
 def leaves(print_: str) -> list[str]:
-    body = print_.partition("|")[2]
-    return [x for s in body.split("/") if s for x in s.partition("=")[2].replace(";", ",").split(",")]
+    return [x for _, paragraphs in _sections(print_) for p in paragraphs for x in p.partition(":")[2].split(",")]
 
 
 def _alike(a: str, b: str, leaves_a: list[str], leaves_b: list[str]) -> float:
@@ -72,14 +81,15 @@ def likeness(a: str, b: str) -> float:
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of every branch of b that differs from a's at the same place."""
-    parts = lambda x: [s.partition("=")[2].split(";") for s in x.partition("|")[2].split("/") if s]
-    one, two = parts(a), parts(b)
-    out = []
-    for i, section in enumerate(two):
-        other = one[i] if i < len(one) else []
-        if section != other:
-            out += [(i, j) for j, p in enumerate(section) if j >= len(other) or other[j] != p]
+    """(section, paragraph) of every branch of b that differs from a's at the same place; equal branches are not entered."""
+    if a.partition("|")[0] == b.partition("|")[0]:
+        return []
+    one, out = _sections(a), []
+    for i, (h, paragraphs) in enumerate(_sections(b)):
+        other = one[i] if i < len(one) else ("", [])
+        if h != other[0]:
+            mine = [p.partition(":")[0] for p in other[1]]
+            out += [(i, j) for j, p in enumerate(paragraphs) if j >= len(mine) or mine[j] != p.partition(":")[0]]
     return out
 
 
@@ -148,7 +158,7 @@ def with_next(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_c
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: fingerprints of all texts and of their edited forms, with their likeness."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_branches"]
     last: dict[str, tuple[str, str, list[str]]] = {}
 
     def printed(text: str) -> tuple[str, list[str]]:
@@ -165,8 +175,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             edited = text[: n - n // 4] + following[: n // 4]
             other = fingerprint(edited)
             next_, next_leaves = printed(following)
-            rows.append((i, n, sha256(edited.encode()).hexdigest(), own, other, _alike(own, other, own_leaves, leaves(other)), _alike(own, next_, own_leaves, next_leaves)))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            rows.append((i, n, sha256(edited.encode()).hexdigest(), own, other, _alike(own, other, own_leaves, leaves(other)), _alike(own, next_, own_leaves, next_leaves), len(differing(own, other))))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return with_next(documents(spark, sf_dir), work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(documents(spark, sf_dir), work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_branches long")

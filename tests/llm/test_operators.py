@@ -326,6 +326,46 @@ def test_fingerprints(spark, rows):
     assert not seen and fingerprints.with_next(spark.createDataFrame([], SCHEMA), work, "doc_id long").count() == 0
 
 
+def brute_tree(text):
+    """Leaves, paragraph, section and root hashes by plain loops."""
+    h = lambda x, n=5: hashlib.blake2b(x, digest_size=n).hexdigest()
+    sections, lines = [], text.split("\n") if text else []
+    for i in range(0, len(lines), 8):
+        paragraphs = []
+        for line in lines[i : i + 8]:
+            w = line.split(" ")
+            body = ",".join(h(" ".join(w[k : k + 8]).encode()) for k in range(0, len(w), 8))
+            paragraphs.append(h(body.encode()) + ":" + body)
+        sections.append(h("".join(p.split(":")[0] for p in paragraphs).encode()) + "=" + ";".join(paragraphs))
+    root = h("".join(s.split("=")[0] for s in sections).encode() + hashlib.blake2b(text.encode(), digest_size=16).digest(), 16)
+    return root + "|" + "/".join(sections)
+
+
+def test_fingerprints_query(spark, rows, tmp_path):
+    rng = random.Random(23)
+    rows = [(i, t) for i, t in rows if i is not None] + [(300 + i, "\n".join(prose(rng, 12) for _ in range(20))) for i in range(5)]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fingerprint string").write.parquet(f"{tmp_path}/documents.parquet")
+    order, want = sorted(((i, t or "") for i, t in rows)), Counter()
+    parts = lambda p: Counter(x for s in p.split("|")[1].split("/") if s for q in s.split("=")[1].split(";") for x in q.split(":")[1].split(","))
+
+    def near(a, b):
+        x, y = parts(a), parts(b)
+        n = sum(x.values()) + sum(y.values())
+        return 1.0 if a.split("|")[0] == b.split("|")[0] else 2.0 * sum((x & y).values()) / n if n else 0.0
+
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + following[:cut]
+        own, other, nxt = brute_tree(t), brute_tree(edited), brute_tree(following)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), own, other, round(near(own, other), 9), round(near(own, nxt), 9)] += 1
+    got = fingerprints.query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+    assert all((r.edited_branches == 0) == (r.fingerprint == r.edited_fingerprint) for r in got if r.n_chars and r.near_edited > 0)
+    a = "\n".join(f"line {i}" for i in range(20))
+    assert fingerprints.differing(fingerprints.fingerprint(a), fingerprints.fingerprint(a.replace("line 9", "other"))) == [(1, 1)]
+
+
 def test_toxicity():
     rng = random.Random(4)
     harmless = [(prose(rng, 60), 0) for _ in range(200)] + [("the trash can " + prose(rng, 40), 0) for _ in range(8)]
@@ -495,12 +535,8 @@ def test_patterns_hold_all_pieces():
     assert sum(n for *_, n in plan) <= 1.03 * sum(c * k for c, k in histogram.items()) / 64 + 2
 
 
-def held_line_dedup(spark, rows):
-    """remove_lines() of the rows is as brute force has it; null ids come last."""
-    docs = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in rows], "doc_id long, text string, line_no int, __gone int, doc int, `a.b` string")
-    out = line_dedup.remove_lines(docs)
-    assert out.columns == docs.columns
-    got = Counter((r[0], r[1], *r[2:]) for r in out.collect())
+def brute_lines(rows):
+    """What is left of each (id, text); null ids come last."""
     seen, kept_of = [], {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         kept = []
@@ -513,7 +549,16 @@ def held_line_dedup(spark, rows):
             if s:
                 seen.append(s)
         kept_of[i, t] = None if t is None else "\n".join(kept)
-    assert got == Counter((i, kept_of[i, t], 1, 2, 3, "x") for i, t in rows)
+    return kept_of
+
+
+def held_line_dedup(spark, rows):
+    """remove_lines() of the rows is as brute force has it."""
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in rows], "doc_id long, text string, line_no int, __gone int, doc int, `a.b` string")
+    out = line_dedup.remove_lines(docs)
+    assert out.columns == docs.columns
+    kept_of = brute_lines(rows)
+    assert Counter((r[0], r[1], *r[2:]) for r in out.collect()) == Counter((i, kept_of[i, t], 1, 2, 3, "x") for i, t in rows)
 
 
 def test_line_dedup(spark, rows):

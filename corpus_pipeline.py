@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 read again as the next stage's docs. All but the last return the columns of documents.
 
-Defined results: a stage keeps the order of no rows and all columns it was given; texts
-that a stage changes get their n_chars anew; null texts fail the quality rules.
+Defined results: a stage keeps the order of no rows and all columns it was given, whatever their names; texts
+that a stage changes get their n_chars anew; null and empty texts fail the quality rules; texts that
+lose all their lines go on empty; of repeated rows of one id one stays; very long texts are cut into pieces by
+packing alone; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Packing needs a tokenizer, which SQL has not; tests/llm checks planted rows stage by stage, there is no brute-force run() yet.
+#: Packing needs a tokenizer, which SQL has not; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -153,7 +153,7 @@ def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
     def long(s: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i)))
         runs = lambda p: F.transform(p, lambda b, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(p, k + 1), F.size(s)) - b - 1), lambda n: use(F.get(s, b), n)))
-        return F.flatten(F.get(F.transform(F.array(begins), runs), F.lit(0)))
+        return F.flatten(_once(begins, runs))
 
     return F.when(F.size(s) <= SHORT_LINE, F.transform(s, short)).otherwise(long(s))
 
@@ -172,8 +172,13 @@ def ordered_tokens(line: Column, ranks: Column) -> Column:
     """Tokens of a line as numbers in order of rarity."""
     slot = F.lit(2**SLOT_BITS - 1).cast("long")
     # a further occurrence keeps its word's slot
-    token = lambda x, n: F.when(n == 0, x).otherwise(F.xxhash64(x, n).bitwiseAND(F.bitwise_not(slot)).bitwiseOR(x.bitwiseAND(slot)))
-    tokens = _once(F.sort_array(F.transform(_words(line), lambda w: F.xxhash64(w))), lambda s: _numbered(s, token))
+    token = lambda x, n: F.xxhash64(x, n).bitwiseAND(F.bitwise_not(slot)).bitwiseOR(x.bitwiseAND(slot))
+
+    def numbered(s: Column) -> Column:
+        again = F.filter(s, lambda x, i: F.get(s, i - 1).eqNullSafe(x))  # all occurrences but the first
+        return F.concat(F.array_distinct(s), _once(again, lambda a: F.when(F.size(a) == 0, a).otherwise(_numbered(a, token))))
+
+    tokens = _once(F.sort_array(F.transform(_words(line), lambda w: F.xxhash64(w))), numbered)
     level = lambda r: F.transform(tokens, lambda t: t.bitwiseAND(F.lit(2**_LEVEL_AT - 1)).bitwiseOR(F.shiftleft(F.get(r, _slot(t)).cast("long"), _LEVEL_AT)))
     return F.sort_array(_once(ranks, level))
 

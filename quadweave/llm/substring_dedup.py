@@ -18,11 +18,11 @@ the one to the other.
    hashes and source coordinates.
 5. Words that a repeated window covers are removed.
 
-Hashes have 64 bits and stand for word sequences.
+Hashes have 64 bits and stand for word sequences; source words are not compared again.
 
 Defined results: texts shorter than SPAN words lose nothing; null texts are empty;
 rows with a null id neither lose words nor make others lose any; rows with one id are no
-earlier copies of each other; extra columns pass through remove_repeats().
+earlier copies of each other; an empty table gives an empty result; extra columns of any name pass through remove_repeats().
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadweave.llm.common import documents, mix, powers, slices, text_buffers, windows, word_hashes
+from quadweave.llm.common import documents, free_name, mix, powers, slices, text_buffers, windows, word_hashes
 from quadweave.session import Table
 
 SPAN, ANCHOR = 50, 16
@@ -231,10 +231,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words cut out of text; texts that lose nothing stay as they are."""
     _, cut = repeats(docs)
-    new = cut.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__h"), F.col("kept").alias("__kept"))
+    id_, h, own, kept = (free_name(docs, x) for x in ("id", "h", "own", "kept"))
+    new = cut.select(F.col("doc_id").alias(id_), F.col("__th").alias(h), F.col("kept").alias(kept))
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.withColumn("__own", th).join(new, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__h")), "left")
-    return out.select(*[F.coalesce("__kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    out = docs.withColumn(own, th).join(new, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(h)), "left")
+    return out.select(*[F.coalesce(kept, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

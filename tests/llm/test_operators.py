@@ -255,6 +255,19 @@ def test_substring_dedup(spark, rows):
     assert Counter(tuple(r) for r in got) == brute_repeats(rows)
 
 
+def test_remove_repeats_with_clashing_names(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, __kept int, __own int, __th string")
+    out = substring_dedup.remove_repeats(docs)
+    assert out.columns == docs.columns
+    want = brute_repeats(rows)
+    got = Counter()
+    for r in out.collect():
+        assert (r[2], r[3], r[4]) == (1, 2, "x")
+        got[r.doc_id, hashlib.sha256(" ".join(words(r.text)).encode()).hexdigest()] += 1
+    assert got == Counter({(i, h): sum(n for k, n in want.items() if (k[0], k[3]) == (i, h)) for i, _, _, h in want})
+    assert substring_dedup.remove_repeats(docs.where("false")).count() == 0
+
+
 def test_secrets(spark):
     rng = random.Random(1)
     random_key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(36))
@@ -388,6 +401,30 @@ def test_toxicity_signs():
     assert min(scores[:4]) > 0.5 > scores[4]
 
 
+def test_toxicity_query(spark, rows):
+    rng = random.Random(29)
+    rows = [*rows, *[(500 + i, prose(rng, 40) + (" stupid trash" if i % 4 == 0 else "")) for i in range(200)]]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, __label int, score string")
+    marks = spark.createDataFrame([(500 + i, int(i % 4 == 0)) for i in range(200)] + [(500, 0), (None, 1), (501, None)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(toxicity.labelled_sample(docs, marks, "toxic"))
+    got = Counter((r.doc_id, r.score >= 0.5) for r in toxicity.score(docs, lexicon).collect())
+    assert got == Counter((i, (i or 0) >= 500 and i % 4 == 0) for i, _ in rows)
+    assert toxicity.score(docs.where("false"), lexicon).count() == 0
+    nothing = toxicity.learn(toxicity.labelled_sample(docs, marks.where("false"), "toxic"))
+    assert max(r.score for r in toxicity.score(docs, nothing).collect()) < 1e-9
+
+
+def test_exception_phrases_by_brute_force():
+    rng = random.Random(37)
+    lexicon = toxicity.Lexicon({" bad ": 1.0, " ba": 0.5}, (" not bad ", " bad day ", " ba x "))
+    for _ in range(300):
+        text = " " + " ".join(rng.choice(["bad", "not", "day", "x", "ba"]) for _ in range(rng.randrange(1, 40))) + " "
+        at = lambda p, t=text: [k for k in range(len(t)) if t.startswith(p, k)]
+        free = [(k, k + len(p)) for p in lexicon.exceptions for k in at(p)]
+        want = sorted((k, k + len(e), w) for e, w in lexicon.entries.items() for k in at(e) if not any(a <= k and k + len(e) <= b for a, b in free))
+        assert sorted(lexicon.matches(text)) == want
+
+
 def test_byte_bpe(spark, rows):
     import base64
 
@@ -401,6 +438,7 @@ def test_byte_bpe(spark, rows):
     out = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
     want = Counter((i, tuple(own.encode_ordinary(t or "")), (t or "").encode()) for i, t in texts)
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in out) == want
+    assert byte_bpe.encode(docs.where("false"), path, public_tokenizers.PATTERN).count() == 0
 
 
 def brute_vote(labelled, texts):

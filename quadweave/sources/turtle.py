@@ -1,8 +1,7 @@
 """Turtle, TriG and RDF/XML, read a whole file at a time.
 
 These formats cannot be split, so one task parses one file; large inputs
-belong in N-Quads, which is read by native expressions (see rdf.py). Not read: Turtle collections,
-multi-line prefixes inside graphs, and RDF/XML parse types.
+belong in N-Quads, which is read by native expressions (see rdf.py). Rows leave a file's task in chunks.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from quadweave.sources.rdf import Format, read_lines
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*
     |(?P<iri><[^<>"{}|^`\\\s]*>)
-    |(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\")
+    |(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|\'\'\'(?:[^'\\]|\\.|'(?!''))*\'\'\')
     |(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
     |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
     |(?P<dt>\^\^)
@@ -29,9 +28,10 @@ _TOKEN = re.compile(
     |(?P<number>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)
     |(?P<name>[A-Za-z_][\w.-]*?:(?:[\w:%-]|\.(?=[\w:%-]))*|:(?:[\w:%-]|\.(?=[\w:%-]))*)
     |(?P<word>[A-Za-z]+)
-    |(?P<sign>[.;,{}\[\]])""",
+    |(?P<sign>[.;,{}\[\]()])""",
     re.VERBOSE | re.DOTALL,
 )
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
 _PLAIN = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
 
@@ -92,6 +92,8 @@ class TurtleParser:
                 self._properties((own, "bnode"), out, graph)
             self._expect("]")
             return own, "bnode", None, None
+        if token == "(":
+            return *self._list(out, graph), None, None
         if kind == "number":
             return token, "literal", XSD + ("double" if "e" in token.lower() else "decimal" if "." in token else "integer"), None
         if token in ("true", "false"):
@@ -107,6 +109,24 @@ class TurtleParser:
             return value, "literal", None, None
         raise ValueError(f"no term: {token!r}")
 
+    def _list(self, out: list, graph: str | None) -> tuple[str, str]:
+        """The head of a collection, whose members are linked nodes."""
+        head = last = None
+        while self._peek() != ")":
+            o, o_kind, dt, lang = self._node(out, graph)
+            own = self._fresh()
+            if last is None:
+                head = own
+            else:
+                out.append((last, "bnode", RDF + "rest", own, "bnode", None, None, graph))
+            out.append((own, "bnode", RDF + "first", o, o_kind, dt, lang, graph))
+            last = own
+        self._expect(")")
+        if head is None:
+            return RDF + "nil", "iri"
+        out.append((last, "bnode", RDF + "rest", RDF + "nil", "iri", None, None, graph))
+        return head, "bnode"
+
     def _properties(self, subject: tuple[str, str], out: list, graph: str | None) -> None:
         while True:
             kind, token = self._next()
@@ -161,12 +181,12 @@ class TurtleParser:
         return out
 
 
-_RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
+_RDF = "{" + RDF + "}"
 _LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 
 
 def parse_rdf_xml(text: str, base: str = "", scope: str = "") -> list[tuple]:
-    """Statements of RDF/XML: node elements, property elements and attributes, nested nodes."""
+    """Statements of RDF/XML: node elements, property elements and attributes, nested nodes, parse types."""
     out: list[tuple] = []
     made = [0]
     name = lambda tag: tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
@@ -184,9 +204,31 @@ def parse_rdf_xml(text: str, base: str = "", scope: str = "") -> list[tuple]:
         for key, value in e.attrib.items():
             if not key.startswith(_RDF) and key != _LANG:
                 out.append((*own, name(key), value, "literal", None, e.get(_LANG), None))
+        properties(e, own)
+        return own
+
+    def fresh() -> str:
+        made[0] += 1
+        return f"{scope}anon{made[0]}"
+
+    def properties(e: ET.Element, own: tuple[str, str]) -> None:
         for child in e:
-            p = name(child.tag)
-            if (resource := child.get(_RDF + "resource")) is not None:
+            p, kind = name(child.tag), child.get(_RDF + "parseType")
+            if kind == "Resource":
+                inner = (fresh(), "bnode")
+                out.append((*own, p, *inner, None, None, None))
+                properties(child, inner)
+            elif kind == "Collection":
+                members = [node(x) for x in child]
+                nodes = [(fresh(), "bnode") for _ in members] + [(RDF + "nil", "iri")]
+                out.append((*own, p, *nodes[0], None, None, None))
+                for k, m in enumerate(members):
+                    out.append((*nodes[k], RDF + "first", *m, None, None, None))
+                    out.append((*nodes[k], RDF + "rest", *nodes[k + 1], None, None, None))
+            elif kind is not None:  # Literal, as are all others
+                text = (child.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in child)
+                out.append((*own, p, text, "literal", RDF + "XMLLiteral", None, None))
+            elif (resource := child.get(_RDF + "resource")) is not None:
                 out.append((*own, p, urljoin(base, resource), "iri", None, None, None))
             elif (blank := child.get(_RDF + "nodeID")) is not None:
                 out.append((*own, p, scope + blank, "bnode", None, None, None))
@@ -196,7 +238,6 @@ def parse_rdf_xml(text: str, base: str = "", scope: str = "") -> list[tuple]:
                     out.append((*own, p, o, kind, None, None, None))
             else:
                 out.append((*own, p, child.text or "", "literal", child.get(_RDF + "datatype"), child.get(_LANG) or e.get(_LANG), None))
-        return own
 
     root = ET.fromstring(text)
     for e in root if root.tag == _RDF + "RDF" else [root]:
@@ -226,7 +267,8 @@ def read_files(spark: SparkSession, path: str, format: Format | str | None = Non
                 text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else bytes(raw)).decode()
                 scope = blake2b(where.encode(), digest_size=6).hexdigest() + "-"
                 rows = parse_rdf_xml(text, base, scope) if kind is Format.RDF_XML else TurtleParser(text, base, scope).parse()
-                yield pd.DataFrame(rows, columns=QUAD.names)
+                for lo in range(0, max(len(rows), 1), 50_000):
+                    yield pd.DataFrame(rows[lo : lo + 50_000], columns=QUAD.names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, QUAD).withColumn("g", F.coalesce("g", F.lit(graph)))

@@ -11,6 +11,6 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from quadweave.session import build_session
 
-    session = build_session("local[4]", 4, driver__memory="4g")
+    session = build_session("local[4]", 4, spark__driver__memory="4g")
     yield session
     session.stop()

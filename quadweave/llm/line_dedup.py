@@ -11,7 +11,7 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
    shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
    join condition. Of long lines k - 1 more tokens are taken, and a pair must share k. The parities of token counts in 128 hash buckets differ in at most as many places as the two
    sets have tokens that only one of them has: too many rule a pair out.
-   This is done twice. First the NEAR earliest lines of a token are compared with each other and the earliest with all
+   This is done twice. First the lines of a token are compared with each other if they are no more than NEAR, else the earliest with all
    others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
    those, which may hide shared tokens from the first comparison, one shared token is enough, and every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
    Very frequent tokens are dealt into salts in the first comparison and are always open.
@@ -35,7 +35,7 @@ from quadweave.session import Table
 
 SLOT_BITS, CHUNK_BITS = 18, 6
 PERCENT = 80
-#: Lines of one token that are compared with each other at once.
+#: Lines of one token up to which all are compared with each other at once.
 NEAR = 256
 #: A line of n tokens must share 1 + n div PER_SHARED prefix tokens with another, MAX_SHARED at most.
 PER_SHARED, MAX_SHARED = 50, 16
@@ -239,7 +239,8 @@ _ROW = (*_PLACE, "size_at", "p1", "p2")
 
 
 def _sides(a: DataFrame, b: DataFrame, on: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in (*_ROW, *more)]) for x, s in ((a, "a"), (b, "b")))
+    """Rows of a and b joined; more: further columns of a."""
+    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in columns]) for x, s, columns in ((a, "a", (*_ROW, *more)), (b, "b", _ROW)))
     return left.join(right, on)
 
 
@@ -287,12 +288,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = lines(_with_numbers(own, equal, "doc", "v", "equal", "left"), ~F.coalesce(F.array_contains("equal", F.col("line_no")), F.lit(False)))
 
     group = Window.partitionBy("token", "salt")
-    ranked = spread(firsts, ranks).withColumn("rank", F.row_number().over(group.orderBy(*_PLACE))).withColumn("rows", F.count("*").over(group))
-    sides = _sides(ranked, ranked, ["token", "salt"], ("rank", "rows"))
-    pair = F.expr(f"(rank_a = 1 or rank_b <= {NEAR}) and {_able()}")
+    rows = spread(firsts, ranks)
+    # both sides of the join read one shuffle; of a token with more than NEAR lines the first one alone is compared
+    ranked = rows.withColumn("rank", F.row_number().over(group.orderBy(*_PLACE))).withColumn("rows", F.count("*").over(group)).where(f"rows <= {NEAR} or rank = 1")
+    sides = _sides(ranked, rows, ["token", "salt"], ("rank", "rows"))
+    pair = F.expr(_able())
     # a token's first row brings all rows of an open token once
     open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
-    found = Table(sides.where(f"rank_a <= {NEAR}").select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), F.expr(_NEED).alias("need")).where("pair or open"))
+    found = Table(sides.select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), F.expr(_NEED).alias("need")).where("pair or open"))
     links = _links(found.df.where("pair").select(*_PAIR, "apart", "need"), own, ranks)
     rest = found.df.where("open").select("token", *[F.col(f"{c}_b").alias(c) for c in _ROW])
     if not rest.isEmpty():

@@ -13,7 +13,7 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
    sets have tokens that only one of them has: too many rule a pair out.
    This is done twice. First the lines of a token are compared with each other if they are no more than NEAR, else the earliest with all
    others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
-   those, which may hide shared tokens from the first comparison, one shared token is enough, and every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
+   those, every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
    Very frequent tokens are dealt into salts in the first comparison and are always open.
 4. Candidate pairs are verified on the full token sets; of a pair the later line goes.
 
@@ -219,8 +219,9 @@ _DIFFER = "(bit_count(p1_a ^ p1_b) + bit_count(p2_a ^ p2_b))"
 _APART = f"{_DIFFER} * 1000 div (shiftright(size_at_a, 32) + shiftright(size_at_b, 32))"
 
 
-#: How many prefix tokens a pair must share.
-_NEED = _shared("shiftright(least(size_at_a, size_at_b), 32)")
+def _need() -> Column:
+    """How many prefix tokens a pair must share."""
+    return F.expr(_shared("shiftright(least(size_at_a, size_at_b), 32)")).alias("need")
 
 
 def _able() -> str:
@@ -251,12 +252,14 @@ def _of(pairs: DataFrame, side: str) -> DataFrame:
     return pairs.select(*[F.col(f"{c}_{side}").alias(c) for c in _PLACE])
 
 
-def _links(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
+def _links(pairs: DataFrame, own: DataFrame, ranks: Column, only: str = "true") -> DataFrame:
     """Verified pairs of (pairs with apart and need, a row for each token shared): at least one for each later line that has any.
 
-    Pairs with fewer rows than need are left out. The likeliest earlier line of each goes first; the others are for lines that this leaves.
+    Pairs with fewer rows than need, or for which the aggregate only is false, are left out. The likeliest earlier line of each goes
+    first; the others are for lines that this leaves.
     """
-    once = Table(pairs.groupBy(*_PAIR).agg(F.min("apart").alias("apart"), F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").drop("n", "need")).df
+    counted = pairs.groupBy(*_PAIR).agg(F.min("apart").alias("apart"), F.count("*").alias("n"), F.min("need").alias("need"), F.expr(only).alias("only"))
+    once = Table(counted.where("n >= need and only").drop("n", "need", "only")).df
     first = F.min_by(F.struct("doc_a", "at_line_a"), F.struct("apart", "doc_a", "at_line_a")).alias("x")
     best = Table(once.groupBy("doc_b", "at_line_b").agg(first).select("x.*", "doc_b", "at_line_b").select(*_PAIR)).df
     links = verified(best, own, ranks)
@@ -295,12 +298,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair = F.expr(_able())
     # a token's first row brings all rows of an open token once
     open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
-    found = Table(sides.select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), F.expr(_NEED).alias("need")).where("pair or open"))
+    found = Table(sides.select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), _need()).where("pair or open"))
     links = _links(found.df.where("pair").select(*_PAIR, "apart", "need"), own, ranks)
     rest = found.df.where("open").select("token", *[F.col(f"{c}_b").alias(c) for c in _ROW])
     if not rest.isEmpty():
-        later = _sides(rest, rest.join(_of(links, "b").distinct(), list(_PLACE), "left_anti"), ["token"]).where(_able())
-        links = links.unionByName(_links(later.select(*_PAIR, F.expr(_APART).alias("apart"), F.lit(1).alias("need")), own, ranks))
+        unmatched = lambda x, keys: x.join(_of(links, "b").distinct().toDF(*keys), keys, "left_anti")
+        later = _sides(rest, unmatched(rest, list(_PLACE)), ["token"]).where(_able())
+        more = later.select(*_PAIR, F.expr(_APART).alias("apart"), _need(), F.lit(True).alias("open"))
+        # what such pairs share of other tokens was found before
+        before = unmatched(found.df.where("pair"), ["doc_b", "at_line_b"]).select(*_PAIR, "apart", "need", F.lit(False).alias("open"))
+        links = links.unionByName(_links(more.unionByName(before), own, ranks, "max(open)"))
     return equal.unionByName(_of(links, "b").distinct()), links
 
 

@@ -603,8 +603,10 @@ def test_line_dedup(spark, rows):
     held_line_dedup(spark, rows)
 
 
-def test_line_dedup_dense(spark, monkeypatch):
+@pytest.mark.parametrize("per_shared", [50, 5])
+def test_line_dedup_dense(spark, monkeypatch, per_shared):
     monkeypatch.setattr(line_dedup, "NEAR", 16)
+    monkeypatch.setattr(line_dedup, "PER_SHARED", per_shared)
     rng = random.Random(12)
     made = chain(rng, 120, 40, 4)
     held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(40)])

@@ -126,7 +126,8 @@ def levels(own: DataFrame) -> Column:
     counts = words.groupBy(F.xxhash64("w").alias("t")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(2 * F.log2(F.max("n")))).cast("int")
     slots = counts.groupBy(_slot(F.col("t")).alias("slot")).agg(level.alias("level"))
-    chunks = Table(slots.groupBy(F.shiftright("slot", CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.struct("slot", "level")).alias("x"))).df
+    written = Table(slots.groupBy(F.shiftright("slot", CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.struct("slot", "level")).alias("x")))
+    chunks = written.df
     share = dict(chunks.select(F.explode("x.level").alias("level")).groupBy("level").count().collect())
     least = next(v for v in range(1, 65) if sum(n for k, n in share.items() if k >= v) <= 2**SLOT_BITS // 4)
     # every chunk has all its slots, so that the chunks in order are the array
@@ -137,7 +138,9 @@ def levels(own: DataFrame) -> Column:
     every = spark.range(0, 2 ** (SLOT_BITS - CHUNK_BITS)).select(F.col("id").cast("int").alias("chunk"))
     whole = every.join(chunks.withColumn("x", here), "chunk", "left").withColumn("m", known).select("chunk", F.transform(F.sequence(first, first + 2**CHUNK_BITS - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)).cast("byte")).alias("a"))
     array = whole.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "a"))), lambda y: y["a"])).alias("a"))
-    return Table(array).df.scalar()
+    out = Table(array).df.scalar()
+    written.drop()
+    return out
 
 
 def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
@@ -259,12 +262,15 @@ def _links(pairs: DataFrame, own: DataFrame, ranks: Column, only: str = "true")
     first; the others are for lines that this leaves.
     """
     counted = pairs.groupBy(*_PAIR).agg(F.min("apart").alias("apart"), F.count("*").alias("n"), F.min("need").alias("need"), F.expr(only).alias("only"))
-    once = Table(counted.where("n >= need and only").drop("n", "need", "only")).df
+    once = Table(counted.where("n >= need and only").drop("n", "need", "only"))
     first = F.min_by(F.struct("doc_a", "at_line_a"), F.struct("apart", "doc_a", "at_line_a")).alias("x")
-    best = Table(once.groupBy("doc_b", "at_line_b").agg(first).select("x.*", "doc_b", "at_line_b").select(*_PAIR)).df
-    links = verified(best, own, ranks)
-    rest = Table(once.join(links.select("doc_b", "at_line_b"), ["doc_b", "at_line_b"], "left_anti").join(best, _PAIR, "left_anti").select(*_PAIR)).df
-    return links.unionByName(verified(rest, own, ranks))
+    best = Table(once.df.groupBy("doc_b", "at_line_b").agg(first).select("x.*", "doc_b", "at_line_b").select(*_PAIR))
+    links = verified(best.df, own, ranks)
+    rest = Table(once.df.join(links.select("doc_b", "at_line_b"), ["doc_b", "at_line_b"], "left_anti").join(best.df, _PAIR, "left_anti").select(*_PAIR))
+    out = links.unionByName(verified(rest.df, own, ranks))
+    for table in (once, best, rest):
+        table.drop()
+    return out
 
 
 def verified(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
@@ -308,6 +314,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # what such pairs share of other tokens was found before
         before = unmatched(found.df.where("pair"), ["doc_b", "at_line_b"]).select(*_PAIR, "apart", "need", F.lit(False).alias("open"))
         links = links.unionByName(_links(more.unionByName(before), own, ranks, "max(open)"))
+    found.drop()
     return equal.unionByName(_of(links, "b").distinct()), links
 
 

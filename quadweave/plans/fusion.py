@@ -126,12 +126,12 @@ def resolve_nested(parents: DataFrame, everything: DataFrame, policy: Policy, pr
     return top.unionByName(literals.select(*OUT)), nested.join(parent_of, "cs").select(*OUT, "parent")
 
 
-def resolve_dependent(statements: DataFrame, everything: DataFrame, policy: Policy, group: tuple[str, ...], prefix: str) -> DataFrame:
+def resolve_dependent(statements: DataFrame, everything: DataFrame, policy: Policy, group: tuple[str, ...], prefix: str, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A group of properties, all from the one original subject whose values are best on the whole; with parent.
 
     A subject's score is the sum of its clusters' mean qualities over the size of the
     group, so a property that it lacks counts as 0; ties go to the smallest subject. Clusters are
-    per subject, but the values of the entity's other subjects count as conflicts.
+    per subject, but the values of the entity's other subjects count as conflicts. written: writes a table that is read twice.
     """
     own = statements.where(F.col("cp").isin(list(group)))
     split = own.withColumn(CONFLICT, F.col("cs")).withColumn("cs", F.concat_ws("\u0001", "cs", "s"))
@@ -141,7 +141,7 @@ def resolve_dependent(statements: DataFrame, everything: DataFrame, policy: Poli
     if nested is not None:
         top, inner = resolve_nested(split.where(nested), everything, policy, prefix)
         found = found.unionByName(top)
-    found = Table(found).df
+    found = written(found)
     entity = F.split_part("cs", F.lit("\u0001"), F.lit(1))
     score = found.groupBy("cs", "cp").agg(F.avg("quality").alias("q")).groupBy("cs").agg((F.sum("q") / len(group)).alias("score"))
     best = score.groupBy(entity.alias("__entity")).agg(F.min_by("cs", F.struct((-F.col("score")).alias("a"), F.col("cs").alias("b"))).alias("cs")).select("cs")
@@ -232,7 +232,7 @@ class FusionJob:
         parent = F.col("cs").alias("parent")
         out = resolve_clusters(plain if nested is None else plain.where(~nested), policy).select(*OUT, parent)
         for g in groups:
-            out = out.unionByName(resolve_dependent(statements, everything, policy, g, prefix))
+            out = out.unionByName(resolve_dependent(statements, everything, policy, g, prefix, self._written))
         if nested is not None:
             top, inner = resolve_nested(plain.where(nested), everything, policy, prefix)
             out = out.unionByName(top.select(*OUT, parent)).unionByName(inner)

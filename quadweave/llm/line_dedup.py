@@ -203,7 +203,9 @@ def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
     # what is made of a whole line is made before its rows are
     whole = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, prefix.alias("prefix"))
     rows = whole.select(*_PLACE, "n", "p1", "p2", F.posexplode_outer("prefix").alias("at", "token"))
-    return rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "p1", "p2")
+    out = rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "p1", "p2")
+    # never null, and told so: else the join would infer filters for one side alone, and each side would have a shuffle of its own
+    return out.select(*[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in out.dtypes])
 
 
 def _salt_bits() -> Column:

@@ -244,9 +244,9 @@ def _able() -> str:
 _ROW = (*_PLACE, "size_at", "p1", "p2")
 
 
-def _sides(a: DataFrame, b: DataFrame, on: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a and b joined; more: further columns of a."""
-    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in columns]) for x, s, columns in ((a, "a", (*_ROW, *more)), (b, "b", _ROW)))
+def _sides(a: DataFrame, b: DataFrame, on: list[str], more_a: tuple[str, ...] = (), more_b: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a and b joined; more_a, more_b: further columns of theirs."""
+    left, right = (x.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in (*_ROW, *more)]) for x, s, more in ((a, "a", more_a), (b, "b", more_b)))
     return left.join(right, on)
 
 
@@ -301,9 +301,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group = Window.partitionBy("token", "salt")
     rows = spread(firsts, ranks)
     # both sides of the join read one shuffle; of a token with more than NEAR lines the first one alone is compared
-    ranked = rows.withColumn("rank", F.row_number().over(group.orderBy(*_PLACE))).withColumn("rows", F.count("*").over(group)).where(f"rows <= {NEAR} or rank = 1")
-    sides = _sides(ranked, rows, ["token", "salt"], ("rank", "rows"))
-    pair = F.expr(_able())
+    ranked = rows.withColumn("rank", F.row_number().over(group.orderBy(*_PLACE)))
+    firsts_ = ranked.withColumn("rows", F.count("*").over(group)).where(f"rows <= {NEAR} or rank = 1")
+    sides = _sides(firsts_, ranked, ["token", "salt"], ("rank", "rows"), ("rank",))
+    pair = F.expr(f"rank_a < rank_b and {_able()}")
     # a token's first row brings all rows of an open token once
     open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
     found = Table(sides.select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), _need()).where("pair or open"))

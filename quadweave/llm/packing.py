@@ -55,7 +55,9 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.plain = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a search less; chunks that may hold their strings go to the plain one
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
@@ -105,9 +107,10 @@ class ChunkTokenizer:
             else:  # a letter that the vocabulary's library doesn't take for one
                 other.update(part)
         rest = list(other.difference(self.kept))
-        for lo in range(0, len(rest), 20_000):
-            for c, e in zip(rest[lo : lo + 20_000], self.tokenizer.encode_batch_fast(rest[lo : lo + 20_000], add_special_tokens=False), strict=True):
-                self.kept[c] = np.array(e.ids, "<u4").tobytes()
+        for own, part in ((self.tokenizer, [c for c in rest if "<|" not in c]), (self.plain, [c for c in rest if "<|" in c])):
+            for lo in range(0, len(part), 20_000):
+                for c, e in zip(part[lo : lo + 20_000], own.encode_batch_fast(part[lo : lo + 20_000], add_special_tokens=False), strict=True):
+                    self.kept[c] = np.array(e.ids, "<u4").tobytes()
         for c, word, signs in joined:
             self.kept[c] = self.kept[word] + self.kept[signs]
 

@@ -14,6 +14,7 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
    This is done twice. First the lines of a token are compared with each other if they are no more than NEAR, else the earliest with all
    others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
    those, every line is then compared with the later ones that nothing has matched so far, as a line that goes needs no second reason.
+   Whether it has been matched is looked up once for each line, not for each of its tokens.
    Very frequent tokens are dealt into salts in the first comparison and are always open.
 4. Candidate pairs are verified on the full token sets; of a pair the later line goes.
 
@@ -291,6 +292,25 @@ def verified(pairs: DataFrame, own: DataFrame, ranks: Column) -> DataFrame:
     return links.df
 
 
+def open_lines(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, at_line, p1, p2, tokens, unmet): a row for each line of rows of open tokens; tokens: (token, size_at); unmet is 1 for lines that nothing has matched, else 0.
+
+    A line's tokens are gathered first, as it is lines that have been matched. Both steps are dealt by line: one shuffle.
+    """
+    doc, at_line = (F.col(f"{c}_b").alias(c) for c in _PLACE)
+    own = rows.groupBy(doc, at_line).agg(F.first("p1_b").alias("p1"), F.first("p2_b").alias("p2"), F.collect_list(F.struct("token", F.col("size_at_b").alias("size_at"))).alias("tokens"))
+    met = _of(links, "b").distinct().withColumn("met", F.lit(1))
+    return own.join(met, list(_PLACE), "left").select(*_PLACE, "p1", "p2", "tokens", (1 - F.coalesce("met", F.lit(0))).alias("unmet"))
+
+
+def _compared(own: DataFrame) -> DataFrame:
+    """Pairs of lines (of open_lines) that share a token, the later one unmet, and pass the filters; a row for each token shared."""
+    rows = own.select(*_PLACE, "p1", "p2", "unmet", F.explode_outer("tokens").alias("x")).select(F.col("x.token").alias("token"), F.col("x.size_at").alias("size_at"), *_PLACE, "p1", "p2", "unmet")
+    rows = rows.select(*[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in rows.dtypes])
+    # of both sides, so that they read one shuffle
+    return _sides(rows, rows, ["token"], ("unmet",), ("unmet",)).where(f"2 * unmet_b + unmet_a >= 2 and {_able()}")
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, at_line) of every line that goes, and verified links between lines, one or more for each line that goes for likeness."""
     own = texts(docs, id_col, text_col)
@@ -309,14 +329,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = (F.col("rank_a") == 1) & ((F.col("rows_a") > NEAR) | (_salt_bits() > 0))
     found = Table(sides.select("token", *_PAIR, "size_at_b", "p1_b", "p2_b", pair.alias("pair"), open_.alias("open"), F.expr(_APART).alias("apart"), _need()).where("pair or open"))
     links = _links(found.df.where("pair").select(*_PAIR, "apart", "need"), own, ranks)
-    rest = found.df.where("open").select("token", *[F.col(f"{c}_b").alias(c) for c in _ROW])
-    if not rest.isEmpty():
-        unmatched = lambda x, keys: x.join(_of(links, "b").distinct().toDF(*keys), keys, "left_anti")
-        later = _sides(rest, unmatched(rest, list(_PLACE)), ["token"]).where(_able())
+    opened = found.df.where("open")
+    if not opened.isEmpty():
+        rest = Table(open_lines(opened, links))
+        later = _compared(rest.df)
         more = later.select(*_PAIR, F.expr(_APART).alias("apart"), _need(), F.lit(True).alias("open"))
         # what such pairs share of other tokens was found before
-        before = unmatched(found.df.where("pair"), ["doc_b", "at_line_b"]).select(*_PAIR, "apart", "need", F.lit(False).alias("open"))
+        before = found.df.where("pair").join(_of(links, "b").distinct().toDF("doc_b", "at_line_b"), ["doc_b", "at_line_b"], "left_anti").select(*_PAIR, "apart", "need", F.lit(False).alias("open"))
         links = links.unionByName(_links(more.unionByName(before), own, ranks, "max(open)"))
+        rest.drop()
     found.drop()
     return equal.unionByName(_of(links, "b").distinct()), links
 

@@ -612,6 +612,15 @@ def test_line_dedup_dense(spark, monkeypatch, per_shared):
     held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(40)])
 
 
+def test_line_dedup_open_lines(spark):
+    """A line is looked up once, however many open tokens it has."""
+    row = "token long, doc_b long, at_line_b long, size_at_b long, p1_b long, p2_b long"
+    rows = spark.createDataFrame([(t, d, 7, (9 << 32) + t, d, -d) for d in range(6) for t in range(d % 3 + 1)], row)
+    links = spark.createDataFrame([(0, 7, 2, 7), (1, 7, 2, 7), (0, 7, 5, 7)], "doc_a long, at_line_a long, doc_b long, at_line_b long")
+    out = sorted((r["doc"], r["at_line"], r["p1"], r["p2"], sorted(map(tuple, r["tokens"])), r["unmet"]) for r in line_dedup.open_lines(rows, links).collect())
+    assert out == [(d, 7, d, -d, [(t, (9 << 32) + t) for t in range(d % 3 + 1)], int(d not in (2, 5))) for d in range(6)]
+
+
 def test_line_dedup_short_lines_and_words(spark):
     rng = random.Random(14)
     line = lambda: " ".join(f"s{rng.randrange(14)}" for _ in range(rng.randrange(1, 13)))

@@ -18,10 +18,14 @@ rows are packed once each; an empty table gives no pieces; extra columns are not
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,30 +62,42 @@ class ChunkTokenizer:
         self.plain = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a search less; chunks that may hold their strings go to the plain one
+        # words of a-z alone are their own normal form and one match of the pattern: for those neither is needed
+        bare = json.loads(Path(path).read_text(encoding="utf-8")) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # many strings and lists, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             for c in "\n\t\r\x0b\x0c":
                 if c in t:
                     t = t.replace(c, " ")
             cut.append(t.split(" "))
-        new: set[str] = set()
-        for chunks in cut:
-            new.update(chunks)
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {"": b""}
-        self._learn(new.difference(self.kept))
+        known = self.kept.__contains__
+        new: set[str] = set()
+        for chunks in cut:
+            new.update(filterfalse(known, chunks))
+        self._learn(new)
         get = self.kept.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
-
     def _learn(self, chunks: set[str]) -> None:
-        """Words of letters alone are tokenised many at a time; each ends with the first token that ends a word.
+        """Words of letters alone are tokenised many at a time, those of ASCII letters once for all their cases; each ends with the first token that ends a word.
 
         A word with signs after it is the word and the signs, as the pre-tokenizer parts them. That holds for words whose normal
         form is letters alone by any version of Unicode: others go to the library with their signs.
@@ -96,16 +112,12 @@ class ChunkTokenizer:
                 other.add(m[2])
             else:
                 other.add(c)
-        words = list(letters.difference(self.kept))
-        for lo in range(0, len(words), 5_000):
-            part = words[lo : lo + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-            if len(ends) == len(part):
-                raw = ids.tobytes()
-                self.kept.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:  # a letter that the vocabulary's library doesn't take for one
-                other.update(part)
+        words = letters.difference(self.kept)
+        folded = {c: c.lower() for c in words if c.isascii()}
+        other.update(self._learn_words(list({*folded.values()}.difference(self.kept)), self.bare))
+        other.update(self._learn_words([c for c in words if c not in folded], self.tokenizer))
+        self.kept.update((c, self.kept[low]) for c, low in folded.items() if low in self.kept)
+        other.update(c for c in folded if c not in self.kept)
         rest = list(other.difference(self.kept))
         for own, part in ((self.tokenizer, [c for c in rest if "<|" not in c]), (self.plain, [c for c in rest if "<|" in c])):
             for lo in range(0, len(part), 20_000):
@@ -115,6 +127,21 @@ class ChunkTokenizer:
             self.kept[c] = self.kept[word] + self.kept[signs]
 
 
+    def _learn_words(self, words: list[str], own: "Tokenizer") -> list[str]:  # noqa: F821
+        """Words with a letter that the vocabulary's library doesn't take for one may not be learnt: those are returned."""
+        left = []
+        for lo in range(0, len(words), 1_000):
+            part = words[lo : lo + 1_000]
+            ids = np.array(own.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.kept.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                left += part
+        return left
+
+
 _loaded: dict[str, ChunkTokenizer] = {}
 
 

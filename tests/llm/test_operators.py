@@ -560,6 +560,21 @@ def test_packing_ids_are_the_librarys():
             assert np.frombuffer(raw, "<u4").tolist() == e.ids, t
 
 
+def test_packing_words_of_all_cases_are_learnt_once():
+    own = packing.ChunkTokenizer(public_tokenizers.path(packing.VOCABULARY))
+    asked, plain = [], own._learn_words
+
+    def counted(words, by):
+        asked.extend(words)
+        return plain(words, by)
+
+    own._learn_words = counted
+    chunks = ["Streetlamp", "STREETLAMP,", "streetlamp", "Stra\u00dfe", "stra\u00dfe", "\u039f\u0394\u039f\u03a3", "<|endoftext|>"]
+    got = own.encode([" ".join(chunks), "streetLamp"])
+    assert sorted(asked) == sorted(["streetlamp", "Stra\u00dfe", "stra\u00dfe", "\u039f\u0394\u039f\u03a3"])
+    assert got == [np.array(own.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (" ".join(chunks), "streetLamp")]
+
+
 def test_patterns_hold_all_pieces():
     rng = random.Random(9)
     histogram = Counter(rng.randrange(1, 65) for _ in range(3000))

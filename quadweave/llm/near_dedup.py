@@ -11,7 +11,7 @@
 3. A larger region is dense: there these pairs only bring likely links together. What
    they may miss is found exactly: the dense classes' shingles are put in order of rarity, and
    classes of different components are joined on the shingles of their prefixes, with
-   length, positional and parity filters. So no link between dense classes rests on the window.
+   length, positional and parity filters, seldom more than once for a pair. So no link between dense classes rests on the window.
 4. Candidates are confirmed on the full sets. First each class is confirmed with its best
    partner; then, after components are formed, in ROUNDS rounds with one likely partner in
    another component; at last all candidates that still join two components,
@@ -50,6 +50,8 @@ WINDOW = 16
 ROUNDS = 2
 HUB = 256
 PARITY_BITS = 512
+#: Shingles before one that are looked at to tell whether a pair has met before.
+BEFORE = 4
 #: Orders that a pair was met in to be tried before others.
 LIKELY = 4
 JACCARD = 0.85
@@ -224,11 +226,11 @@ def gram_rows(texts: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, percent: int) -> DataFrame:
-    """(rep, component, n, gram, at, most): the shared shingles in the prefix of each text's set.
+    """(rep, component, n, gram, at, most, b1, b2, ...): the shared shingles in the prefix of each text's set.
 
     Shingles stand in order of rarity among texts; those of one text alone come first, so at counts
     them too. most: shingles of the set that another text has. Only shingles found in two
-    components are returned.
+    components are returned; b1, b2, ...: the BEFORE ones returned before it, null where there are fewer.
     """
     grams = gram_rows(texts)
     shared = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
@@ -239,7 +241,8 @@ def prefixes(texts: DataFrame, percent: int) -> DataFrame:
         .withColumn("at", F.col("n") - F.col("most") + F.row_number().over(own.orderBy("df", "gram")))
     )
     # integers all through: a link needs ceil(percent * n / 100) shingles of either set
-    return ranked.where(f"at <= n - ({percent} * n + 99) div 100 + 1 and lo <> hi").select("rep", "component", "n", "gram", "at", "most")
+    kept = ranked.where(f"at <= n - ({percent} * n + 99) div 100 + 1 and lo <> hi")
+    return kept.select("rep", "component", "n", "gram", "at", "most", *[F.lag("gram", k).over(own.orderBy("at")).alias(f"b{k}") for k in range(1, BEFORE + 1)])
 
 
 def parities(texts: DataFrame) -> DataFrame:
@@ -259,23 +262,33 @@ def parities(texts: DataFrame) -> DataFrame:
 
 
 def dense_pairs(texts: DataFrame, percent: int) -> DataFrame:
-    """(hub, leaf): a superset of all links between texts (rep, component, text) of two components.
+    """(hub, leaf): a superset of all links between texts (rep, component, text) of two components."""
+    spread = Table(prefixes(texts, percent).join(parities(texts), "rep")).df
+    return met_pairs(spread, percent).distinct()
+
 
+def met_pairs(spread: DataFrame, percent: int) -> DataFrame:
+    """(hub, leaf): pairs that share a prefix shingle (of prefixes() and parities()) and may be linked; few come more than once.
+
+    A link is made at its first common shingle at least. So a pair is left out at a shingle if one of the BEFORE ones before it is
+    common too, and nothing before it counts for what the sets may have in common.
     Places where the parities of two sets differ are at most as many as shingles that one of them
     has alone, so that too many of them rule a link out.
     """
-    spread = Table(prefixes(texts, percent).join(parities(texts), "rep")).df
     bits = [c for c in spread.columns if c[0] == "p" and c[1:].isdigit()]
-    a, b = (spread.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "at", "most", *bits)]) for s in "ab")
+    before = [f"b{k}" for k in range(1, BEFORE + 1)]
+    a, b = (spread.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "at", "most", *before, *bits)]) for s in "ab")
     # of the smaller set, fewer shingles need be looked at: a link has at least 2 * percent / (100 + percent) of it in common
     short = lambda x: f"at_{x} <= n_{x} - ({2 * percent} * n_{x} + {99 + percent}) div {100 + percent} + 1"
     differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
+    again = " or ".join(f"{x}_a = {y}_b" for x in before for y in before)
     able = f"""rep_a < rep_b and component_a <> component_b
         and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
         and if(n_a <= n_b, {short("a")}, {short("b")})
-        and least(most_a, most_b, least(at_a, at_b) + least(n_a - at_a, n_b - at_b)) * {100 + percent} >= {percent} * (n_a + n_b)
+        and least(most_a, most_b, 1 + least(n_a - at_a, n_b - at_b)) * {100 + percent} >= {percent} * (n_a + n_b)
+        and not coalesce({again}, false)
         and ({differ}) * {100 + percent} <= {100 - percent} * (n_a + n_b)"""
-    return a.join(b, "gram").where(able).select(F.col("rep_a").alias("hub"), F.col("rep_b").alias("leaf")).distinct()
+    return a.join(b, "gram").where(able).select(F.col("rep_a").alias("hub"), F.col("rep_b").alias("leaf"))
 
 
 # ---------------------------------------------------------------- confirming

@@ -163,6 +163,24 @@ def test_near_dedup_dense(spark, monkeypatch):
     assert met[0][0] > 17 and met[0][1] > 0  # large regions were met, and joined
 
 
+def test_near_dedup_pairs_meet_seldom(spark):
+    rng = random.Random(21)
+    base = [f"b{rng.randrange(2000)}" for _ in range(200)]
+    made = []
+    for i in range(30):
+        w = list(base)
+        for k in range(4):
+            w[rng.randrange(200)] = f"z{i}_{k}"
+        made.append(" ".join(w))
+    sets = [shingles(t) for t in made]
+    links = {(i, j) for j in range(30) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame([(i, i, t) for i, t in enumerate(made)], "rep long, component long, text string")
+    spread = near_dedup.prefixes(texts, 60).join(near_dedup.parities(texts), "rep")
+    met = Counter((r[0], r[1]) for r in near_dedup.met_pairs(spread, 60).collect())
+    assert len(links) > 20 and links <= set(met)
+    assert sum(met.values()) < 3 * len(met)  # not at every common shingle
+
+
 def test_quality_features(spark, rows):
     got = quality_rules.features(spark.createDataFrame(rows, SCHEMA)).collect()
 

@@ -9,7 +9,9 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
    that sorted numbers stand in order of rarity.
 3. Lines are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
    shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
-   join condition. Of long lines k - 1 more tokens are taken, and a pair must share k. The parities of token counts in 128 hash buckets differ in at most as many places as the two
+   join condition. Tokens are dealt by classes of the line's size, so that few lines whose sizes rule each other out are compared: a line is in its
+   own class, and with those tokens that a longer match may share first, as a guest, also in the class above; two guests are not compared there.
+   Of long lines k - 1 more tokens are taken, and a pair must share k. The parities of token counts in 128 hash buckets differ in at most as many places as the two
    sets have tokens that only one of them has: too many rule a pair out.
    This is done twice. First the lines of a token are compared with each other if they are no more than NEAR, else the earliest with all
    others, which settles most of a group of near-copied lines, however large. Tokens with more lines than that are open: for
@@ -40,6 +42,8 @@ PERCENT = 80
 NEAR = 256
 #: A line of n tokens must share 1 + n div PER_SHARED prefix tokens with another, MAX_SHARED at most.
 PER_SHARED, MAX_SHARED = 50, 16
+#: Classes of sizes in a doubling; at most three, so that a line and a longer match are one class apart at most.
+CLASSES = 1
 #: Rows of one token in a task, about; more are salted.
 SALT_ROWS_BITS = 13
 #: Words of a line up to which repeated words are numbered by looking back.
@@ -48,6 +52,8 @@ SHORT_LINE = 1000
 MAX_SENT = 1_000_000
 
 _LAST = 2**63 - 1
+#: In size_at, the bit of a row that is a guest in its class; the place is below it.
+_GUEST = 2**31
 _LEVEL_AT = 57
 _BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A line's document, and the hash of its text with the line's number in it.
@@ -192,8 +198,22 @@ def _shared(n: str) -> str:
     return f"(1 + least({n} div {PER_SHARED}, {MAX_SHARED} - 1))"
 
 
+def _class(n: str) -> str:
+    """Class of sizes."""
+    return f"int(floor({CLASSES} * log2({n})))"
+
+
+def _up(n: str, at: str) -> str:
+    """The largest size of a match, n at least, that may share the token at this place among the first of all they share."""
+    p, q = PERCENT, 100 + PERCENT
+    return f"greatest({n}, least(100 * {n} div {p}, ({n} - {at} + {_shared(n)} - 1) * {q} div {p} - {n}))"
+
+
 def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
-    """(token, salt, doc, at_line, size_at, p1, p2): a row for each token of each line's prefix; size_at has the size of the set and the token's place."""
+    """(token, salt, doc, at_line, size_at, p1, p2): a row for each token of each line's prefix, two if it is a guest in the class above.
+
+    token is the hash of token and class, with the token's level; size_at has the size of the set, whether the row is a guest, and the token's place.
+    """
     sets = token_sets(firsts, ranks)
     n = F.size("t")
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
@@ -204,7 +224,12 @@ def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
     # what is made of a whole line is made before its rows are
     whole = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, prefix.alias("prefix"))
     rows = whole.select(*_PLACE, "n", "p1", "p2", F.posexplode_outer("prefix").alias("at", "token"))
-    out = rows.select("token", _salt(), *_PLACE, F.col("n").bitwiseOR(F.col("at").cast("long")).alias("size_at"), "p1", "p2")
+    size = "shiftright(n, 32)"
+    guests = F.expr(f"if({_class(_up(size, 'at'))} > {_class(size)}, array(0, 1), array(0))")
+    rows = rows.select("*", F.explode_outer(guests).alias("guest"))
+    token = F.expr(f"xxhash64(token, {_class(size)} + guest) & {2**_LEVEL_AT - 1} | token & {-(2**_LEVEL_AT)}")
+    rows = rows.select(token.alias("token"), *_PLACE, F.expr(f"n | if(guest = 1, {_GUEST}, 0) | at").alias("size_at"), "p1", "p2")
+    out = rows.select("token", _salt(), *_PLACE, "size_at", "p1", "p2")
     # never null, and told so: else the join would infer filters for one side alone, and each side would have a shuffle of its own
     return out.select(*[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in out.dtypes])
 
@@ -233,12 +258,15 @@ def _need() -> Column:
 def _able() -> str:
     """Whether the filters let a pair (columns ending in _a, _b) through; integers all through."""
     p, q = PERCENT, 100 + PERCENT
-    n, at = (lambda s: f"shiftright(size_at_{s}, 32)"), (lambda s: f"(size_at_{s} & 4294967295)")
-    short = lambda s: f"{at(s)} < {n(s)} - ({2 * p} * {n(s)} + {q - 1}) div {q} + {_shared(n(s))}"
+    n, at = (lambda s: f"shiftright(size_at_{s}, 32)"), (lambda s: f"(size_at_{s} & {_GUEST - 1})")
+    # of the tokens that a pair must share, the first ones: what it shares lies behind them, but for those
+    k = _shared(f"least({n('a')}, {n('b')})")
+    behind = lambda s: f"({n(s)} - {at(s)} + {k} - 1) * {q} >= {p} * ({n('a')} + {n('b')})"
     return f"""100 * least({n("a")}, {n("b")}) >= {p} * greatest({n("a")}, {n("b")})
+        and (size_at_a & size_at_b & {_GUEST}) = 0
         and {_DIFFER} * {q} <= {100 - p} * ({n("a")} + {n("b")})
         and (doc_a < doc_b or doc_a = doc_b and at_line_a < at_line_b)
-        and if({n("a")} <= {n("b")}, {short("a")}, {short("b")})
+        and {behind("a")} and {behind("b")}
         and (least({at("a")}, {at("b")}) + least({n("a")} - {at("a")}, {n("b")} - {at("b")})) * {q} >= {p} * ({n("a")} + {n("b")})"""
 
 

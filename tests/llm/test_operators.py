@@ -654,6 +654,46 @@ def test_line_dedup_open_lines(spark):
     assert out == [(d, 7, d, -d, [(t, (9 << 32) + t) for t in range(d % 3 + 1)], int(d not in (2, 5))) for d in range(6)]
 
 
+def sized_lines(rng, sizes):
+    """Lines of words that all share some, each with a match or two a fifth longer or shorter."""
+    words_ = [f"z{k}" for k in range(150)]
+    made = []
+    for n in sizes:
+        own = rng.sample(words_, n)
+        rest = [w for w in words_ if w not in own]
+        made += [own, own + rest[: n // 4], own[: -(n // 5) or None] + rest[:1]]
+    return [" ".join(x) for x in made]
+
+
+def test_line_dedup_deals_by_size(spark):
+    """Lines whose sizes rule each other out share no group; matching ones meet for as many tokens as they need, once for each."""
+    rng = random.Random(16)
+    made = sized_lines(rng, [*range(3, 22), 25, 26, 31, 32, 33, 40, 51, 52, 62, 63, 64, 65, 80, 99, 102, 103, 115])
+    ranks = F.array_repeat(F.lit(0).cast("byte"), 2**line_dedup.SLOT_BITS)
+    groups = {}
+    for r in line_dedup.spread(spark.createDataFrame(list(enumerate(made)), "at_line long, line string").withColumn("doc", F.lit(1).cast("long")), ranks).collect():
+        guest = bool(r["size_at"] & 2**31)
+        groups.setdefault((r["token"], r["salt"]), []).append((r["at_line"], r["size_at"] >> 32, guest))
+    assert all(max(n for _, n, _ in g) < 4 * min(n for _, n, _ in g) for g in groups.values())
+    met = Counter((a[0], b[0]) for g in groups.values() for a in g for b in g if a[0] < b[0] and not (a[2] and b[2]))
+    sets = [set(x.split()) for x in made]
+    for a in range(len(made)):
+        for b in range(a + 1, len(made)):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                assert met[a, b] >= 1 + min(min(len(sets[a]), len(sets[b])) // line_dedup.PER_SHARED, line_dedup.MAX_SHARED - 1)
+            assert met[a, b] <= len(sets[a] & sets[b])
+
+
+@pytest.mark.parametrize(("near", "per_shared"), [(256, 50), (4, 50), (4, 5)])
+def test_line_dedup_sizes(spark, monkeypatch, near, per_shared):
+    monkeypatch.setattr(line_dedup, "NEAR", near)
+    monkeypatch.setattr(line_dedup, "PER_SHARED", per_shared)
+    rng = random.Random(17)
+    made = sized_lines(rng, [rng.randrange(1, 120) for _ in range(40)])
+    rng.shuffle(made)
+    held_line_dedup(spark, [(i, "\n".join(made[3 * i : 3 * i + 3])) for i in range(40)])
+
+
 def test_line_dedup_short_lines_and_words(spark):
     rng = random.Random(14)
     line = lambda: " ".join(f"s{rng.randrange(14)}" for _ in range(rng.randrange(1, 13)))

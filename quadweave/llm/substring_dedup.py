@@ -15,7 +15,8 @@ the one to the other.
    no anchor between the lead and the window's ends branches, the window is compacted: it
    occurs exactly where its lead occurs, and the lead's smallest document decides it.
 4. The remaining windows, at branches, are verified one by one by their own
-   hashes and source coordinates.
+   hashes and source coordinates. A window is looked up if an earlier document has its lead, and is a
+   source if a later one has it; texts that ask nothing and lose nothing go no further.
 5. Words that a repeated window covers are removed.
 
 Hashes have 64 bits and stand for word sequences; source words are not compared again.
@@ -41,6 +42,8 @@ SPAN, ANCHOR = 50, 16
 REACH = SPAN - ANCHOR + 1
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+#: Bits of what is known of a repeated anchor in a text: an earlier document has it, a later one has it, it has one edge in, one edge out.
+_EARLIER, _LATER, _ONE_IN, _ONE_OUT = 8, 4, 2, 1
 _START, _END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 
 
@@ -90,7 +93,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, __th, n_words, sha256, anchor, into, out) for every row; the last three are arrays."""
+    """(doc_id, __th, n_words, sha256, anchor, edge) for every row; the last two are arrays: the edges into an anchor and out of it have its place and the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +103,8 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 own = Words(part, offsets[lo : hi + 1] - offsets[lo])
                 ids = batch.column(0).slice(lo, hi - lo)
                 count, sha, ends = [], [], [0]
-                found: list[list[np.ndarray]] = [[], [], []]
+                found: list[list[np.ndarray]] = [[], []]
+                edge_ends = [0]
                 for k in range(hi - lo):
                     first, n, at, _ = own.places(k)
                     count.append(n)
@@ -110,20 +114,23 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                         begin = own.span(np.array([first]), first + at[:1] + ANCHOR) ^ _START
                         end = own.span(first + at[-1:], np.array([first + n])) ^ _END
                         found[0].append(own.grams[first + at])
-                        found[1].append(np.concatenate([begin, edges]))
-                        found[2].append(np.concatenate([edges, end]))
+                        found[1].append(np.concatenate([begin, edges, end]))
                     else:
                         at = at[:0]
                     ends.append(ends[-1] + len(at))
-                offset = pa.array(ends, pa.int32())
-                lists = [pa.ListArray.from_arrays(offset, pa.array((np.concatenate(f) if f else np.zeros(0, np.uint64)).view(np.int64))) for f in found]
-                yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(sha), *lists], ["doc_id", "__th", "n_words", "sha256", "anchor", "into", "out"])
+                    edge_ends.append(edge_ends[-1] + len(at) + (len(at) > 0))
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array((np.concatenate(f) if f else np.zeros(0, np.uint64)).view(np.int64))) for e, f in zip((ends, edge_ends), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(sha), *lists], ["doc_id", "__th", "n_words", "sha256", "anchor", "edge"])
 
-    return docs.mapInArrow(run, "doc_id long, __th long, n_words long, sha256 string, anchor array<long>, into array<long>, out array<long>")
+    return docs.mapInArrow(run, "doc_id long, __th long, n_words long, sha256 string, anchor array<long>, edge array<long>")
 
 
 def _judge(rows: DataFrame) -> DataFrame:
-    """(doc_id, __th, text, runs, open_at, open_hash): decided repeats as runs of window starts, and windows still open."""
+    """(doc_id, __th, text, runs, open_at, open_hash): decided repeats as runs of window starts, and windows still open.
+
+    open_at is four times a window's start, plus 2 if an earlier document has its lead, plus 1 if a later one has.
+    text is null where there are neither runs nor windows to look up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,14 +139,13 @@ def _judge(rows: DataFrame) -> DataFrame:
                 own = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 spans = windows(own.words, SPAN)
                 runs, at_, hash_ = [], [], []
-                for k, (doc, info) in enumerate(zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(3).slice(lo, hi - lo), strict=True)):
+                for k, info in enumerate(batch.column(3).slice(lo, hi - lo)):
                     first, n, at, least = own.places(k)
                     m = len(at)
-                    repeated, into, out = np.zeros(m, bool), np.zeros(m, bool), np.zeros(m, bool)
-                    low = np.full(m, doc, np.int64)
-                    x = info.values.flatten()
-                    o = np.asarray(x[0])
-                    repeated[o], low[o], into[o], out[o] = True, np.asarray(x[1]), np.asarray(x[2].cast(pa.int8())) > 0, np.asarray(x[3].cast(pa.int8())) > 0
+                    flags = np.zeros(m, np.int64)
+                    x = np.asarray(info.values)
+                    flags[x >> 4] = x & 15
+                    earlier, later, into, out = (flags & bit > 0 for bit in (_EARLIER, _LATER, _ONE_IN, _ONE_OUT))
                     p = np.arange(n - SPAN + 1)
                     c = np.searchsorted(at, p)
                     last = np.searchsorted(at, p + REACH - 1, side="right")
@@ -148,13 +154,13 @@ def _judge(rows: DataFrame) -> DataFrame:
                         lead[off] += 1
                     fork_in = np.concatenate([[0], np.cumsum(~into)])
                     fork_out = np.concatenate([[0], np.cumsum(~out)])
-                    whole = repeated[lead]
+                    whole = (earlier | later)[lead]
                     decided = (fork_in[lead + 1] == fork_in[c]) & (fork_out[last] == fork_out[lead])
-                    hit = whole & decided & (low[lead] < doc)
+                    hit = decided & earlier[lead]
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                     runs.append(edge.tolist())
                     free = np.flatnonzero(whole & ~decided)
-                    at_.append(free)
+                    at_.append(free * 4 + earlier[lead[free]] * 2 + later[lead[free]])
                     hash_.append(spans[first + free])
                 ends = pa.array(np.cumsum([0, *map(len, at_)]), pa.int32())
                 flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
@@ -162,13 +168,14 @@ def _judge(rows: DataFrame) -> DataFrame:
                     [
                         *(batch.column(i).slice(lo, hi - lo) for i in range(3)),
                         pa.array(runs, pa.list_(pa.int32())),
-                        pa.ListArray.from_arrays(ends, pa.array(flat(at_, np.int32))),
+                        pa.ListArray.from_arrays(ends, pa.array(flat(at_, np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(flat(hash_, np.uint64).view(np.int64))),
                     ],
                     ["doc_id", "__th", "text", "runs", "open_at", "open_hash"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, __th long, text string, runs array<int>, open_at array<int>, open_hash array<long>")
+    judged = rows.mapInArrow(run, "doc_id long, __th long, text string, runs array<int>, open_at array<long>, open_hash array<long>")
+    return judged.withColumn("text", F.expr("if(size(runs) > 0 or exists(open_at, x -> x & 2 > 0), text, null)"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -201,30 +208,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """All rows with (doc_id, __th, n_words, sha256), and the changed texts as _cut() returns them."""
     keyed = _keyed(docs, id_col, text_col)
     table = Table(anchor_table(keyed)).df
-    each = table.select("doc_id", "__th", F.posexplode(F.arrays_zip("anchor", "into", "out")).alias("ord", "x")).select("doc_id", "__th", "ord", "x.anchor", "x.into", "x.out")
+    side = lambda at, name: F.slice("edge", at, F.size("anchor")).alias(name)
+    each = table.select("doc_id", "anchor", side(1, "into"), side(2, "out")).select("doc_id", F.explode(F.arrays_zip("anchor", "into", "out")).alias("x")).select("doc_id", "x.anchor", "x.into", "x.out")
     nodes = (
         each.groupBy("anchor")
         .agg(
-            F.count("*").alias("n"),
             F.min("doc_id").alias("low"),
             F.max("doc_id").alias("high"),
             (F.min("into") == F.max("into")).alias("one_in"),
             (F.min("out") == F.max("out")).alias("one_out"),
         )
         .where("low < high")
-        .select("anchor", "low", "one_in", "one_out")
     )
+    flags = F.expr(f"if(low < doc_id, {_EARLIER}, 0) | if(high > doc_id, {_LATER}, 0) | if(one_in, {_ONE_IN}, 0) | if(one_out, {_ONE_OUT}, 0)")
     info = (
-        each.select("doc_id", "__th", "ord", "anchor")
+        table.select("doc_id", "__th", F.posexplode("anchor").alias("ord", "anchor"))
         .join(nodes, "anchor")
         .groupBy("doc_id", "__th")
-        .agg(F.collect_set(F.struct("ord", "low", "one_in", "one_out")).alias("info"))
+        .agg(F.collect_set(F.col("ord").cast("long") * 16 + flags).alias("info"))
     )
     judged = Table(_judge(keyed.join(info, ["doc_id", "__th"]).select("doc_id", "__th", "text", "info")).where("size(runs) > 0 or size(open_at) > 0")).df
     open_ = judged.select("doc_id", "__th", F.explode(F.arrays_zip("open_at", "open_hash")).alias("x")).select("doc_id", "__th", F.col("x.open_at").alias("at"), F.col("x.open_hash").alias("hash"))
-    lows = open_.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
-    more = open_.join(lows, "hash").where("doc_id > low").groupBy("doc_id", "__th").agg(F.collect_set("at").alias("more"))
-    changed = judged.select("doc_id", "__th", "text", "runs").join(more, ["doc_id", "__th"], "left").where("size(runs) > 0 or more is not null").dropDuplicates(["doc_id", "__th"])
+    lows = open_.where("at & 1 > 0").groupBy("hash").agg(F.min("doc_id").alias("low"))
+    asked = open_.where("at & 2 > 0").withColumn("at", F.shiftright("at", 2).cast("int"))
+    more = asked.join(lows, "hash").where("doc_id > low").groupBy("doc_id", "__th").agg(F.collect_set("at").alias("more"))
+    lost = judged.where("text is not null").select("doc_id", "__th", "text", "runs")
+    changed = lost.join(more, ["doc_id", "__th"], "left").where("size(runs) > 0 or more is not null").dropDuplicates(["doc_id", "__th"])
     return table.select("doc_id", "__th", "n_words", "sha256"), _cut(changed.select("doc_id", "__th", "text", "runs", "more"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from quadweave.llm import byte_bpe, fingerprints, line_dedup, near_dedup, packing, quality_neighbours, quality_rules, secrets, substring_dedup, toxicity
+from quadweave.session import Table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -273,6 +274,23 @@ def test_substring_dedup(spark, rows):
     assert Counter(tuple(r) for r in got) == brute_repeats(rows)
 
 
+def test_substring_dedup_keeps_little_on_disk(spark, monkeypatch):
+    """Edges are written once, and texts that lose nothing are not; of two copies only the later one's windows are looked up."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(80)  # two ways on, so that windows at its ends are open
+    rows = [(1, " ".join(fresh(60) + shared + fresh(60))), (2, " ".join(fresh(60) + shared + fresh(60))), (3, " ".join(fresh(200)))]
+    written = []
+    monkeypatch.setattr(substring_dedup, "Table", lambda df: written.append(Table(df)) or written[-1])
+    _, cut = substring_dedup.repeats(spark.createDataFrame(rows, SCHEMA))
+    assert [(r.doc_id, r.n_removed) for r in cut.collect()] == [(2, 80)]
+    anchors, judged = (t.df for t in written)
+    for r in anchors.collect():
+        assert sum(len(x) for x in r if isinstance(x, list)) == 2 * len(r.anchor) + 1
+    assert {r.doc_id: r.text is None for r in judged.collect()} == {1: True, 2: False}
+    assert {(r.doc_id, x & 3) for r in judged.collect() for x in r.open_at} == {(1, 1), (2, 2)}
+
+
 def test_remove_repeats_with_clashing_names(spark, rows):
     docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, __kept int, __own int, __th string")
     out = substring_dedup.remove_repeats(docs)

@@ -6,9 +6,10 @@ similarity of 0.8 or more. A line goes if any earlier line (by document id, then
 1. Equal lines are found by hashes: of those only the first goes on, so copies of any number cost one line.
 2. All words are counted. A slot of 2**SLOT_BITS holds the level (half steps of log2) of its most frequent word; the levels
    below that of the most frequent quarter of the slots count as 0. A token's number is its level, then its hash, so
-   that sorted numbers stand in order of rarity.
+   that sorted numbers stand in order of rarity. A slot has a bit for each value of the next SEVERAL_BITS bits of a
+   hash as well: set if any word there occurs more than once. Where it is not, no other line has the word.
 3. Lines are joined on the tokens of their prefixes (the rarest n - ceil(0.8 n) + 1; of the
-   shorter one n - ceil(8/9 n) + 1 suffice), with length, positional and parity filters in the
+   shorter one n - ceil(8/9 n) + 1 suffice) that occur elsewhere, with length, positional and parity filters in the
    join condition. Tokens are dealt by classes of the line's size, so that few lines whose sizes rule each other out are compared: a line is in its
    own class, and with those tokens that a longer match may share first, as a guest, also in the class above; two guests are not compared there.
    Of long lines k - 1 more tokens are taken, and a pair must share k. The parities of token counts in 128 hash buckets differ in at most as many places as the two
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quadweave.llm.common import documents, free_name
 from quadweave.session import Table
 
-SLOT_BITS, CHUNK_BITS = 18, 6
+SLOT_BITS, CHUNK_BITS, SEVERAL_BITS = 18, 6, 6
 PERCENT = 80
 #: Lines of one token up to which all are compared with each other at once.
 NEAR = 256
@@ -124,30 +125,37 @@ def copies(own: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tokens
 
 
-def levels(own: DataFrame) -> Column:
-    """Array of a level for each slot: 0 for rare words, else twice log2 of how often the slot's most frequent word occurs.
+def _several_bit(token: Column) -> Column:
+    return F.shiftright(token, SLOT_BITS).bitwiseAND(F.lit(2**SEVERAL_BITS - 1)).cast("int")
 
-    A table of one row holds it, which a subquery reads: as a literal it would stand in every plan.
+
+def levels(own: DataFrame) -> tuple[Column, Column]:
+    """Two arrays with an item for each slot: a level, 0 for rare words, else twice log2 of how often the slot's most frequent word occurs;
+    and bits that tell which of its words may occur more than once.
+
+    A table of one row holds them, which subqueries read: as literals they would stand in every plan.
     """
     words = own.where(_has_word(F.col("text"))).select(F.explode_outer(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").alias("t")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(2 * F.log2(F.max("n")))).cast("int")
-    slots = counts.groupBy(_slot(F.col("t")).alias("slot")).agg(level.alias("level"))
-    written = Table(slots.groupBy(F.shiftright("slot", CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.struct("slot", "level")).alias("x")))
+    several = F.bit_or(F.when(F.col("n") > 1, F.call_function("shiftleft", F.lit(1).cast("long"), _several_bit(F.col("t")))).otherwise(F.lit(0).cast("long")))
+    slots = counts.groupBy(_slot(F.col("t")).alias("slot")).agg(level.alias("level"), several.alias("several"))
+    written = Table(slots.groupBy(F.shiftright("slot", CHUNK_BITS).alias("chunk")).agg(F.collect_list(F.struct("slot", "level", "several")).alias("x")))
     chunks = written.df
     share = dict(chunks.select(F.explode("x.level").alias("level")).groupBy("level").count().collect())
     least = next(v for v in range(1, 65) if sum(n for k, n in share.items() if k >= v) <= 2**SLOT_BITS // 4)
     # every chunk has all its slots, so that the chunks in order are the array
     first = F.col("chunk") * 2**CHUNK_BITS
-    known = F.map_from_entries(F.coalesce("x", F.array().cast("array<struct<slot:int,level:int>>")))
-    here = F.transform(F.sort_array(F.filter(F.coalesce("x", F.array().cast("array<struct<slot:int,level:int>>")), lambda y: y["level"] >= least)), lambda y: y)
+    item = lambda name: F.map_from_entries(F.transform(F.coalesce("x", F.array().cast("array<struct<slot:int,level:int,several:bigint>>")), lambda y: F.struct(y["slot"], y[name])))
+    each = lambda m, kind: F.transform(F.sequence(first, first + 2**CHUNK_BITS - 1), lambda k: F.coalesce(F.element_at(m, k), F.lit(0)).cast(kind))
     spark = own.sparkSession
     every = spark.range(0, 2 ** (SLOT_BITS - CHUNK_BITS)).select(F.col("id").cast("int").alias("chunk"))
-    whole = every.join(chunks.withColumn("x", here), "chunk", "left").withColumn("m", known).select("chunk", F.transform(F.sequence(first, first + 2**CHUNK_BITS - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)).cast("byte")).alias("a"))
-    array = whole.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "a"))), lambda y: y["a"])).alias("a"))
-    out = Table(array).df.scalar()
+    whole = every.join(chunks, "chunk", "left").select("chunk", item("level").alias("m"), item("several").alias("b")).select("chunk", each("m", "int").alias("a"), each("b", "long").alias("b"))
+    whole = whole.select("chunk", F.transform("a", lambda v: F.when(v >= least, v).otherwise(0).cast("byte")).alias("a"), "b")
+    ordered = whole.agg(F.array_sort(F.collect_list(F.struct("chunk", "a", "b"))).alias("x"))
+    out = Table(ordered.select(*[F.flatten(f"x.{c}").alias(c) for c in "ab"])).df
     written.drop()
-    return out
+    return out.select("a").scalar(), out.select("b").scalar()
 
 
 def _numbered(s: Column, use: Callable[[Column, Column], Column]) -> Column:
@@ -180,8 +188,8 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def ordered_tokens(line: Column, ranks: Column) -> Column:
     """Tokens of a line as numbers in order of rarity."""
-    slot = F.lit(2**SLOT_BITS - 1).cast("long")
-    # a further occurrence keeps its word's slot
+    slot = F.lit(2 ** (SLOT_BITS + SEVERAL_BITS) - 1).cast("long")
+    # a further occurrence keeps its word's slot and bit there
     token = lambda x, n: F.xxhash64(x, n).bitwiseAND(F.bitwise_not(slot)).bitwiseOR(x.bitwiseAND(slot))
 
     def numbered(s: Column) -> Column:
@@ -209,9 +217,11 @@ def _up(n: str, at: str) -> str:
     return f"greatest({n}, least(100 * {n} div {p}, ({n} - {at} + {_shared(n)} - 1) * {q} div {p} - {n}))"
 
 
-def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
+def spread(firsts: DataFrame, ranks: Column, several: Column | None = None) -> DataFrame:
     """(token, salt, doc, at_line, size_at, p1, p2): a row for each token of each line's prefix, two if it is a guest in the class above.
 
+    Words that occur only once make no rows if several is given, as nothing can share them.
+
     token is the hash of token and class, with the token's level; size_at has the size of the set, whether the row is a guest, and the token's place.
     """
     sets = token_sets(firsts, ranks)
@@ -224,6 +234,9 @@ def spread(firsts: DataFrame, ranks: Column) -> DataFrame:
     # what is made of a whole line is made before its rows are
     whole = sets.select(*_PLACE, F.shiftleft(n.cast("long"), 32).alias("n"), *parities, prefix.alias("prefix"))
     rows = whole.select(*_PLACE, "n", "p1", "p2", F.posexplode_outer("prefix").alias("at", "token"))
+    if several is not None:
+        bits = F.get(several, _slot(F.col("token")))
+        rows = rows.where(F.call_function("shiftright", bits, _several_bit(F.col("token"))).bitwiseAND(F.lit(1).cast("long")) == 1)
     size = "shiftright(n, 32)"
     guests = F.expr(f"if({_class(_up(size, 'at'))} > {_class(size)}, array(0, 1), array(0))")
     rows = rows.select("*", F.explode_outer(guests).alias("guest"))
@@ -342,12 +355,12 @@ def _compared(own: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc, at_line) of every line that goes, and verified links between lines, one or more for each line that goes for likeness."""
     own = texts(docs, id_col, text_col)
-    ranks = levels(own)
+    ranks, several = levels(own)
     equal = copies(own)
     firsts = lines(_with_numbers(own, equal, "doc", "v", "equal", "left"), ~F.coalesce(F.array_contains("equal", F.col("line_no")), F.lit(False)))
 
     group = Window.partitionBy("token", "salt")
-    rows = spread(firsts, ranks)
+    rows = spread(firsts, ranks, several)
     # both sides of the join read one shuffle; of a token with more than NEAR lines the first one alone is compared
     ranked = rows.withColumn("rank", F.row_number().over(group.orderBy(*_PLACE)))
     firsts_ = ranked.withColumn("rows", F.count("*").over(group)).where(f"rows <= {NEAR} or rank = 1")

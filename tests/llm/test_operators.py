@@ -683,6 +683,19 @@ def sized_lines(rng, sizes):
     return [" ".join(x) for x in made]
 
 
+def test_line_dedup_leaves_out_words_that_occur_once(spark, monkeypatch):
+    """Words of one line alone make no rows of the join; further occurrences of a word still do."""
+    rng = random.Random(9)
+    alone = [" ".join(f"w{rng.randrange(10**12)}" for _ in range(12)) for _ in range(30)]
+    made = ["p " * 9 + "q1", "p " * 9 + "q2", "a b c d e f g h i j1", "a b c d e f g h i j2", *alone]
+    joined, spread = [], line_dedup.spread
+    monkeypatch.setattr(line_dedup, "spread", lambda *args: joined.append(spread(*args)) or joined[-1])
+    docs = spark.createDataFrame(list(enumerate(made)), SCHEMA)
+    gone, _ = line_dedup.removed_lines(docs)
+    assert sorted(r.doc for r in gone.collect()) == [1, 3]
+    assert {r.doc for r in joined[0].collect()} == {0, 1, 2, 3}
+
+
 def test_line_dedup_deals_by_size(spark):
     """Lines whose sizes rule each other out share no group; matching ones meet for as many tokens as they need, once for each."""
     rng = random.Random(16)

@@ -12,13 +12,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 UNKNOWN_SCORE = 0.5
 AGREE_COEFFICIENT = 4.0
 PUBLISHER_WEIGHT = 0.2
+#: Scores that every task may hold: up to so many, quads stay where they are.
+MOST_HELD = 400_000
 
 
 def source_scores(quads: DataFrame, scores: DataFrame | None, unknown: float = UNKNOWN_SCORE) -> DataFrame:
-    """quads with score: that of the graph, or unknown."""
+    """quads with score: that of the graph, or unknown. Scores are counted to choose how they are joined."""
     if scores is None:
         return quads.withColumn("score", F.lit(unknown))
     own = scores.groupBy("g").agg(F.avg("score").alias("score"))
+    if own.limit(MOST_HELD + 1).count() <= MOST_HELD:
+        own = F.broadcast(own)
     return quads.join(own, "g", "left").withColumn("score", F.coalesce("score", F.lit(unknown)))
 
 

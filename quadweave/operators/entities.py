@@ -48,12 +48,15 @@ def dedupe(mapped: DataFrame, by_subject: Iterable[str] = ()) -> DataFrame:
 
 
 def clusters(mapped: DataFrame) -> DataFrame:
-    """(cs, cp, n_statements, n_values, n_graphs) for each conflict cluster."""
-    return (
-        dedupe(mapped)
-        .groupBy("cs", "cp")
-        .agg(F.count("*").alias("n_statements"), F.countDistinct("co", "o_kind", F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit(""))).alias("n_values"), F.countDistinct("g").alias("n_graphs"))
-    )
+    """(cs, cp, n_statements, n_values, n_graphs) for each conflict cluster.
+
+    The first statement of each value and of each graph is marked, which counts both in one pass where the cluster lies.
+    """
+    value = ["co", "o_kind", F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit(""))]
+    first_of_value = F.row_number().over(Window.partitionBy("cs", "cp", *value).orderBy("g")) == 1
+    first_of_graph = F.row_number().over(Window.partitionBy("cs", "cp", "g").orderBy("co")) == 1
+    marked = dedupe(mapped).select("cs", "cp", (first_of_value & F.col("co").isNotNull() & F.col("o_kind").isNotNull()).alias("__value"), (first_of_graph & F.col("g").isNotNull()).alias("__graph"))
+    return marked.groupBy("cs", "cp").agg(F.count("*").alias("n_statements"), F.count_if("__value").alias("n_values"), F.count_if("__graph").alias("n_graphs"))
 
 
 def conflicting_clusters(mapped: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quadweave.schema import quads
+from quadweave.session import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,11 @@ def _id(prefix: str, column: str):
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' claims about parts: discount, tax, returnflag."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag")
-    each = lines.select("l_partkey", "l_suppkey", F.expr("stack(3, 'discount', cast(l_discount as string), 'tax', cast(l_tax as string), 'returnflag', l_returnflag) as (p, o)"))
-    return quads(each, _id("part/", "l_partkey"), F.col("p"), F.col("o"), _id("supplier/", "l_suppkey")).distinct()
+    """Suppliers' claims about parts: discount, tax, returnflag. Lines are dealt by part before claims are made of them."""
+    lines = table(spark, sf_dir, "lineitem")
+    by_part = dealt(lines.select(_id("part/", "l_partkey").alias("s"), "l_suppkey", "l_discount", "l_tax", "l_returnflag"), lines, "s")
+    each = by_part.select("s", "l_suppkey", F.expr("stack(3, 'discount', cast(l_discount as string), 'tax', cast(l_tax as string), 'returnflag', l_returnflag) as (p, o)"))
+    return quads(each, F.col("s"), F.col("p"), F.col("o"), _id("supplier/", "l_suppkey")).distinct()
 
 
 CLAIMS = """SELECT DISTINCT 'part/' || l_partkey AS s, p, o, 'supplier/' || l_suppkey AS g FROM (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import math
 import tempfile
 import uuid
 
@@ -63,3 +64,18 @@ class Table:
             jvm = self._spark._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.path)
             path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a source's files for each partition of a dealt table: what is made of them fits a task's memory.
+DEALT_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, source: DataFrame, *columns: str) -> DataFrame:
+    """df, a few narrow columns of source, dealt by columns over partitions in proportion to the size of source.
+
+    Rows that are made of it afterwards stay where they are, as long as steps are keyed by these columns.
+    Their number is fixed here, since adaptive execution would choose it by the size of the narrow rows.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES))
+    return df.repartition(min(parts, 100_000), *columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadweave import sinks
 from quadweave.functions import quality as Q
@@ -40,6 +40,15 @@ def _shown(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select("cs", "cp", "co", F.round("quality", digits).alias("quality"), F.array_join("sources", "|").alias("sources"))
 
 
+def _six_digits(x: Column) -> Column:
+    """A quality (0 to 1) at six digits as text, as SQL casts it: no exponent from 0.0001 on, two digits of it below."""
+    v = F.round(x, 6)
+    plain = F.regexp_replace(F.regexp_replace(v.cast("decimal(20,6)").cast("string"), "0+$", ""), r"\.$", ".0")
+    millionths = F.round(v * 1e6).cast("int")
+    tens = F.concat(F.regexp_replace((millionths / 10).cast("string"), r"\.0$", ""), F.lit("e-05"))
+    return F.when((v == 0) | (v >= 0.0001), plain).when(millionths >= 10, tens).otherwise(F.concat(millionths.cast("string"), F.lit("e-06")))
+
+
 CLAIMS_SCORED = f"claims AS ({V.CLAIMS}), scores AS ({V.SCORES}), q AS (SELECT claims.*, coalesce(score, 0.5) AS score FROM claims LEFT JOIN scores USING (g))"
 #: Values of a cluster with quality as a deciding function sees it, not single-valued.
 VALUES = f"""{CLAIMS_SCORED}, v AS (SELECT s AS cs, p AS cp, o AS co, max(score) + (1 - max(score)) * least(1, (sum(score) - max(score)) / 4) AS quality,
@@ -359,7 +368,7 @@ def metadata_quads(spark, sf):
     name = out.select("result_graph", F.col("s").alias("cs"), F.col("p").alias("cp"), F.col("o").alias("co"))
     data = all_.where("g <> 'urn:meta'").select(F.lit("data").alias("kind"), F.col("s").alias("cs"), F.col("p").alias("cp"), F.col("o").alias("co"), F.col("o").alias("value"))
     meta = all_.where("g = 'urn:meta'").select(F.col("s").alias("result_graph"), F.element_at(F.split("p", ":"), -1).alias("kind"), F.col("o").alias("value")).join(name, "result_graph")
-    number = F.round(F.col("value").try_cast("double"), 6).cast("string")
+    number = _six_digits(F.col("value").try_cast("double"))
     return data.unionByName(meta.select("kind", "cs", "cp", "co", F.when(F.col("kind") == "quality", number).otherwise(F.col("value")).alias("value")))
 
 

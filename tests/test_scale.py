@@ -1,6 +1,8 @@
-"""How plans grow: what is shuffled, held and written."""
+"""How plans grow: what is shuffled, held and written; and texts of the catalogue as SQL has them."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quadweave.plans import catalogue
 
@@ -13,6 +15,12 @@ def exchanges(df):
     return [line.split("Exchange ", 1)[1] for line in plan.splitlines() if " Exchange " in line and "Reused" not in line]
 
 
+def test_quality_as_text_is_that_of_sql(spark):
+    numbers = [0.0, 1.0, 0.5, 0.307188, 0.000578, 0.001, 0.0001, 0.00005, 0.000012, 0.000003, 0.1234567]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select(catalogue._six_digits(F.col("x"))).collect()
+    assert [r[0] for r in got] == [duckdb.sql(f"select cast(round({x}::double, 6) as varchar)").fetchall()[0][0] for x in numbers]
+
+
 @pytest.mark.parametrize("name", ["conflict_clusters", "resolve_vote", "resolve_all", "resolve_topn"])
 def test_claims_are_shuffled_once_before_they_are_made(spark, name):
     dealt = [x for x in exchanges(catalogue.QUERIES[name](spark, SMALL)) if "(g#" not in x]

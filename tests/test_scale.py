@@ -4,7 +4,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quadweave.functions import resolution as R
+from quadweave.operators import mapping as M
 from quadweave.plans import catalogue
+from quadweave.schema import QUAD
+from quadweave.session import Table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,3 +29,21 @@ def test_quality_as_text_is_that_of_sql(spark):
 def test_claims_are_shuffled_once_before_they_are_made(spark, name):
     dealt = [x for x in exchanges(catalogue.QUERIES[name](spark, SMALL)) if "(g#" not in x]
     assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+
+
+def test_mappings_are_not_broadcast_for_their_small_files(spark):
+    names = spark.range(150_000).select(F.concat(F.lit("a/"), F.col("id").cast("string")).alias("uri"), F.concat(F.lit("b/"), (F.col("id") % 99).cast("string")).alias("canonical"))
+    quads = spark.createDataFrame([("a/7", "iri", "p", "a/8", "iri", None, None, "g")], QUAD)
+    for rows, held in ((150_000, False), (1000, True)):
+        out = M.canonicalise(quads, Table(names.limit(rows)).df)
+        joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "__uri" in x]
+        assert bool(joins) == held
+        row = out.select("cs", "co").first()
+        assert (row.cs, row.co) == ("b/7", "b/8")
+
+
+def test_distances_are_taken_once_for_each_value_of_a_group(spark):
+    rows = [("e\u0001a", "p", "1", "literal", None, None, "g1", 1.0, "e"), ("e\u0001b", "p", "1", "literal", None, None, "g2", 1.0, "e"), ("e\u0001c", "p", "3", "literal", None, None, "g1", 1.0, "e")]
+    statements = spark.createDataFrame(rows, "cs string, cp string, co string, o_kind string, o_dt string, o_lang string, g string, score double, __conflict string")
+    got = {r.cs[-1]: round(r.quality, 6) for r in R.values(statements, True).collect()}
+    assert got == {"a": round(2 / 3, 6), "b": round(2 / 3, 6), "c": round(1 / 3, 6)}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadweave.functions import resolution as R
+from quadweave.operators import entities as E
 from quadweave.operators import mapping as M
 from quadweave.plans import catalogue
 from quadweave.schema import QUAD
@@ -47,3 +48,14 @@ def test_distances_are_taken_once_for_each_value_of_a_group(spark):
     statements = spark.createDataFrame(rows, "cs string, cp string, co string, o_kind string, o_dt string, o_lang string, g string, score double, __conflict string")
     got = {r.cs[-1]: round(r.quality, 6) for r in R.values(statements, True).collect()}
     assert got == {"a": round(2 / 3, 6), "b": round(2 / 3, 6), "c": round(1 / 3, 6)}
+
+
+def test_order_lines_are_shuffled_before_statements_are_made(spark):
+    lines = [x for x in exchanges(catalogue.V.orders(spark, SMALL)) if "l_orderkey" in x]
+    assert lines and all("REPARTITION_BY_NUM" in x for x in lines)
+
+
+def test_members_of_a_class_are_looked_for_in_their_range_only(spark):
+    out = catalogue.QUERIES["required_class"](spark, SMALL)
+    assert '>= order/' in out._jdf.queryExecution().optimizedPlan().toString()
+    assert E.within(catalogue._plain(catalogue.V.orders(spark, SMALL)), spark.createDataFrame([], "cs string")).count() == 0

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadweave.functions import resolution as R
+from quadweave.functions.resolution import Strategy
 from quadweave.operators import entities as E
 from quadweave.operators import mapping as M
 from quadweave.plans import catalogue
+from quadweave.plans.fusion import FusionJob, Policy
 from quadweave.schema import QUAD
 from quadweave.session import Table
 
@@ -59,3 +61,20 @@ def test_members_of_a_class_are_looked_for_in_their_range_only(spark):
     out = catalogue.QUERIES["required_class"](spark, SMALL)
     assert '>= order/' in out._jdf.queryExecution().optimizedPlan().toString()
     assert E.within(catalogue._plain(catalogue.V.orders(spark, SMALL)), spark.createDataFrame([], "cs string")).count() == 0
+
+
+def test_only_entities_within_the_limit_are_resolved_for_output(spark):
+    rows = [(f"s{i:03}", "iri", "p", f"{v}", "literal", None, None, "g") for i in range(50) for v in range(2)]
+    job = FusionJob(max_output=5)
+    out = job.run(spark.createDataFrame(rows, QUAD))
+    assert sorted((r.s, r.o) for r in out.collect()) == [("s000", "0"), ("s000", "1"), ("s001", "0"), ("s001", "1")]
+    assert not [t for t in job.tables if "result_graph" in t.df.columns]
+
+
+def test_nested_resources_are_written_once_under_short_names(spark):
+    rows = [("s", "iri", "nrd", "n1", "iri", None, None, "g1"), ("n1", "iri", "v", "1", "literal", None, None, "g1"), ("n1", "iri", "v", "1", "literal", None, None, "g1")]
+    job = FusionJob(Policy(properties={"nrd": Strategy("DEPENDENT_RESOURCE")}))
+    out = job.run(spark.createDataFrame(rows, QUAD)).collect()
+    held = [r for t in job.tables if "quality" in t.df.columns for r in t.df.collect()]
+    assert [(r.cs, r.cp, r.co, r.quality) for r in held] == [("s\u0002nrd", "v", "1", 0.5)]
+    assert len([r for r in out if r.p == "v" and r.s.startswith("urn:quadweave:result:nested:")]) == 1
